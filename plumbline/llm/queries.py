@@ -5,14 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, lattice_lm, simhash
+from plumbline.llm import decontaminate, html_text, language_id, lattice_lm, licenses, line_dedup, mixing, multiset_hash, simhash, token_counts
 from plumbline.llm.shared import crc_fold, documents
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(documents(spark, sf_dir))
+    return found.withColumn("families", F.array_join("families", ","))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.remove_boilerplate(documents(spark, sf_dir))
+    return cleaned.select("doc_id", F.col("_pl_lines").alias("n_lines"), F.col("_pl_removed").alias("n_removed"), "text")
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(documents(spark, sf_dir))
+    return mixed.select("doc_id", "source", F.col("_pl_copy").cast("long").alias("copy_no"), F.col("_pl_order").alias("shuffle_key"), "text")
+
+
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op6_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiset_hash.edit_report(documents(spark, sf_dir))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.matches(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
@@ -23,15 +46,52 @@ def op8_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_lm.score(documents(spark, sf_dir), crc_fold(F.col("doc_id"), 7) == 2)
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(documents(spark, sf_dir))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language_id.identify(documents(spark, sf_dir), crc_fold(F.col("doc_id"), 4) == 2)
+    return found.select("doc_id", "held_out", "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
+
+
 QUERIES = {
+    "op1_licenses": op1_licenses,
     "op2_simhash": op2_simhash,
+    "op3_line_dedup": op3_line_dedup,
+    "op4_mixing": op4_mixing,
+    "op5_html_text": op5_html_text,
+    "op6_multiset_hash": op6_multiset_hash,
     "op7_decontaminate": op7_decontaminate,
     "op8_lattice_lm": op8_lattice_lm,
+    "op9_token_counts": op9_token_counts,
+    "op10_language_id": op10_language_id,
 }
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_HEX = "CAST('0x' || substr(md5({0}), 1, {1}) AS BIGINT)"
+
 ORACLE_SQL = {
+    "op3_line_dedup": """
+WITH l AS (SELECT doc_id, coalesce(source, '') AS site, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
+           FROM documents),
+b AS (SELECT trim(line) AS ln, min({'d': doc_id, 'p': pos}) AS first_at FROM l WHERE trim(line) <> '' GROUP BY 1 HAVING count(DISTINCT site) >= 10),
+m AS (SELECT l.doc_id, l.pos, l.line, b.ln IS NOT NULL AND NOT (l.doc_id = b.first_at.d AND l.pos = b.first_at.p) AS gone
+      FROM l LEFT JOIN b ON trim(l.line) = b.ln)
+SELECT d.doc_id, CAST(coalesce(count(m.pos) FILTER (trim(m.line) <> ''), 0) AS BIGINT) AS n_lines,
+       CAST(coalesce(count(m.pos) FILTER (m.gone), 0) AS BIGINT) AS n_removed,
+       CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(string_agg(m.line, chr(10) ORDER BY m.pos) FILTER (NOT m.gone), '') END AS text
+FROM documents d LEFT JOIN m ON m.doc_id = d.doc_id GROUP BY d.doc_id, d.text""",
+    "op4_mixing": f"""
+WITH n AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+r AS (SELECT source, sqrt(n) / (SELECT sum(sqrt(n)) FROM n) * (SELECT sum(n) FROM n) / n AS rate FROM n),
+p AS (SELECT source, k, exp(-rate + k * ln(rate) - lgamma(k + 1)) AS p FROM (SELECT source, rate, unnest(range(0, CAST(ceil(rate + 12 * sqrt(rate)) + 31 AS BIGINT))) AS k FROM r)),
+f AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS f FROM p),
+d AS (SELECT doc_id, d.source, text, count(*) AS times FROM documents d JOIN f ON f.source = d.source
+      WHERE f.f <= {_HEX.format("'20240601:' || doc_id", 13)} / 4503599627370496e0 GROUP BY ALL)
+SELECT doc_id, source, copy_no, {_HEX.format("'20240602:' || doc_id || ':' || copy_no", 15)} AS shuffle_key, text
+FROM (SELECT doc_id, source, text, unnest(range(1, times + 1)) AS copy_no FROM d)""",
     "op7_decontaminate": rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce({_LOWER}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(coalesce({_LOWER}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
