@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from plumbline.plans import calibration, metrics
+
+_FAMILIES = [metrics, calibration]
+
+QUERIES = {name: query for family in _FAMILIES for name, query in family.QUERIES.items()}
+ORACLE_SQL = {name: text for family in _FAMILIES for name, text in family.ORACLE_SQL.items()}
