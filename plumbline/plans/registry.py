@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from plumbline.plans import calibration, metrics
+from plumbline.plans import calibration, metrics, reliability
 
-_FAMILIES = [metrics, calibration]
+_FAMILIES = [metrics, calibration, reliability]
 
 QUERIES = {name: query for family in _FAMILIES for name, query in family.QUERIES.items()}
 ORACLE_SQL = {name: text for family in _FAMILIES for name, text in family.ORACLE_SQL.items()}
