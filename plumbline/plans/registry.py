@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from plumbline.plans import calibration, metrics, numerics, reliability
+from plumbline.plans import calibration, metrics, numerics, reliability, seeds
 
-_FAMILIES = [metrics, calibration, reliability, numerics]
+_FAMILIES = [metrics, calibration, reliability, numerics, seeds]
 
 QUERIES = {name: query for family in _FAMILIES for name, query in family.QUERIES.items()}
 ORACLE_SQL = {name: text for family in _FAMILIES for name, text in family.ORACLE_SQL.items()}
