@@ -24,6 +24,8 @@ from plumbline.llm.words import Words, chunks, mix, split_words
 BUCKETS = 1 << 16
 MAX_LANGUAGES = 256
 LONGEST_GRAM = 4
+#: Distinct words whose features are held at once.
+BLOCK = 20_000
 SWITCH_PENALTY = 6.0
 #: A word speaks for or against a language by this much (natural log) at most.
 WORD_LIMIT = 8.0
@@ -106,12 +108,15 @@ def _uses(texts: pa.Array, language: np.ndarray, n_languages: int) -> tuple[np.n
     words = split_words(_lower(texts), LETTERS)
     if not len(words.start):
         return np.zeros((n_languages, BUCKETS)), np.zeros((n_languages, len(SCRIPTS)))
-    key = words.hashes() + language[words.text_of()].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    _, rows, times = np.unique(key, return_index=True, return_counts=True)
-    lang = language[words.text_of()[rows]]
-    bucket, of = features(words, rows, words.hashes()[rows])
-    grams = np.bincount(lang[of] * BUCKETS + bucket, times[of], n_languages * BUCKETS).reshape(n_languages, BUCKETS)
-    script = np.bincount(lang * len(SCRIPTS) + scripts(words, rows), times, n_languages * len(SCRIPTS)).reshape(n_languages, len(SCRIPTS))
+    hashes, text = words.hashes(), words.text_of()
+    _, rows, times = np.unique(hashes + language[text].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), return_index=True, return_counts=True)
+    grams, script = np.zeros((n_languages, BUCKETS)), np.zeros((n_languages, len(SCRIPTS)))
+    for k in range(0, len(rows), BLOCK):
+        some, often = rows[k : k + BLOCK], times[k : k + BLOCK]
+        lang = language[text[some]]
+        bucket, of = features(words, some, hashes[some])
+        np.add.at(grams, (lang[of], bucket), often[of])
+        np.add.at(script, (lang, scripts(words, some)), often)
     return grams, script
 
 
@@ -155,8 +160,8 @@ def word_scores(words: Words, model: Model) -> np.ndarray:
     hashes = words.hashes()
     _, rows, back = np.unique(hashes, return_index=True, return_inverse=True)
     out = np.zeros((len(rows), len(model.languages)), dtype=np.float32)
-    for k in range(0, len(rows), 20_000):
-        some = rows[k : k + 20_000]
+    for k in range(0, len(rows), BLOCK):
+        some = rows[k : k + BLOCK]
         bucket, of = features(words, some, hashes[some])
         begin = np.searchsorted(of, np.arange(len(some)))
         out[k : k + len(some)] = np.add.reduceat(model.log_prob[bucket], begin, axis=0)

@@ -43,7 +43,7 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lattice_lm.score(documents(spark, sf_dir), crc_fold(F.col("doc_id"), 7) == 2)
+    return lattice_lm.score(documents(spark, sf_dir), crc_fold(F.col("doc_id"), 7) == 2, group=F.col("lang"))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
