@@ -26,22 +26,22 @@ def json_path(keys: Column) -> Column:
     return F.concat(F.lit("$"), F.array_join(F.transform(keys, lambda k: F.when(k.rlike("^[0-9]+$"), F.concat(F.lit("["), k, F.lit("]"))).otherwise(F.concat(F.lit("."), k))), ""))
 
 
-def walk(evidence: Column, keys: Column, depth: int = 6) -> Column:
-    """What stands in JSON text at the end of up to depth keys, as text; null if the way ends before.
+def walk(evidence: Column, keys: Column) -> Column:
+    """What stands in JSON text at the end of the keys, as text; null if the way ends before.
 
     A negative index counts from the end of an array.
     """
-    now = evidence
-    for k in range(depth):
-        key = F.try_element_at(keys, F.lit(k + 1))
+
+    def step(now: Column, key: Column) -> Column:
         items = F.from_json(now, "array<variant>")
         place = F.when(key.rlike("^-?[0-9]+$"), key.cast("int"))
-        found = F.when(place < 0, F.try_element_at(items, place)).otherwise(F.try_element_at(items, place + 1))
+        found = F.try_element_at(items, F.when(place < 0, place).otherwise(place + 1))
         of_array = F.when(place.isNotNull() & (F.substring(F.trim(now), 1, 1) == "["), F.to_json(found))
         member = F.try_element_at(F.from_json(now, "map<string,variant>"), key)
         of_object = F.when(F.substring(F.trim(now), 1, 1) == "{", F.to_json(member))
-        now = F.when(key.isNull(), now).otherwise(F.coalesce(of_array, of_object))
-    return now
+        return F.coalesce(of_array, of_object)
+
+    return F.aggregate(keys, evidence, step)
 
 
 def scalar(raw: Column, end: Column) -> Column:
