@@ -38,6 +38,8 @@ HEAVY_SHARE = 2e-6
 MAX_GROUPS = 16
 #: Distinct words that a task holds before it hands counts on.
 FLUSH = 300_000
+#: Distinct words that go through the lattice together: numpy's work on words of one length needs many of them.
+TOGETHER = 100_000
 #: Rank offset of the vocabulary's first weights: 1 / (offset + rank).
 RANK_OFFSET = 30.0
 _STEP, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -157,6 +159,18 @@ def _same_length(text: np.ndarray, pieces: Pieces, weights: np.ndarray, expect:
     return whole
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int = TOGETHER) -> Iterator[pa.RecordBatch]:
+    """The batches joined to ones of about so many rows."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(x.num_rows for x in held) >= rows:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _counts(groups: int) -> list[str]:
     return [f"c{k}" for k in range(groups)]
 
@@ -207,7 +221,7 @@ def fit_pieces(words: DataFrame, pieces: Pieces, groups: int, rounds: int = EM_R
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             known, now = shared.value
             expect = np.zeros((groups, len(known.hash)))
-            for batch in batches:
+            for batch in _gathered(batches):
                 spelt = batch.column("word")
                 for k in range(groups):
                     own = spelt.filter(pa.array(np.asarray(batch.column(f"c{k}")) > 0)).to_pylist()
@@ -270,7 +284,7 @@ def score(docs: DataFrame, held_out, group=None, vocabulary: str = VOCABULARY, a
     spelling = spark.sparkContext.broadcast((pieces, fit_pieces(counted, pieces, groups, rounds)))
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _gathered(batches):
             marginal = lattice(batch.column("word").to_pylist(), *spelling.value)
             yield pa.RecordBatch.from_arrays([batch.column("h"), *(batch.column(c) for c in cs), *(pa.array(marginal[:, k].copy()) for k in range(groups))], ["h", *cs, *ls])
 
