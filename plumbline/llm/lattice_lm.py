@@ -39,7 +39,7 @@ MAX_GROUPS = 16
 #: Distinct words that a task holds before it hands counts on.
 FLUSH = 300_000
 #: Distinct words that go through the lattice together: numpy's work on words of one length needs many of them.
-TOGETHER = 100_000
+TOGETHER = 50_000
 #: Rank offset of the vocabulary's first weights: 1 / (offset + rank).
 RANK_OFFSET = 30.0
 _STEP, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -189,7 +189,7 @@ def word_counts(docs: DataFrame, groups: int) -> DataFrame:
             total = [pa.array(np.bincount(back, c[:, k], len(unique)).astype(np.int64)) for k in range(groups)]
             return pa.RecordBatch.from_arrays([pa.array(unique.view(np.int64)), pa.array([names[k] for k in first.tolist()], pa.binary()), *total], ["h", "word", *_counts(groups)])
 
-        for part in chunks(batches, "text", 8 << 20):
+        for part in chunks(batches, "text", 4 << 20):
             words = split_words(part.column("text"), NOT_SPACE)
             if not len(words.start):
                 continue
