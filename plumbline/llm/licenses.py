@@ -116,9 +116,20 @@ def variants(spark: SparkSession) -> DataFrame:
 
 
 def ordinary(docs: DataFrame, rows: int = ORDINARY_ROWS) -> DataFrame:
-    """(family, words, held): a bounded sample of paragraphs without licensing words, by hash of their words."""
-    plain = paragraphs(docs).select("words").where(~F.exists("words", lambda w: w.rlike("licen[sc]|copyright|rights|gnu|apache|warrant")))
-    picked = plain.withColumn("at", F.xxhash64("words")).orderBy("at").limit(rows)
+    """(family, words, held): a bounded sample of distinct paragraphs without licensing words, the first so many by hash of their words.
+
+    Only hashes below a bound are sorted; it is raised as long as too few are.
+    """
+    each = docs.select(F.lower(F.explode(F.split("text", "[\r\n]+"))).alias("paragraph")).where(~F.col("paragraph").rlike("licen[sc]|copyright|rights|gnu|apache|warrant"))
+    plain = each.select(_words(F.col("paragraph")).alias("words")).where(F.size("words") > 0).withColumn("at", F.xxhash64("words"))
+    many = docs.agg(F.sum(F.size(F.split("text", "[\r\n]+")))).first()[0] or 0
+    share = 4.0 * rows / max(many, 1)
+    while True:
+        low = plain.where(F.col("at") < int(share * 2**64) - 2**63) if share < 1 else plain
+        picked = cut(low.dropDuplicates(["at"]).orderBy("at").limit(rows))
+        if share >= 1 or picked.count() >= rows:
+            break
+        share *= 8
     return picked.select(F.lit(ORDINARY).alias("family"), F.slice("words", 1, 400).alias("words"), (F.pmod("at", F.lit(5)) == 4).alias("held"))
 
 
