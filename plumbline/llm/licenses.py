@@ -120,7 +120,7 @@ def ordinary(docs: DataFrame, rows: int = ORDINARY_ROWS) -> DataFrame:
 
     Only hashes below a bound are sorted; it is raised as long as too few are.
     """
-    each = docs.select(F.lower(F.explode(F.split("text", "[\r\n]+"))).alias("paragraph")).where(~F.col("paragraph").rlike("licen[sc]|copyright|rights|gnu|apache|warrant"))
+    each = docs.select(F.explode(F.split(F.lower("text"), "[\r\n]+")).alias("paragraph")).where(~F.col("paragraph").rlike("licen[sc]|copyright|rights|gnu|apache|warrant"))
     plain = each.select(_words(F.col("paragraph")).alias("words")).where(F.size("words") > 0).withColumn("at", F.xxhash64("words"))
     many = docs.agg(F.sum(F.size(F.split("text", "[\r\n]+")))).first()[0] or 0
     share = 4.0 * rows / max(many, 1)
