@@ -311,7 +311,7 @@ def score(docs: DataFrame, held_out, group=None, vocabulary: str = VOCABULARY, a
             common = known[where] == h if len(known) else np.zeros(len(h), dtype=bool)
             place, owner, often = where[common], text[common], times[common]
             total = count[place].sum(axis=1)
-            base = np.bincount(owner, often * np.log((total + 1) / base_all), n)
+            base = np.bincount(owner, often * np.log((total + 1) / base_all), n).astype(np.float64)  # whole numbers if there is nothing to count
             model = np.empty((n, groups))
             for k in range(groups):
                 static = (count[place, k] + new[k] * np.exp(spelt[place, k])) / model_all[k]
