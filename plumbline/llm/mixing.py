@@ -9,6 +9,11 @@ source are aggregated before.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,16 +23,33 @@ SEED = 20240601
 #: Default weights: a source's number of documents to this power.
 TEMPERATURE = 0.5
 MAX_BROADCAST_SOURCES = 100_000
-#: A source that would have to be repeated more often than this is an error in the weights.
-MAX_RATE = 500.0
+#: Numbers in all distributions together, beyond which they aren't broadcast.
+MAX_BROADCAST_STEPS = 4_000_000
 
 
 def _digits(text, n: int):
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, n), 16, 10).cast("long")
 
 
+def poisson(rate: float) -> tuple[int, np.ndarray]:
+    """(least, cdf) of a Poisson distribution: cdf[k] is the probability of at most least + k.
+
+    It spans twelve standard deviations to either side of the mean; what lies
+    beyond is far less than the step between uniform numbers. Terms are taken
+    relative to the largest, so that none of weight underflows at any rate.
+    """
+    if rate <= 0:
+        return 0, np.ones(1)
+    spread = 12 * math.sqrt(rate)
+    least = max(0, math.floor(rate - spread) - 30)
+    k = np.arange(least, math.ceil(rate + spread) + 31)
+    log_p = np.concatenate(([0.0], np.cumsum(np.log(rate / k[1:]))))
+    cdf = np.cumsum(np.exp(log_p - log_p.max()))
+    return least, cdf / cdf[-1]
+
+
 def rates(docs: DataFrame, weights: dict[str, float] | None = None, total: int | None = None, temperature: float = TEMPERATURE) -> DataFrame:
-    """(source, n, rate, cdf): cdf[k] is the probability of at most k copies.
+    """(source, n, rate, least, cdf): cdf[k] is the probability of at most least + k copies. Any rate is fine.
 
     Target shares are weights, normalised over the sources that docs has (a
     source without a weight gets none), or n ** temperature. total: documents
@@ -46,17 +68,14 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, total: int |
     wanted = float(total if total is not None else sums.n or 0)
     rate = F.col("weight") / F.lit(float(sums.weight or 1.0)) * wanted / F.col("n")
     rated = weighed.select("source", "n", rate.alias("rate"))
-    most = rated.agg(F.max("rate")).first()[0] or 0.0
-    if most > MAX_RATE:
-        raise ValueError(f"a source would be repeated {most:.0f} times; at most {MAX_RATE:.0f} are allowed")
-    start = F.exp(-F.col("rate"))
-    steps = F.sequence(F.lit(1), (F.ceil(F.col("rate") + 12 * F.sqrt("rate")) + 30).cast("int"))
-    grown = F.aggregate(
-        steps,
-        F.struct(start.alias("p"), F.array(start).alias("cdf")),
-        lambda a, k: F.struct((a["p"] * F.col("rate") / k).alias("p"), F.concat(a["cdf"], F.array(F.element_at(a["cdf"], -1) + a["p"] * F.col("rate") / k)).alias("cdf")),
-    )
-    return rated.select("source", "n", "rate", grown["cdf"].alias("cdf"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [poisson(r) for r in batch.column("rate").to_pylist()]
+            least, cdf = pa.array([k for k, _ in found], pa.int64()), pa.array([c for _, c in found], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("source", "n", "rate")), least, cdf], ["source", "n", "rate", "least", "cdf"])
+
+    return rated.mapInArrow(run, "source string, n long, rate double, least long, cdf array<double>")
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: int | None = None, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
@@ -67,11 +86,14 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: int | N
     is that of a hash of doc_id, copy and seed over the whole mix (one range
     shuffle). An empty table gives an empty mix.
     """
-    table = broadcast_if(cut(rates(docs, weights, total, temperature).select(F.col("source").alias("_pl_source"), F.col("cdf").alias("_pl_cdf"))), MAX_BROADCAST_SOURCES)
+    table = cut(rates(docs, weights, total, temperature).select(F.col("source").alias("_pl_source"), F.col("least").alias("_pl_least"), F.col("cdf").alias("_pl_cdf")))
+    if (table.agg(F.sum(F.size("_pl_cdf"))).first()[0] or 0) <= MAX_BROADCAST_STEPS:
+        table = broadcast_if(table, MAX_BROADCAST_SOURCES)
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     uniform = _digits(F.concat_ws(":", F.lit(str(seed)), name), 13) / F.lit(float(1 << 52))
     joined = docs.join(table, F.coalesce(docs["source"].cast("string"), F.lit("")) == F.col("_pl_source"))
-    drawn = joined.withColumn("_pl_u", uniform).withColumn("_pl_n", F.size(F.filter("_pl_cdf", lambda c: c <= F.col("_pl_u")))).where("_pl_n > 0")
+    times = F.col("_pl_least").cast("int") + F.size(F.filter("_pl_cdf", lambda c: c <= F.col("_pl_u")))
+    drawn = joined.withColumn("_pl_u", uniform).withColumn("_pl_n", times).where("_pl_n > 0")
     copies = drawn.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_pl_n"))).alias("_pl_copy"))
     order = _digits(F.concat_ws(":", F.lit(str(seed + 1)), name, F.col("_pl_copy").cast("string")), 15)
     return copies.withColumn("_pl_order", order).orderBy("_pl_order", "doc_id", "_pl_copy")

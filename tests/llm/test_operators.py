@@ -1,5 +1,6 @@
 """The corpus operators against brute force, round trips and odd tables."""
 
+import hashlib
 import itertools
 import math
 import random
@@ -234,6 +235,21 @@ def test_mixing_rates(spark):
     assert got["a"] == pytest.approx(3000, abs=300) and got["b"] == pytest.approx(3000, abs=300)
 
 
+def test_mixing_at_any_rate(spark):
+    """Sources that are repeated 600 and 2400 times: copies are those of the inversion, term by term in logarithms as in the SQL."""
+    rows = [(7, "rare"), *((k, "more") for k in range(100, 116))]
+    mixed = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), total=12_000)
+    got = {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()}
+    for doc_id, source in rows:
+        rate = 2400 if source == "rare" else 600
+        u = int(hashlib.md5(f"{mixing.SEED}:{doc_id}".encode()).hexdigest()[:13], 16) / 2**52
+        k, below = 0, math.exp(-rate)
+        while below <= u:
+            k += 1
+            below += math.exp(-rate + k * math.log(rate) - math.lgamma(k + 1))
+        assert got[doc_id] == k
+
+
 def test_html_layout():
     page = "<html><head><title>t</title><style>x{}</style></head><body><h1>Head</h1><p>One <b>two</b><p>Three<ul><li>a<li>b</ul><div hidden>no</div><table><tr><th>k<th>value<tr><td>long key<td>1</table><script>no()</script></body>"
     lines = html_text.render(page).split("\n")
