@@ -22,17 +22,25 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def load_vocabulary(path: str = VOCABULARY) -> tuple[list[bytes], list[bytes]]:
-    """(word-initial pieces, continuation pieces) of a sentencepiece model: those with and without its word mark."""
+    """(word-initial pieces, continuation pieces) of a sentencepiece model: those with and without its word mark.
+
+    The bare mark is the empty word-initial piece; byte pieces are continuation pieces of one byte.
+    """
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    names = [model.id_to_piece(k) for k in range(model.get_piece_size()) if not (model.is_control(k) or model.is_unknown(k) or model.is_byte(k))]
-    first = sorted({n[1:].encode() for n in names if n[0] == "▁" and len(n) > 1 and "▁" not in n[1:]})
-    return first, sorted({n.encode() for n in names if "▁" not in n})
+    ids = [k for k in range(model.get_piece_size()) if not (model.is_control(k) or model.is_unknown(k))]
+    names = [model.id_to_piece(k) for k in ids if not model.is_byte(k)]
+    single = {bytes([int(model.id_to_piece(k)[3:-1], 16)]) for k in ids if model.is_byte(k)}  # named <0x00> to <0xFF>
+    first = sorted({n[1:].encode() for n in names if n[0] == "▁" and "▁" not in n[1:]})
+    return first, sorted({n.encode() for n in names if "▁" not in n} | single)
 
 
 class Automaton:
-    """Trie over bytes with two roots: 0 for the word's start, 1 for what follows a piece."""
+    """Trie over bytes with two roots: 0 for the word's start, 1 for what follows a piece.
+
+    With an empty piece in first, a word that no other of them begins takes it and goes on at root 1.
+    """
 
     def __init__(self, first: list[bytes], rest: list[bytes]):
         edges: list[dict[int, int]] = [{}, {}]
@@ -50,6 +58,8 @@ class Automaton:
         n = len(edges)
         #: Where to go on when no edge fits (-1: the word can't be split), and how many tokens that completes.
         self.link, self.popped = np.full(n, -1, dtype=np.int32), np.zeros(n, dtype=np.int32)
+        if b"" in first:
+            self.link[0], self.popped[0] = 1, 1
         queue = [0, 1]
         for node in queue:
             for byte, child in edges[node].items():
@@ -124,7 +134,9 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, n_words, n_tokens, n_unknown) of every row of docs(doc_id, text).
 
     Words are runs without blanks, A-Z lower-cased. n_tokens: pieces that greedy
-    longest-match-first splitting gives; a word that it can't split is one token
+    longest-match-first splitting gives. The bare word mark is a piece, and
+    characters beyond the vocabulary are one token a byte; only with a vocabulary
+    that lacks these can there be words that can't be split: each is one token
     and counted in n_unknown. Null and empty texts have none. Repeated rows each
     get their row; other columns are ignored; words may be of any length.
     """

@@ -205,6 +205,33 @@ def test_token_counts_brute_force():
     assert automaton.count(data, start, end).tolist() == [greedy(w) for w in words]
 
 
+def test_token_counts_mark_and_bytes():
+    """The bare word mark and byte pieces: every word has a greedy length."""
+    rng = random.Random(4)
+    make = lambda n: {bytes(rng.choices(b"abc", k=rng.randint(2, 4))) for _ in range(n)}
+    first, rest = sorted(make(12) | {b""}), sorted(make(12) | {b"a", b"b", b"c", b"d"})
+    automaton = token_counts.Automaton(first, rest)
+
+    def greedy(word):
+        size = max(k for k in range(len(word) + 1) if word[:k] in first)
+        count, at = 1, size
+        while at < len(word):
+            at += next(k for k in range(len(word) - at, 0, -1) if word[at : at + k] in rest)
+            count += 1
+        return count
+
+    words = [bytes(rng.choices(b"aaabbbcccd", k=rng.randint(1, 12))) for _ in range(2000)]
+    end = np.cumsum([len(w) for w in words])
+    got = automaton.count(np.frombuffer(b"".join(words), dtype=np.uint8), end - [len(w) for w in words], end)
+    assert got.tolist() == [greedy(w) for w in words]
+
+
+def test_token_counts_of_numbers_and_rare_characters(spark):
+    texts = ["2024", "\U0001f9ff", "the \U0001f9ff 2024", "7\U0001f9ff"]
+    out = token_counts.token_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert [(r.n_words, r.n_tokens, r.n_unknown) for r in out.orderBy("doc_id").collect()] == [(1, 5, 0), (1, 5, 0), (3, 11, 0), (1, 6, 0)]
+
+
 def test_viterbi_brute_force():
     rng = np.random.default_rng(3)
     for n in (1, 2, 5):
