@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -33,8 +34,15 @@ IMPLIED = [
     (frozenset({"option", "optgroup"}), frozenset({"option"}), frozenset({"select", "datalist"})),
     (BLOCK - {"body", "html", "td", "th", "tr", "li", "dd", "dt", "tbody", "thead", "tfoot", "caption"}, frozenset({"p"}), frozenset({"td", "th", "table", "li", "button"})),
 ]
-#: Nesting beyond this is flattened: deeper elements become children of the last level.
-MAX_DEPTH = 200
+SECTIONS = frozenset({"tbody", "thead", "tfoot"})
+#: In a table, a start tag of these ends all that is open within the nearest element of the value.
+IN_TABLE = {
+    **dict.fromkeys(("caption", "colgroup", *SECTIONS), frozenset({"table"})),
+    "col": frozenset({"table", "colgroup"}),
+    "tr": frozenset({"table", *SECTIONS}),
+    **dict.fromkeys(("td", "th"), frozenset({"table", "tr", *SECTIONS})),
+}
+CELLS = frozenset({"td", "th"})
 
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _INVISIBLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)|content-visibility\s*:\s*hidden)\b", re.IGNORECASE)
@@ -61,30 +69,42 @@ class TreeBuilder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("#root", {})
         self.open = [self.root]
+        #: Where in open each tag stands, so that no depth of nesting makes a search long.
+        self.at: dict[str, list[int]] = defaultdict(list)
+
+    def _nearest(self, tags) -> int:
+        """Where the innermost open element of one of the tags is; 0 (the root) if none is open."""
+        return max((self.at[t][-1] for t in tags if self.at[t]), default=0)
+
+    def _close(self, k: int) -> None:
+        """Ends the open elements from place k on."""
+        while len(self.open) > k:
+            self.at[self.open.pop().tag].pop()
+
+    def _begin(self, node: Node) -> None:
+        self.open[-1].children.append(node)
+        if node.tag not in VOID:
+            self.at[node.tag].append(len(self.open))
+            self.open.append(node)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         for begins, ends, within in IMPLIED:
             if tag in begins:
-                for k in range(len(self.open) - 1, 0, -1):
-                    if self.open[k].tag in within:
-                        break
-                    if self.open[k].tag in ends:
-                        del self.open[k:]
-        node = Node(tag, dict(reversed(attrs)))
-        self.open[-1].children.append(node)
-        if tag not in VOID and len(self.open) < MAX_DEPTH:
-            self.open.append(node)
+                while (k := self._nearest(ends)) > self._nearest(within):
+                    self._close(k)
+        if tag in IN_TABLE and self.at["table"]:
+            self._close(self._nearest(IN_TABLE[tag]) + 1)
+            if tag in CELLS and self.open[-1].tag != "tr":
+                self._begin(Node("tr", {}))
+        self._begin(Node(tag, dict(reversed(attrs))))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)  # in HTML, <p/> opens a paragraph
 
     def handle_endtag(self, tag: str) -> None:
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag == tag:
-                del self.open[k:]
-                return
-            if self.open[k].tag in ("td", "th", "table") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
-                return
+        k = self._nearest((tag,))
+        if k and (tag in ("table", "tr", "tbody", "thead", "tfoot", "body", "html") or k >= self._nearest(("td", "th", "table"))):
+            self._close(k)
 
     def handle_data(self, data: str) -> None:
         if data:
@@ -149,31 +169,54 @@ def _number(value: str | None, default: int, most: int) -> int:
     return min(int(found[1]), most) if found else default
 
 
-def _rows(node: Node) -> Iterator[Node]:
-    for child in node.children:
-        if isinstance(child, Node) and child.shown:
-            if child.tag == "tr":
-                yield child
-            elif child.tag in ("tbody", "thead", "tfoot"):
-                yield from _rows(child)
+# Rendering is by generators that yield the parts to be rendered next: nesting of any depth needs no recursion.
+Steps = Iterator["Steps"]
+
 
+def _run(steps: Steps) -> None:
+    stack = [steps]
+    while stack:
+        part = next(stack[-1], None)
+        if part is None:
+            stack.pop()
+        else:
+            stack.append(part)
+
+
+def _parts(node: Node) -> tuple[list[Node], list[Node | str]]:
+    """The shown rows of a table, and whatever of it is in no cell, in order."""
+    rows, stray = [], []
+    left = node.children[::-1]
+    while left:
+        child = left.pop()
+        if isinstance(child, str):
+            stray.append(child)
+        elif child.shown:
+            if child.tag == "tr" or child.tag in SECTIONS:
+                if child.tag == "tr":
+                    rows.append(child)
+                left += [c for c in reversed(child.children) if not (child.tag == "tr" and isinstance(c, Node) and c.tag in CELLS)]
+            elif child.tag not in ("col", "colgroup"):
+                stray.append(child)
+    return rows, stray
 
-def _table(node: Node, page: Page) -> None:
+
+def _table(node: Node, page: Page) -> Steps:
     """Rows of cells in aligned columns, two blanks apart; what isn't in a cell stands before the table."""
-    for child in node.children:
-        if isinstance(child, Node) and child.shown and child.tag not in ("tr", "tbody", "thead", "tfoot", "col", "colgroup"):
-            _render(child, page, False)
+    rows, stray = _parts(node)
+    for child in stray:
+        if isinstance(child, str):
+            page.text(child, False)
+        else:
+            yield _render(child, page, False)
+    page.flush()
     grid = []
-    for row in _rows(node):
+    for row in rows:
         cells = []
         for cell in row.children:
-            if isinstance(cell, str):
-                if cell.strip():
-                    cells.append([" ".join(cell.split())])
-                continue
-            if cell.shown:
+            if isinstance(cell, Node) and cell.tag in CELLS and cell.shown:
                 inner = Page()
-                _children(cell, inner, False)
+                yield _children(cell, inner, False)
                 cells += [inner.done() or [""]] + [[""]] * (_number(cell.attrs.get("colspan"), 1, 50) - 1)
         if cells:
             grid.append(cells)
@@ -189,22 +232,22 @@ def _table(node: Node, page: Page) -> None:
                 page.put([line])
 
 
-def _children(node: Node, page: Page, pre: bool) -> None:
+def _children(node: Node, page: Page, pre: bool) -> Steps:
     for child in node.children:
         if isinstance(child, str):
             page.text(child, pre)
         elif child.shown:
-            _render(child, page, pre)
+            yield _render(child, page, pre)
 
 
-def _indented(node: Node, page: Page, pre: bool, mark: str) -> None:
+def _indented(node: Node, page: Page, pre: bool, mark: str) -> Steps:
     inner = Page(item=node.tag == "li")
-    _children(node, inner, pre)
+    yield _children(node, inner, pre)
     lines = inner.done()
     page.put([(mark if not k else " " * len(mark)) + line if line else "" for k, line in enumerate(lines)])
 
 
-def _render(node: Node, page: Page, pre: bool) -> None:
+def _render(node: Node, page: Page, pre: bool) -> Steps:
     tag = node.tag
     if tag == "br":
         page.flush(keep=True)
@@ -217,12 +260,12 @@ def _render(node: Node, page: Page, pre: bool) -> None:
     elif tag == "img":
         page.text(node.attrs.get("alt") or "", False)
     elif tag not in BLOCK:
-        _children(node, page, pre)
+        yield _children(node, page, pre)
     else:
         nested = page.item and tag in ("ul", "ol", "menu", "dir")
         page.block(tag in SPACED and not nested)
         if tag == "table":
-            _table(node, page)
+            yield _table(node, page)
         elif tag in ("ul", "menu", "dir", "ol"):
             count = _number(node.attrs.get("start"), 1, 10**6)
             for child in node.children:
@@ -230,16 +273,16 @@ def _render(node: Node, page: Page, pre: bool) -> None:
                     count = _number(child.attrs.get("value"), count, 10**6)
                     if child.shown:
                         page.flush()
-                        _indented(child, page, pre, f"{count}. " if tag == "ol" else "- ")
+                        yield _indented(child, page, pre, f"{count}. " if tag == "ol" else "- ")
                     count += 1
                 elif isinstance(child, str):
                     page.text(child, pre)
                 elif child.shown:
-                    _render(child, page, pre)
+                    yield _render(child, page, pre)
         elif tag in ("blockquote", "dd"):
-            _indented(node, page, pre, "  ")
+            yield _indented(node, page, pre, "  ")
         else:
-            _children(node, page, pre or tag == "pre")
+            yield _children(node, page, pre or tag == "pre")
         page.block(tag in SPACED and not nested)
 
 
@@ -249,7 +292,7 @@ def render(html: str | None) -> str:
     builder.feed((html or "").replace("\x00", ""))
     builder.close()
     page = Page()
-    _children(builder.root, page, False)
+    _run(_children(builder.root, page, False))
     lines = page.done()
     while lines and not lines[0]:
         del lines[0]

@@ -287,6 +287,22 @@ def test_html_layout():
     assert html_text.render(None) == html_text.render("<p>") == ""
 
 
+def test_html_tables_with_tags_left_out():
+    shown = lambda page: [x.strip() for x in html_text.render(page).split("\n") if x.strip()]
+    assert shown("<table><thead><th>Name<th>Age</thead><tbody><td>x<td>7</tbody></table>") == ["Name  Age", "x     7"]
+    assert shown("<table><td>a<tr><td>b</table>c") == ["a", "b", "c"]
+    assert shown("<table>stray<tbody>more<i>!</i><tr>too<td>x</table>") == ["straymore!too", "x"]
+    assert shown("<table><colgroup><col><col><tr><td>k<td>v</table>") == ["k  v"]
+    assert shown("<table><tr><td>a<table><th>in</table>b<td>c</table>") == ["a   c", "in", "b"]
+
+
+def test_html_of_any_depth():
+    deep = "<b>" * 5000 + "<div>" * 5000
+    page = f"{deep}<script>no()</script><div hidden>no</div><ul><li>one<li>two</ul><table><tr><td>k<td>v</table><p>end"
+    assert [x for x in html_text.render(page).split("\n") if x] == ["- one", "- two", "k  v", "end"]
+    assert html_text.render("<blockquote>" * 1500 + "x").strip() == "x"
+
+
 def test_html_table(spark):
     rows = [(1, "u", "<p>x"), (1, "u", "<p>x"), (None, None, None), (2, "u", "")]
     out = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string"))
