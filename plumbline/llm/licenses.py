@@ -11,8 +11,6 @@ Spark ML's feature stages only.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
@@ -28,6 +26,8 @@ ORDINARY_ROWS = 5000
 VARIANTS = 25
 #: Share of the calibration variants that may fall below the threshold.
 MISSED = 0.02
+#: Share of the held ordinary paragraphs that may be taken for licences.
+ALARMS = 0.001
 #: Least share of a paragraph's 3-grams that a template must have, or the reverse.
 CONFIRM = 0.5
 ORDINARY, UNKNOWN = "none", "unknown"
@@ -68,16 +68,6 @@ TEMPLATES = [
 ]
 
 
-
-def _trigrams(text: str) -> set[str]:
-    words = [w for w in re.split("[^a-z0-9]+", text.lower()) if w]
-    return {" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))}
-
-
-#: All word 3-grams of the templates, a few hundred.
-TEMPLATE_GRAMS = sorted(set().union(*(_trigrams(text) for _, text in TEMPLATES)))
-
-
 def _words(text) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
 
@@ -130,14 +120,14 @@ def ordinary(docs: DataFrame, rows: int = ORDINARY_ROWS) -> DataFrame:
         if share >= 1 or picked.count() >= rows:
             break
         share *= 8
-    return picked.select(F.lit(ORDINARY).alias("family"), F.slice("words", 1, 400).alias("words"), (F.pmod("at", F.lit(5)) == 4).alias("held"))
+    return picked.select(F.lit(ORDINARY).alias("family"), "words", (F.pmod("at", F.lit(5)) == 4).alias("held"))
 
 
 class Classifier:
-    """A fitted model, its class names and the threshold on the probability of a family."""
+    """A fitted model, its class names, the threshold on the probability of a family and the one that `none` stays below."""
 
-    def __init__(self, model: LogisticRegressionModel, names: list[str], threshold: float):
-        self.model, self.names, self.threshold = model, names, threshold
+    def __init__(self, model: LogisticRegressionModel, names: list[str], threshold: float, plain: float):
+        self.model, self.names, self.threshold, self.plain = model, names, threshold, plain
 
 
 def fit(docs: DataFrame, ordinary_rows: int = ORDINARY_ROWS) -> Classifier:
@@ -150,26 +140,26 @@ def fit(docs: DataFrame, ordinary_rows: int = ORDINARY_ROWS) -> Classifier:
     seen = model.transform(rows.where("held and family not in ('none', 'unknown')"))
     top = seen.where("prediction = label").select(F.array_max(vector_to_array("probability")).alias("p"))
     threshold = top.agg(F.percentile("p", F.lit(MISSED))).first()[0]
-    return Classifier(model, names, float(threshold if threshold is not None else 1.0))
+    none = model.transform(rows.where("held and family = 'none'")).select(vector_to_array("probability")[names.index(ORDINARY)].alias("p"))
+    plain = none.agg(F.percentile("p", F.lit(ALARMS))).first()[0]
+    return Classifier(model, names, float(threshold if threshold is not None else 1.0), min(0.5, float(plain if plain is not None else 0.5)))
 
 
 def classify(rows: DataFrame, fitted: Classifier) -> DataFrame:
     """rows(words, ...) that read like a licence, with family, probability and overlap (share of 3-grams with the best template).
 
     family is `unknown` where the probability is below the calibrated threshold
-    or no template of the family confirms it. A paragraph that shares no 3-gram
-    with any template at all is not taken for a licence.
+    or no template of the family confirms it, however far its wording is from
+    all templates. Only the probability of `none` says what reads like a licence.
     """
     spark = rows.sparkSession
     scored = fitted.model.transform(_vectors(rows)).withColumn("p", vector_to_array("probability"))
     none = fitted.names.index(ORDINARY)
-    licence = scored.where(F.col("p")[none] < 0.5).drop("features", "rawPrediction", "probability")
+    licence = scored.where(F.col("p")[none] < fitted.plain).drop("features", "rawPrediction", "probability")
     known = F.array(*[F.struct(F.col("p")[k].alias("p"), F.lit(n).alias("family")) for k, n in enumerate(fitted.names) if n not in (ORDINARY, UNKNOWN)])
     best = licence.withColumn("best", F.array_max(known)).drop("p", "prediction")
     grams = lambda words: F.array_distinct(F.when(F.size(words) < 3, F.array(F.array_join(words, " "))).otherwise(_grams(words, 3)))
     known_grams = templates(spark).select("family", grams(F.col("words")).alias("grams")).groupBy("family").agg(F.collect_list("grams").alias("templates"))
-    wording = F.array(*map(F.lit, TEMPLATE_GRAMS))
-    best = best.where(F.arrays_overlap(grams(F.col("words")), wording))
     met = best.join(F.broadcast(known_grams), best["best.family"] == known_grams["family"], "left")  # one row a family
     mine = grams(F.col("words"))
     overlap = F.aggregate(

@@ -316,6 +316,19 @@ def test_licenses(spark, docs):
     assert {r.doc_id - 10**9: r.families for r in out.collect()} == {k: f for k, (_, f) in enumerate(texts)}
 
 
+def test_licences_of_unknown_wording(spark, docs):
+    """Licence words in an order of no template, and a family's words that no template confirms: unknown, not dropped."""
+    texts = ["public license GNU terms software redistribute copyright General version Foundation", "permission warranty license license's conditions copyright notice software reserved rights"]
+    rows = spark.createDataFrame([(10**9 + k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    out = licenses.scan(docs.select("doc_id", "text").union(rows)).where(F.col("doc_id") >= 10**9)
+    assert [(r.n_licence, r.families) for r in out.collect()] == [(1, ["unknown"])] * 2
+
+
+def test_licences_learn_from_whole_paragraphs(spark):
+    long = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(1000)))], "doc_id long, text string")
+    assert [len(r.words) for r in licenses.ordinary(long).collect()] == [1000]
+
+
 def test_words_of_many_texts():
     texts = ["Äb  C\x0bd", None, "", "x" * 70_000]
     words = language_id.split_words(pa.array(texts), language_id.LETTERS)
