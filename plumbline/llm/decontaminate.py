@@ -21,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from plumbline.llm.words import ALNUM, chunks, mix, split_words
+from plumbline.llm.words import ALNUM, mix, pieces, split_words
 
 WINDOW = 10
 #: Words of benchmark text that are broadcast at once; more are searched for block by block.
@@ -171,9 +172,9 @@ def _search(block) -> object:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b: Block = block.value
-        for part in chunks(batches, "_pl_text", 4 << 20):
+        for part, texts in pieces(batches, "_pl_row", "text", 4 << 20):
             n = part.num_rows
-            words, text, first = _shard(part.column("_pl_text"), b.depth)
+            words, text, first = _shard(texts, b.depth)
             hit = np.zeros(len(text), dtype=bool)
             items: list[set] = [set(x or ()) for x in part.column("_pl_items").to_pylist()]
             best = part.column("_pl_best").to_pylist()
@@ -204,14 +205,13 @@ def _search(block) -> object:
                     spans[r].append({"start": s - int(first[r]), "end": stop - int(first[r])})
                     s = stop
             marks = [pa.array(np.diff(first)), pa.array(spans, span), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(best, best_type)]
-            kept = [c for c in part.schema.names if not c.startswith("_pl_") or c == "_pl_text"]
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *marks], [*kept, "_pl_words", "_pl_spans", "_pl_items", "_pl_best"])
+            yield pa.RecordBatch.from_arrays([part.column("_pl_row"), *marks], ["_pl_row", "_pl_words", "_pl_spans", "_pl_items", "_pl_best"])
 
     return run
 
 
 def marked(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """docs with the columns _pl_words, _pl_spans, _pl_items and _pl_best.
+    """Rows of docs as one struct column _pl_row, with _pl_words, _pl_spans, _pl_items and _pl_best.
 
     _pl_spans: runs of hit words [start, end); _pl_items: ids of the items with
     a window in the text; _pl_best: the longest verbatim match, where it starts
@@ -219,14 +219,15 @@ def marked(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_wo
     """
     spark = docs.sparkSession
     empty = {"_pl_words": "cast(0 as bigint)", "_pl_spans": f"cast(array() as {_FOUND})", "_pl_items": "cast(array() as array<string>)", "_pl_best": "cast(null as struct<length:int,start:int,item:string>)"}
-    out = docs.withColumn("_pl_text", F.coalesce(F.col("text").cast("string"), F.lit(""))).withColumns({k: F.expr(v) for k, v in empty.items()})
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", _pl_text string, " + _MARKS
+    row = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("_pl_row"))
+    out = row.select("_pl_row", *[F.expr(v).alias(k) for k, v in empty.items()])
+    shape = StructType([*row.schema.fields, *StructType.fromDDL(_MARKS).fields])
     some = False
     for block in blocks(benchmark, window, block_words):
         out, some = out.mapInArrow(_search(spark.sparkContext.broadcast(block)), shape), True
     if not some:
         out = out.mapInArrow(_search(spark.sparkContext.broadcast(Block([], window))), shape)
-    return out.drop("_pl_text")
+    return out
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -242,12 +243,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_w
     """
     out = marked(docs.select("doc_id", "text"), benchmark, window, block_words)
     hit = F.aggregate("_pl_spans", F.lit(0).cast("long"), lambda a, x: a + (x["end"] - x["start"]))
-    return out.select("doc_id", F.col("_pl_words").alias("n_words"), hit.alias("n_hit"), F.size("_pl_items").cast("long").alias("n_items"), F.col("_pl_items").alias("items"), (F.size("_pl_spans") > 0).alias("contaminated"), F.col("_pl_spans").alias("spans"), F.col("_pl_best.length").alias("longest"), F.col("_pl_best.start").alias("longest_start"), F.col("_pl_best.item").alias("longest_item"))
+    return out.select("_pl_row.doc_id", F.col("_pl_words").alias("n_words"), hit.alias("n_hit"), F.size("_pl_items").cast("long").alias("n_items"), F.col("_pl_items").alias("items"), (F.size("_pl_spans") > 0).alias("contaminated"), F.col("_pl_spans").alias("spans"), F.col("_pl_best.length").alias("longest"), F.col("_pl_best.start").alias("longest_start"), F.col("_pl_best.item").alias("longest_item"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The rows of docs, all columns, whose text has no window of the benchmark."""
-    return marked(docs, benchmark, window, block_words).where(F.size("_pl_spans") == 0).select(*[f"`{c}`" for c in docs.columns])
+    """The rows of docs whose text has no window of the benchmark; all columns, whatever their names and types.
+
+    Null, empty and wordless texts have none and stay, and so do repeated rows.
+    """
+    return marked(docs, benchmark, window, block_words).where(F.size("_pl_spans") == 0).select("_pl_row.*")
 
 
 def item_digest(names: list[str]) -> str:

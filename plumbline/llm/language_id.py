@@ -17,7 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from plumbline.llm.shared import plain
 from plumbline.llm.words import Words, chunks, mix, split_words
 
 #: Hashed features; with one 4-byte number for each language that is what is broadcast.
@@ -211,14 +213,14 @@ def _has_letter(text: str) -> bool:
 
 
 def label(docs: DataFrame, model: Model, penalty: float = SWITCH_PENALTY) -> DataFrame:
-    """docs with the columns _pl_lang, _pl_score and _pl_spans; all rows and columns stay.
+    """docs with the columns _pl_lang, _pl_score and _pl_spans; all rows stay, and all columns but older ones named _pl_*.
 
     _pl_lang: the language with the most letters (bytes); the first by name of
     equal ones. _pl_score: its share of the letters, 0 to 1. _pl_spans: runs of
     words in one language. A text that is null or has no letter is `und`, score 0,
     and so is every text if no language was learned.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    docs, shared = plain(docs), docs.sparkSession.sparkContext.broadcast(model)
     span_type = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,7 +249,7 @@ def label(docs: DataFrame, model: Model, penalty: float = SWITCH_PENALTY) -> Dat
             kept = [c for c in part.schema.names if c != "_pl_text"]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(lang), pa.array(share), pa.array(spans, span_type)], [*kept, "_pl_lang", "_pl_score", "_pl_spans"])
 
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", _pl_lang string, _pl_score double, _pl_spans {_SPANS}"
+    shape = StructType([*docs.schema.fields, *StructType.fromDDL(f"_pl_lang string, _pl_score double, _pl_spans {_SPANS}").fields])
     return docs.withColumn("_pl_text", F.coalesce(F.col("text").cast("string"), F.lit(""))).mapInArrow(run, shape)
 
 

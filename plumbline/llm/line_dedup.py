@@ -12,7 +12,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.shared import broadcast_if, cut
+from plumbline.llm.shared import broadcast_if, cut, plain
 
 #: A line on at least so many distinct sites is boilerplate.
 MIN_SITES = 10
@@ -48,8 +48,10 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, lg_bins: int
     blanks. A line on min_sites sources or more goes everywhere but at its first
     place (least doc_id, then position), so that no wording leaves the corpus. A
     null source is one more source; null texts stay null, with no lines. Rows
-    equal in doc_id and text are treated alike. All rows and other columns stay.
+    equal in doc_id and text are treated alike. All rows and other columns stay,
+    but for older columns named _pl_*.
     """
+    docs = plain(docs)
     common = broadcast_if(boilerplate(docs, min_sites, lg_bins), MAX_BROADCAST_LINES)
     met = _lines(docs).join(common, ["h1", "h2"]).select("h1", "h2", "doc_id", "key", "pos")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "pos", "key")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.shared import broadcast_if, cut
+from plumbline.llm.shared import broadcast_if, cut, plain
 
 SEED = 20240601
 #: Default weights: a source's number of documents to this power.
@@ -84,8 +84,10 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: int | N
     The draw depends on doc_id and seed alone: repeated rows are drawn alike. A
     null doc_id is drawn as 'null', a null source counts as source ''. The order
     is that of a hash of doc_id, copy and seed over the whole mix (one range
-    shuffle). An empty table gives an empty mix.
+    shuffle). Texts play no part: null, empty and very long ones are drawn like
+    any other. Older columns named _pl_* are left out. An empty table gives an empty mix.
     """
+    docs = plain(docs)
     table = cut(rates(docs, weights, total, temperature).select(F.col("source").alias("_pl_source"), F.col("least").alias("_pl_least"), F.col("cdf").alias("_pl_cdf")))
     if (table.agg(F.sum(F.size("_pl_cdf"))).first()[0] or 0) <= MAX_BROADCAST_STEPS:
         table = broadcast_if(table, MAX_BROADCAST_SOURCES)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,10 +12,16 @@ A_TO_Z, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is set, as in tests."""
+    """The shared folder that the cluster names in spark.checkpoint.dir.
+
+    A local master without that setting, as in tests, gets a temporary folder; a
+    cluster without it is an error, since a folder of one machine would be lost with it.
+    """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="plumbline-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(named)
@@ -27,6 +34,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder: computed once, and read by column from then on."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def plain(docs: DataFrame) -> DataFrame:
+    """docs without the columns whose names begin with _pl_: those names are the operators' own."""
+    return docs.drop(*[c for c in docs.columns if c.startswith("_pl_")])
+
+
 def broadcast_if(small: DataFrame, max_rows: int) -> DataFrame:
     """small with a broadcast hint if it is proven to have at most max_rows rows.
 

@@ -5,6 +5,14 @@ at most one differing bit. So every distinct fingerprint is filed under both its
 halves, and asks in each table for all values of a Hamming ball of radius one
 around its own half (33 keys); what it meets is verified by the full distance.
 Exact copies share one fingerprint and are only one row in this search.
+
+similar_documents() finds texts of a given Jaccard similarity of five-word
+shingles. Three of 64 bits is far too near for that, so it indexes a wide
+fingerprint: SEGMENTS segments, each under its own value and under those with one
+of its WEAK least certain bits flipped (the bits whose votes are nearest to a
+tie, which an edit turns first). Both sides file under their balls, so segments
+meet at up to two flips. What meets is verified by the distance of another 64
+bits and then by the exact Jaccard similarity.
 """
 
 from __future__ import annotations
@@ -19,6 +27,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.components import components
 from plumbline.llm.shared import cut
+from plumbline.llm.words import NOT_SPACE, chunks, mix, split_words
 
 RADIUS = 3
 SHINGLE_WORDS = 3
@@ -26,6 +35,14 @@ XXH_SEED = 42
 #: Shingles whose bits are added up at once.
 BLOCK = 1 << 15
 
+SIMILAR_WORDS, SIMILARITY = 5, 0.8
+SEGMENTS, SEGMENT_BITS, WEAK = 14, 28, 5
+#: Of 64 bits, how many may differ before the exact check: at a similarity of 0.8 ten do, with a deviation of three.
+CHECK_RADIUS = 20
+#: Byte to eight byte-wide counters, lowest bit first.
+_SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+_ROWS = 255  # what a byte-wide counter can hold
+
 
 def simhash(text: bytes, shingle_words: int = SHINGLE_WORDS) -> int:
     """The fingerprint of one text: bit i is set if it is in over half of the shingles' hashes."""
@@ -91,3 +108,124 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle_words: int =
     merged = member.groupBy("component").agg(F.min("least").alias("component_id"))
     component = member.join(merged, "component").select("fp", "component_id")
     return prints.join(component, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _shingle_hashes(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash, index of the text) of all runs of width words; a shorter text is one run, a wordless one has none."""
+    words = split_words(texts, NOT_SPACE)
+    size, hashes = np.diff(words.first), words.hashes()
+    runs = np.minimum(size, np.maximum(1, size - width + 1))
+    text = np.repeat(np.arange(len(size)), runs)
+    at = words.first[:-1][text] + np.arange(len(text)) - np.repeat(np.cumsum(runs) - runs, runs)
+    out = np.minimum(size, width)[text].astype(np.uint64)
+    for k in range(width):
+        more = np.flatnonzero(size[text] > k)
+        out[more] = mix(out[more] * np.uint64(0x9E3779B97F4A7C15) + hashes[at[more] + k])
+    return out, text
+
+
+def _votes(hashes: np.ndarray, first: np.ndarray, words: int) -> np.ndarray:
+    """(texts, 64 * words): by how many of a text's shingles each bit is set more often than not."""
+    n, size = len(first) - 1, np.diff(first)
+    out = np.zeros((n, 64 * words), dtype=np.int64)
+    cuts = np.concatenate([np.zeros(0, np.int64), *(np.arange(b, b + m, _ROWS) for b, m in zip(first[:-1].tolist(), size.tolist()) if m)])
+    owner = np.repeat(np.arange(n), -(-size // _ROWS))
+    for k in range(0, len(cuts), 200):
+        begin, stop = cuts[k], cuts[k + 200] if k + 200 < len(cuts) else len(hashes)
+        bits = np.stack([mix(hashes[begin:stop] + np.uint64(0x9E3779B97F4A7C15 * w % (1 << 64))) for w in range(words)], axis=1).view(np.uint8)
+        np.add.at(out, owner[k : k + 200], np.add.reduceat(_SPREAD[bits], cuts[k : k + 200] - begin, axis=0).view(np.uint8))
+    return 2 * out - size[:, None]
+
+
+def _filed(votes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprint of 64 bits, keys (texts, SEGMENTS * (WEAK + 1))): a key is a segment's number and bits."""
+    fp = np.packbits(votes[:, :64] > 0, axis=1, bitorder="little").view("<i8").ravel()
+    segment = votes[:, 64 : 64 + 32 * SEGMENTS].reshape(len(votes), SEGMENTS, 32)[:, :, :SEGMENT_BITS]
+    weak = np.argsort(np.abs(segment), axis=2, kind="stable")[:, :, :WEAK]
+    own = ((segment > 0).astype(np.int64) << np.arange(SEGMENT_BITS)).sum(axis=2) | np.arange(SEGMENTS) << SEGMENT_BITS
+    keys = np.concatenate([own[:, :, None], own[:, :, None] ^ (1 << weak)], axis=2)
+    return fp, keys.reshape(len(votes), -1).astype(np.uint32).view(np.int32)
+
+
+def _wide_prints(docs: DataFrame, shingle_words: int) -> DataFrame:
+    """(doc_id, fp, keys) of every row of docs(doc_id, text)."""
+    n_keys = SEGMENTS * (WEAK + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches, "text"):
+            hashes, text = _shingle_hashes(part.column("text"), shingle_words)
+            fp, keys = _filed(_votes(hashes, np.searchsorted(text, np.arange(part.num_rows + 1)), 1 + (SEGMENTS + 1) // 2))
+            ends = pa.array(np.arange(0, len(fp) * n_keys + 1, n_keys, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp), pa.ListArray.from_arrays(ends, pa.array(keys.ravel()))], ["doc_id", "fp", "keys"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long, keys array<int>")
+
+
+def _shingle_sets(docs: DataFrame, shingle_words: int) -> DataFrame:
+    """(doc_id, fp, shingles) of every row of docs(doc_id, text): distinct shingles as 32-bit hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches, "text"):
+            hashes, text = _shingle_hashes(part.column("text"), shingle_words)
+            first = np.searchsorted(text, np.arange(part.num_rows + 1))
+            fp = _filed(_votes(hashes, first, 1 + (SEGMENTS + 1) // 2))[0]
+            both = np.unique(text.astype(np.uint64) << np.uint64(32) | hashes >> np.uint64(32))
+            ends = pa.array(np.searchsorted(both >> np.uint64(32), np.arange(part.num_rows + 1)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp), pa.ListArray.from_arrays(ends, pa.array(both.astype(np.uint32).view(np.int32)))], ["doc_id", "fp", "shingles"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long, shingles array<int>")
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
+    """Those of the fingerprint pairs (a, b) whose classes' first texts are similar enough."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(classes, "fp")
+    wanted = ends.select(F.col("least").alias("doc_id")).distinct()
+    sets = _shingle_sets(docs.join(wanted, "doc_id", "left_semi"), shingle_words)
+    sets = cut(sets.join(ends.withColumnRenamed("least", "doc_id"), ["doc_id", "fp"], "left_semi").select("fp", "shingles"))
+    right = pairs.join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
+    both = right.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)).select("a", "b")
+
+
+def _near(a: str, b: str):
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= CHECK_RADIUS
+
+
+def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, shingle_words: int = SIMILAR_WORDS) -> DataFrame:
+    """(doc_id, component_id) for every row of docs(doc_id, text), by the Jaccard similarity of word shingles.
+
+    component_id: the least doc_id that links of at least the given similarity
+    reach, the document itself included. Texts with fewer words are one shingle;
+    null and wordless texts are all alike and similar to nothing else. Texts that
+    share a 64-bit fingerprint are one class, for which that of the least doc_id
+    stands: two texts of similarity 0.79 are with probability 2e-5. Pairs that no
+    segment brings together are missed; the README has the recall. Rows with a
+    null doc_id keep their row and take part by fingerprint; a repeated doc_id has
+    one row for each of its rows. Other columns are ignored.
+
+    No bucket emits all its pairs. First every member is held against the
+    bucket's least (an aggregation and a join, which splits hot keys); when what
+    is similar has been merged, only members of different components that still
+    share a bucket meet.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    prints = cut(_wide_prints(docs, shingle_words))
+    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    # copies file under the keys of one of them; two texts of one class may differ in their keys, and a null id stands for none
+    filed = prints.join(classes, (prints["fp"] == classes["fp"]) & prints["doc_id"].eqNullSafe(classes["least"])).select(prints["fp"], F.explode("keys").alias("key"))
+    least = filed.groupBy("key").agg(F.min("fp").alias("first"), F.count("*").alias("n")).where("n > 1")
+    met = cut(filed.join(least, "key"))
+    star = cut(met.where(F.col("fp") != F.col("first")).where(_near("fp", "first")).select(F.col("first").alias("a"), F.col("fp").alias("b")).distinct())
+    first = cut(_verified(star, classes, docs, shingle_words, similarity))
+    merged = components(first)
+    labelled = cut(met.where("n > 2").join(merged.select(F.col("node").alias("fp"), "component"), "fp", "left").select("key", "fp", F.coalesce("component", "fp").alias("label")).distinct())
+    names = labelled.select("key", "label").distinct()
+    apart = names.select("key", F.col("label").alias("la")).join(names.select("key", F.col("label").alias("lb")), "key").where("la < lb")
+    one, other = (labelled.select("key", F.col("fp").alias(c), F.col("label").alias(f"l{c}")) for c in "ab")
+    cross = apart.join(one, ["key", "la"]).join(other, ["key", "lb"]).where(_near("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    second = _verified(cut(cross.join(star, ["a", "b"], "left_anti")), classes, docs, shingle_words, similarity)
+    linked = components(first.union(second))
+    member = classes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    ids = member.groupBy("component").agg(F.min("least").alias("component_id"))
+    return prints.select("doc_id", "fp").join(member.join(ids, "component").select("fp", "component_id"), "fp").select("doc_id", "component_id")

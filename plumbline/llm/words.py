@@ -115,3 +115,15 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = CHUN
             stop = max(row + 1, int(np.searchsorted(ends, ends[row] + max_bytes, side="right")) - 1)
             yield batch.slice(row, stop - row)
             row = stop
+
+
+def pieces(batches: Iterator[pa.RecordBatch], struct: str, field: str, max_bytes: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """As chunks(), for texts that are a field of a struct column: the slices, each with its texts."""
+    for batch in batches:
+        texts = batch.column(struct).field(field)
+        if not (pa.types.is_string(texts.type) or pa.types.is_large_string(texts.type)):
+            texts = texts.cast(pa.string())
+        at = 0
+        for part in chunks(iter([pa.RecordBatch.from_arrays([texts], ["text"])]), "text", max_bytes):
+            yield batch.slice(at, part.num_rows), part.column("text")
+            at += part.num_rows

@@ -1,12 +1,16 @@
 """The pipeline's stages after language ID against a brute-force version."""
 
 import hashlib
+import itertools
 import math
+import random
 from collections import defaultdict
 
 import corpus_pipeline
 import regex
-from test_operators import WORD, _bits, _components
+from test_operators import WORD
+
+from plumbline.llm import language_id, simhash
 
 
 def _lines(docs):
@@ -27,8 +31,25 @@ def _lines(docs):
     return out
 
 
+def _shingles(text):
+    words = [w for w in regex.split(rb"[\x20\x09-\x0D]+", text.encode().lower()) if w]
+    n = min(5, len(words))
+    return frozenset(b" ".join(words[i : i + n]) for i in range(len(words) - n + 1)) if words else frozenset()
+
+
+def near_groups(docs):
+    """Least id reachable over pairs with 0.8 or more of five-word shingles in common; docs: list of (id, text)."""
+    sets = [(i, _shingles(t or "")) for i, t in docs]
+    label = {i: i for i, _ in sets}
+    links = [(i, j) for (i, x), (j, y) in itertools.combinations(sets, 2) if x == y or len(x & y) >= 0.8 * len(x | y) > 0]
+    while changed := [(i, j) for i, j in links if label[i] != label[j]]:
+        for i, j in changed:
+            label[i] = label[j] = min(label[i], label[j])
+    return label
+
+
 def _near(docs):
-    label = _components([(d["doc_id"], _bits(d["text"] or "")) for d in docs])
+    label = near_groups([(d["doc_id"], d["text"]) for d in docs])
     return [d for d in docs if label[d["doc_id"]] == d["doc_id"]]
 
 
@@ -78,3 +99,63 @@ def test_stages(spark, sf_dir):
     empty = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf_dir).count() == 0
+
+
+NAMES = "doc_id long, text string, lang string, source string, n_chars long, rest string, _pl_lang string, copy_no int, `a.b` int"
+
+
+def test_stages_on_odd_rows(spark, sf_dir):
+    """Nulls, empty and long texts, ties, repeated rows and clashing columns: what each stage keeps."""
+    words = [f"word{k}" for k in range(40)]
+    text, close, long = " ".join(words), " ".join([*words[:39], "other"]), "river and stone " * 30_000
+    rows = [(1, text, "en", "a"), (1, text, "en", "a"), (2, close, "en", None), (3, None, None, None), (4, "", "en", "a"), (5, long, "en", "a"), (None, text, "en", "a"), (7, "12 34", None, "b")]
+    docs = spark.createDataFrame([(*r, len(r[1] or ""), "r", "x", 9, 1) for r in rows], NAMES)
+    stages = dict(corpus_pipeline.STAGES)
+    kept = {name: sorted(stages[name](spark, docs, sf_dir).collect(), key=lambda r: (r.doc_id is None, r.doc_id)) for name in list(stages)[:4]}
+    for name, got in kept.items():
+        assert got[0].__fields__ == docs.columns and all((r.rest, r._pl_lang, r.copy_no, r["a.b"]) == ("r", "x", 9, 1) for r in got), name
+    ids = {name: [r.doc_id for r in got] for name, got in kept.items()}
+    assert ids["language_id"] == [1, 1, 2, 5, None]
+    assert ids["line_dedup"] == ids["decontaminate"] == [1, 1, 2, 3, 4, 5, 7, None]
+    assert ids["simhash_dedup"] == [1, 3, 5, 7, None]
+    assert [r.text for r in kept["line_dedup"]] == [text, text, close, None, "", long, "12 34", text]
+    mixed = stages["mix_sources"](spark, docs, sf_dir)
+    assert mixed.columns == [*[c for c in docs.columns if c != "copy_no"], "copy_no", "shuffle_key"]
+    n = mixed.groupBy("doc_id").count().collect()
+    assert all(r["count"] % 2 == 0 for r in n if r.doc_id == 1)  # repeated rows are drawn alike
+
+
+def test_similar_documents(spark):
+    """Near copies of many texts by exact Jaccard; groups from two to many, and texts just too far apart."""
+    rng = random.Random(8)
+    docs = []
+    for base in range(40):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(60, 400))]
+        for copy in range(rng.choice([1, 2, 3, 30])):
+            w = list(words)
+            for _ in range(rng.randint(0, max(1, len(w) // 45)) if copy else 0):
+                w[rng.randrange(len(w))] = f"new{rng.randrange(10**6)}"
+            docs.append((len(docs), " ".join(w)))
+    docs += [(len(docs) + k, t) for k, t in enumerate(["", "one two", "one two", "one three", "\t"])]
+    wanted = near_groups(docs)
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    apart = sum(got[i] != wanted[i] for i in wanted)
+    assert apart <= 0.02 * len(docs) and all(wanted[i] == wanted[got[i]] for i in got)
+
+
+def test_every_document_is_labelled_once(spark, sf_dir, monkeypatch):
+    """Language labelling isn't repeated for the jobs of the stages behind it."""
+    seen = spark.sparkContext.accumulator(0)
+    plain = language_id.label
+
+    def counted(docs, model):
+        def run(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        return plain(docs.mapInArrow(run, docs.schema), model)
+
+    monkeypatch.setattr(language_id, "label", counted)
+    corpus_pipeline.run(spark, sf_dir).count()
+    assert seen.value == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
