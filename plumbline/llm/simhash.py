@@ -39,6 +39,10 @@ SIMILAR_WORDS, SIMILARITY = 5, 0.8
 SEGMENTS, SEGMENT_BITS, WEAK = 14, 28, 5
 #: Of 64 bits, how many may differ before the exact check: at a similarity of 0.8 ten do, with a deviation of three.
 CHECK_RADIUS = 20
+#: Members of a bucket that may all be compared with one another.
+SMALL = 16
+#: Members of a large bucket that all others are held against in each round.
+HUBS = 4
 #: Byte to eight byte-wide counters, lowest bit first.
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 _ROWS = 255  # what a byte-wide counter can hold
@@ -176,22 +180,39 @@ def _shingle_sets(docs: DataFrame, shingle_words: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long, shingles array<int>")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
-    """Those of the fingerprint pairs (a, b) whose classes' first texts are similar enough."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(classes, "fp")
-    wanted = ends.select(F.col("least").alias("doc_id")).distinct()
-    sets = _shingle_sets(docs.join(wanted, "doc_id", "left_semi"), shingle_words)
-    sets = cut(sets.join(ends.withColumnRenamed("least", "doc_id"), ["doc_id", "fp"], "left_semi").select("fp", "shingles"))
-    right = pairs.join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
-    both = right.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a")
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.where(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)).select("a", "b")
+class _Verifier:
+    """Exact similarity of the first texts of two classes; what shingles a class has is looked up once."""
+
+    def __init__(self, docs: DataFrame, classes: DataFrame, shingle_words: int, similarity: float):
+        self.docs, self.classes, self.shingle_words, self.similarity = docs, classes, shingle_words, similarity
+        self.sets: DataFrame | None = None
+
+    def _look_up(self, pairs: DataFrame) -> None:
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+        ends = cut((ends.join(self.sets, "fp", "left_anti") if self.sets else ends).join(self.classes, "fp").withColumnRenamed("least", "doc_id"))
+        if self.sets and ends.isEmpty():
+            return
+        sets = _shingle_sets(self.docs.join(ends.select("doc_id").distinct(), "doc_id", "left_semi"), self.shingle_words)
+        sets = cut(sets.join(ends, ["doc_id", "fp"], "left_semi").select("fp", "shingles"))
+        self.sets = self.sets.union(sets) if self.sets else sets
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """Those of the fingerprint pairs (a, b) that are similar enough."""
+        self._look_up(pairs)
+        right = pairs.join(self.sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
+        both = right.join(self.sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a")
+        shared = F.size(F.array_intersect("x", "y"))
+        return cut(both.where(shared >= F.lit(self.similarity) * (F.size("x") + F.size("y") - shared)).select("a", "b"))
 
 
 def _near(a: str, b: str):
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= CHECK_RADIUS
 
 
+def _ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
+    return pairs.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+
+
 def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, shingle_words: int = SIMILAR_WORDS) -> DataFrame:
     """(doc_id, component_id) for every row of docs(doc_id, text), by the Jaccard similarity of word shingles.
 
@@ -204,10 +225,11 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, shingle_w
     null doc_id keep their row and take part by fingerprint; a repeated doc_id has
     one row for each of its rows. Other columns are ignored.
 
-    No bucket emits all its pairs. First every member is held against the
-    bucket's least (an aggregation and a join, which splits hot keys); when what
-    is similar has been merged, only members of different components that still
-    share a bucket meet.
+    No large bucket emits all its pairs. First every member is held against the
+    bucket's least; then, as long as anything merges, against HUBS other members
+    chosen by hash, those that are of a different component. These rounds are
+    aggregations and joins by key, with at most HUBS pairs for each row of a bucket.
+    What is left over in buckets of at most SMALL members is compared throughout.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     prints = cut(_wide_prints(docs, shingle_words))
@@ -216,16 +238,32 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, shingle_w
     filed = prints.join(classes, (prints["fp"] == classes["fp"]) & prints["doc_id"].eqNullSafe(classes["least"])).select(prints["fp"], F.explode("keys").alias("key"))
     least = filed.groupBy("key").agg(F.min("fp").alias("first"), F.count("*").alias("n")).where("n > 1")
     met = cut(filed.join(least, "key"))
-    star = cut(met.where(F.col("fp") != F.col("first")).where(_near("fp", "first")).select(F.col("first").alias("a"), F.col("fp").alias("b")).distinct())
-    first = cut(_verified(star, classes, docs, shingle_words, similarity))
+    star = cut(_ordered(met.where((F.col("fp") != F.col("first")) & _near("fp", "first")), "fp", "first"))
+    check = _Verifier(docs, classes, shingle_words, similarity)
+    first = check.verified(star)
     merged = components(first)
-    labelled = cut(met.where("n > 2").join(merged.select(F.col("node").alias("fp"), "component"), "fp", "left").select("key", "fp", F.coalesce("component", "fp").alias("label")).distinct())
-    names = labelled.select("key", "label").distinct()
-    apart = names.select("key", F.col("label").alias("la")).join(names.select("key", F.col("label").alias("lb")), "key").where("la < lb")
-    one, other = (labelled.select("key", F.col("fp").alias(c), F.col("label").alias(f"l{c}")) for c in "ab")
-    cross = apart.join(one, ["key", "la"]).join(other, ["key", "lb"]).where(_near("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    second = _verified(cut(cross.join(star, ["a", "b"], "left_anti")), classes, docs, shingle_words, similarity)
-    linked = components(first.union(second))
+    links, seen, turn = first, star, 0
+    crowd = met.where("n > 2").select("key", "fp", "n")
+    while True:
+        turn += 1
+        label = components(links).select(F.col("node").alias("fp"), "component")
+        labelled = cut(crowd.join(label, "fp", "left").select("key", "fp", "n", F.coalesce("component", "fp").alias("label")))
+        at = [F.xxhash64("key", "fp", F.lit(turn * HUBS + k)) for k in range(HUBS)]
+        hubs = F.array(*[F.struct(F.min_by("fp", x).alias("fp"), F.min_by("label", x).alias("label")) for x in at])
+        mixed = labelled.groupBy("key").agg(hubs.alias("hubs"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+        other = labelled.join(mixed, "key").select("fp", F.explode(F.filter("hubs", lambda h: h["label"] != F.col("label"))["fp"]).alias("hub"))
+        tried = _ordered(other.where(_near("fp", "hub")), "fp", "hub")
+        tried = cut(tried.join(seen, ["a", "b"], "left_anti"))
+        found = check.verified(tried)
+        if found.isEmpty():
+            break
+        links, seen = links.union(found), seen.union(tried)
+    few = labelled.where(F.col("n") <= SMALL)
+    pairs = few.select("key", F.col("fp").alias("x"), F.col("label").alias("lx")).join(few.select("key", F.col("fp").alias("y"), F.col("label").alias("ly")), "key")
+    rest = _ordered(pairs.where((F.col("x") < F.col("y")) & (F.col("lx") != F.col("ly")) & _near("x", "y")), "x", "y")
+    rest = cut(rest.join(seen.union(tried), ["a", "b"], "left_anti"))
+    second = check.verified(rest)
+    linked = components(links.union(second))
     member = classes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     ids = member.groupBy("component").agg(F.min("least").alias("component_id"))
     return prints.select("doc_id", "fp").join(member.join(ids, "component").select("fp", "component_id"), "fp").select("doc_id", "component_id")
