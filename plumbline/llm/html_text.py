@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 # Element names by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("head script style template noscript title meta link iframe object svg math canvas audio video select datalist textarea".split())
-BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split())
+HIDDEN = frozenset("head script style template noscript title meta link iframe object svg math canvas audio video datalist".split())
+BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption option optgroup".split())
 #: Blocks with an empty line before and behind.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table article section main header footer nav aside figure form".split())
 #: A start tag of the first kind ends an open element of the second, within the nearest of the third.
@@ -43,6 +43,8 @@ IN_TABLE = {
     **dict.fromkeys(("td", "th"), frozenset({"table", "tr", *SECTIONS})),
 }
 CELLS = frozenset({"td", "th"})
+# HTML itself takes no greater spans.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
 
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _INVISIBLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)|content-visibility\s*:\s*hidden)\b", re.IGNORECASE)
@@ -183,26 +185,32 @@ def _run(steps: Steps) -> None:
             stack.append(part)
 
 
-def _parts(node: Node) -> tuple[list[Node], list[Node | str]]:
-    """The shown rows of a table, and whatever of it is in no cell, in order."""
+def _parts(node: Node) -> tuple[list[tuple[Node, Node]], list[Node | str]]:
+    """The shown rows of a table, each with its section, and whatever of it is in no cell, in order."""
     rows, stray = [], []
-    left = node.children[::-1]
+    left = [(c, node) for c in reversed(node.children)]
     while left:
-        child = left.pop()
+        child, section = left.pop()
         if isinstance(child, str):
             stray.append(child)
         elif child.shown:
             if child.tag == "tr" or child.tag in SECTIONS:
                 if child.tag == "tr":
-                    rows.append(child)
-                left += [c for c in reversed(child.children) if not (child.tag == "tr" and isinstance(c, Node) and c.tag in CELLS)]
+                    rows.append((child, section))
+                else:
+                    section = child
+                left += [(c, section) for c in reversed(child.children) if not (child.tag == "tr" and isinstance(c, Node) and c.tag in CELLS)]
             elif child.tag not in ("col", "colgroup"):
                 stray.append(child)
     return rows, stray
 
 
 def _table(node: Node, page: Page) -> Steps:
-    """Rows of cells in aligned columns, two blanks apart; what isn't in a cell stands before the table."""
+    """Rows of cells in aligned columns, two blanks apart; what isn't in a cell stands before the table.
+
+    A cell that spans columns or rows stands in the first of them, and later
+    cells keep clear of it. Columns without text are left out.
+    """
     rows, stray = _parts(node)
     for child in stray:
         if isinstance(child, str):
@@ -210,24 +218,35 @@ def _table(node: Node, page: Page) -> Steps:
         else:
             yield _render(child, page, False)
     page.flush()
-    grid = []
-    for row in rows:
-        cells = []
+    grid: list[dict[int, list[str]]] = []
+    widths: dict[int, int] = {}
+    taken: dict[int, int] = {}  # columns that cells of rows before reach into, and for how many rows yet
+    last = None
+    for row, section in rows:
+        if section is not last:
+            taken, last = {}, section
+        cells, column, down = {}, 0, {}
         for cell in row.children:
             if isinstance(cell, Node) and cell.tag in CELLS and cell.shown:
+                while column in taken:
+                    column += 1
                 inner = Page()
                 yield _children(cell, inner, False)
-                cells += [inner.done() or [""]] + [[""]] * (_number(cell.attrs.get("colspan"), 1, 50) - 1)
+                cells[column] = inner.done()
+                widths[column] = max(widths.get(column, 0), *map(_width, cells[column] or [""]))
+                wide = max(1, _number(cell.attrs.get("colspan"), 1, MOST_COLUMNS))
+                deep = _number(cell.attrs.get("rowspan"), 1, MOST_ROWS)
+                if deep != 1:
+                    down.update(dict.fromkeys(range(column, column + wide), deep if deep > 0 else MOST_ROWS))
+                column += wide
+        taken = {c: n - 1 for c, n in {**taken, **down}.items() if n > 1}
         if cells:
             grid.append(cells)
-    widths = [0] * max(map(len, grid), default=0)
-    for cells in grid:
-        for k, cell in enumerate(cells):
-            widths[k] = max(widths[k], *map(_width, cell))
+    columns = sorted(c for c, w in widths.items() if w)
     for cells in grid:
-        for at in range(max(map(len, cells))):
-            parts = [(cell[at] if at < len(cell) else "") for cell in cells]
-            line = "  ".join(p + " " * (w - _width(p)) for p, w in zip(parts, widths)).rstrip()
+        for at in range(max(map(len, cells.values()))):
+            parts = [cells[c][at] if c in cells and at < len(cells[c]) else "" for c in columns]
+            line = "  ".join(p + " " * (widths[c] - _width(p)) for p, c in zip(parts, columns)).rstrip()
             if line or at:
                 page.put([line])
 
@@ -259,6 +278,10 @@ def _render(node: Node, page: Page, pre: bool) -> Steps:
         return
     elif tag == "img":
         page.text(node.attrs.get("alt") or "", False)
+    elif tag == "textarea":
+        page.block(False)
+        yield _children(node, page, True)
+        page.block(False)
     elif tag not in BLOCK:
         yield _children(node, page, pre)
     else:
@@ -303,8 +326,9 @@ def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of pages(page_id, url, html).
 
     text: visible text with blocks, lists and aligned tables; '' for null, empty
-    or invisible pages, never null. Rows are rendered one by one, wherever they
-    lie; repeated rows each get their row; other columns are ignored.
+    or invisible pages, never null. Pages of any length and depth are rendered
+    whole, one by one, wherever they lie; repeated rows each get their row; other
+    columns are ignored. An empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

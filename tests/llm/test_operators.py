@@ -303,6 +303,58 @@ def test_html_of_any_depth():
     assert html_text.render("<blockquote>" * 1500 + "x").strip() == "x"
 
 
+def test_html_tables_brute_force():
+    """Generated tables with spans, against cells painted on a sheet of squares."""
+    rng = random.Random(11)
+    for _ in range(60):
+        rows = [[(f"c{rng.randrange(10 ** rng.randint(1, 6))}", rng.choice([1, 1, 1, 2, 3]), rng.choice([1, 1, 1, 2, 3])) for _ in range(rng.randint(1, 4))] for _ in range(rng.randint(1, 6))]
+        page = "<table>" + "".join("<tr>" + "".join(f"<td colspan={w} rowspan={h}>{t}" for t, w, h in row) for row in rows) + "</table>"
+        sheet = {}
+        for y, row in enumerate(rows):
+            x = 0
+            for t, w, h in row:
+                while (y, x) in sheet:
+                    x += 1
+                sheet |= {(yy, xx): t if (yy, xx) == (y, x) else "" for yy in range(y, y + h) for xx in range(x, x + w) if (yy, xx) not in sheet or yy == y}
+                x += w
+        widths = {x: max(len(t) for (_, xx), t in sheet.items() if xx == x) for x in {x for _, x in sheet}}
+        wanted = ["  ".join(sheet.get((y, x), "").ljust(widths[x]) for x in sorted(widths) if widths[x]).rstrip() for y in range(len(rows))]
+        assert html_text.render(page).split("\n") == wanted
+
+
+def test_html_visibility_brute_force():
+    """Generated pages: the words outside of hidden elements, in order, blocks on lines of their own."""
+    rng = random.Random(12)
+    hide = [("<div hidden>", "</div>"), ("<h2 style='x:y; display: none'>", "</h2>"), ("<script>", "</script>"), ("<span aria-hidden=true>", "</span>"), ("<template>", "</template>")]
+    show = [("<div>", "</div>"), ("<b>", "</b>"), ("<section>", "</section>"), ("<a href=x>", "</a>"), ("<textarea>", "</textarea>"), ("<ul><li>", "</ul>"), ("<select><option>", "</select>")]
+
+    def part(depth, seen):
+        out = ""
+        for _ in range(rng.randint(1, 3)):
+            if depth and rng.random() < 0.6:
+                hidden = rng.random() < 0.3
+                begin, end = rng.choice(hide if hidden else show)
+                flat = begin in ("<script>", "<textarea>", "<select><option>")
+                out += f" {begin}{part(0 if flat else depth - 1, seen and not hidden)}{end} "
+            else:
+                word = f"{'v' if seen else 'h'}{rng.randrange(10**9)}"
+                words.append(word)
+                out += f" {word} "
+        return out
+
+    for _ in range(100):
+        words = []
+        page = part(6, True)
+        assert [w for w in html_text.render(page).split() if w != "-"] == [w for w in words if w[0] == "v"]
+
+
+def test_html_odd_pages(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>x" * 50_000, "t", 1), (2, None, "<table>loose text<tr><td>a", None, 2), (3, "u", "a\x00b & &lt;", "t", 3)], "page_id long, url string, html string, text string, n_chars int")
+    got = {r.page_id: (r.text, r.n_chars) for r in html_text.extract(pages).collect()}
+    assert got[1] == ("\n\n".join(["x"] * 50_000), 149_998) and got[2] == ("loose text\na", 12) and got[3] == ("ab & <", 6)
+    assert html_text.extract(pages.limit(0)).columns == ["page_id", "url", "text", "n_chars"] and html_text.extract(pages.limit(0)).count() == 0
+
+
 def test_html_table(spark):
     rows = [(1, "u", "<p>x"), (1, "u", "<p>x"), (None, None, None), (2, "u", "")]
     out = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string"))
