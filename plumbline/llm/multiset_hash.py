@@ -16,11 +16,13 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,8 @@ from plumbline.llm.words import CHUNK_BYTES, NOT_SPACE, mix, split_words
 EXACT_LANES = 8
 LIKE_LANES = 128
 SHINGLE_WORDS = 3
+#: Text in one range of doc_ids, and the most ranges that are dealt: their bounds are all in each task.
+RANGE_BYTES, MAX_RANGES = 64 << 20, 50_000
 _SALTS = (np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xABC98388FB8FAC03))
 #: Byte to eight byte-wide counters, lowest bit first.
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
@@ -115,7 +119,12 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fingerprint) of every row of docs(doc_id, text); null counts as empty."""
+    """(doc_id, fingerprint) of every row of docs(doc_id, text).
+
+    Null counts as empty, whose fingerprint is all zero, as is that of blanks
+    alone. Texts are read whole; repeated rows, and rows without a doc_id, each get
+    their row; other columns are ignored; an empty table gives an empty result.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,25 +138,28 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """docs(doc_id, text) dealt by ranges of descending doc_id: (_range, _guest, doc_id, text), in order in each range.
 
-    Every range ends with the first rows of the next one (of the first, behind
-    the last) as guests, so that each row's successor is beside it. Only the
-    bounds and the greatest doc_id of every range go to the driver.
+    Every range is a partition of its own and ends with the first rows of the
+    next one (of the first, behind the last) as guests, so that each row's
+    successor is beside it. Only the bounds and the greatest doc_id of every range
+    go to the driver. Ranges have about as many rows each; there are as many as
+    shuffle partitions, or one for each RANGE_BYTES of text if that is more.
     """
     spark = docs.sparkSession
-    ranges = ranges or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if ranges is None:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        ranges = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")), min(MAX_RANGES, -(-size // RANGE_BYTES)))
     share = [k / ranges for k in range(1, ranges)]
-    bounds = docs.agg(F.percentile_approx("doc_id", share, 10_000)).first()[0] or []
-    bounds = sorted(set(bounds))
-    number = F.coalesce(F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b >= F.col("doc_id"))), F.lit(len(bounds) + 1)) if bounds else F.when(F.col("doc_id").isNull(), 1).otherwise(0)
-    dealt = docs.withColumn("_range", F.when(F.col("doc_id").isNull(), len(bounds) + 1).otherwise(number).cast("int"))
+    bounds = sorted({float(b) for b in docs.agg(F.percentile_approx("doc_id", share, 10 * ranges)).first()[0] or []}) or [0.0]
+    found = Bucketizer(splits=[-math.inf, *bounds, math.inf], inputCol="_at", outputCol="_bucket", handleInvalid="keep").transform(docs.withColumn("_at", F.col("doc_id").cast("double")))
+    last = len(bounds) + 1  # rows without a doc_id
+    dealt = found.withColumn("_range", F.when(F.col("doc_id").isNull(), last).otherwise(len(bounds) - F.col("_bucket")).cast("int"))
     heads = sorted((r["_range"], r.head) for r in dealt.groupBy("_range").agg(F.max("doc_id").alias("head")).collect())
-    guest = F.lit(None).cast("int")
-    for k, (_, head) in enumerate(heads):
-        guest = F.when(F.col("doc_id").eqNullSafe(F.lit(head).cast("long")), heads[k - 1][0]).otherwise(guest)
+    visits = spark.createDataFrame([(head, heads[k - 1][0]) for k, (_, head) in enumerate(heads)], "_head long, _visited int")  # one row a range
     own = F.struct(F.col("_range"), F.lit(False).alias("_guest"))
-    visit = F.when(guest.isNotNull(), F.struct(guest.alias("_range"), F.lit(True).alias("_guest")))
-    spread = dealt.select("doc_id", "text", F.explode(F.filter(F.array(own, visit), lambda x: x.isNotNull())).alias("at")).select("at._range", "at._guest", "doc_id", "text")
-    return spread.repartition(ranges, "_range").sortWithinPartitions("_range", "_guest", F.col("doc_id").desc_nulls_last(), "text")
+    visit = F.when(F.col("_visited").isNotNull(), F.struct(F.col("_visited").alias("_range"), F.lit(True).alias("_guest")))
+    met = dealt.join(F.broadcast(visits), F.col("doc_id").eqNullSafe(F.col("_head")), "left")
+    spread = met.select("doc_id", "text", F.explode(F.filter(F.array(own, visit), lambda x: x.isNotNull())).alias("at")).select("at._range", "at._guest", "doc_id", "text")
+    return spread.repartitionById(max(ranges, last + 1), F.col("_range")).sortWithinPartitions("_range", "_guest", F.col("doc_id").desc_nulls_last(), "text")
 
 
 def edited(text: str, following: str) -> str:
