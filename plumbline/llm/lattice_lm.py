@@ -34,7 +34,7 @@ EM_ROUNDS = 3
 PRIOR = 1000.0
 #: Words at least this share of all training tokens are broadcast: at most 1 / HEAVY_SHARE words, whatever the corpus.
 HEAVY_SHARE = 2e-6
-#: Groups of training texts that are told apart; those beyond the largest count as one.
+#: Groups of training texts that have a model of their own; all texts of the others are the training of one more model.
 MAX_GROUPS = 16
 #: Distinct words that a task holds before it hands counts on.
 FLUSH = 300_000
@@ -231,8 +231,8 @@ def fit_pieces(words: DataFrame, pieces: Pieces, groups: int, rounds: int = EM_R
 
         uses = words.select("word", *_counts(groups)).mapInArrow(run, "grp long, piece long, uses double").groupBy("grp", "piece").agg(F.sum("uses").alias("uses"))
         total = np.repeat(PRIOR * first[:, None], groups, axis=1)
-        for row in uses.collect():  # as many rows as the vocabulary for each group at most
-            total[row.piece, row.grp] += row.uses
+        got = uses.toPandas()  # as many rows as the vocabulary for each group at most
+        total[got.piece.to_numpy(), got.grp.to_numpy()] += got.uses.to_numpy()
         weights = np.log(total / total.sum(axis=0))
     return weights
 
@@ -258,10 +258,15 @@ def score(docs: DataFrame, held_out, group=None, vocabulary: str = VOCABULARY, a
 
     Tokens: runs without blanks (A-Z lower-cased), then one end. Columns:
     doc_id, held_out, n_tokens, n_known (tokens seen in training), train_tokens,
-    base_score (add-one word unigram) and score (the model), in log10. group: a
-    column that tells training rows apart (null is one more group); all are one
-    group without it. Null and empty texts have the end alone. Repeated rows each
-    get their row. Without training rows the vocabulary's own weights score alone.
+    base_score (add-one word unigram), score (the model) and lattice_score, in
+    log10. lattice_score is the lattice alone: each word's marginal probability
+    under the vocabulary's own scores, times that of going on, and the end's. group:
+    a column that tells training rows apart (null is one more group); all are one
+    group without it. The MAX_GROUPS - 1 groups with most rows have a model each,
+    all others together one more; no row is left out. Null and empty texts have the
+    end alone; texts of any length are scored whole; other columns are ignored.
+    Repeated rows each get their row; an empty table gives an empty result. Without
+    training rows the vocabulary's own weights score alone.
     """
     spark = docs.sparkSession
     named = F.lit("") if group is None else F.coalesce(group.cast("string"), F.lit(""))
@@ -281,12 +286,13 @@ def score(docs: DataFrame, held_out, group=None, vocabulary: str = VOCABULARY, a
     seen = counted.agg(F.count_if(c_all > 0).alias("types"), F.coalesce(F.sum(c_all), F.lit(0)).alias("tokens"), *[F.count_if(F.col(c) > 0).alias(f"t_{c}") for c in cs], *[F.coalesce(F.sum(c), F.lit(0)).alias(f"s_{c}") for c in cs]).first()
     tokens, types = seen.tokens + n_train, seen.types + bool(n_train)
     pieces = load_pieces(vocabulary)
-    spelling = spark.sparkContext.broadcast((pieces, fit_pieces(counted, pieces, groups, rounds)))
+    spelling = spark.sparkContext.broadcast((pieces, np.column_stack([fit_pieces(counted, pieces, groups, rounds), pieces.log_weight])))
+    ls = [*ls, "lv"]  # the last one: under the vocabulary's own weights
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _gathered(batches):
             marginal = lattice(batch.column("word").to_pylist(), *spelling.value)
-            yield pa.RecordBatch.from_arrays([batch.column("h"), *(batch.column(c) for c in cs), *(pa.array(marginal[:, k].copy()) for k in range(groups))], ["h", *cs, *ls])
+            yield pa.RecordBatch.from_arrays([batch.column("h"), *(batch.column(c) for c in cs), *(pa.array(marginal[:, k].copy()) for k in range(groups + 1))], ["h", *cs, *ls])
 
     table = cut(counted.mapInArrow(spell, "h long, " + ", ".join([f"{c} long" for c in cs] + [f"{x} double" for x in ls])))
     new = np.array([max(seen[f"t_{c}"] + (n > 0), 1) for c, n in zip(cs, in_group)], dtype=np.float64)
@@ -316,13 +322,14 @@ def score(docs: DataFrame, held_out, group=None, vocabulary: str = VOCABULARY, a
             for k in range(groups):
                 static = (count[place, k] + new[k] * np.exp(spelt[place, k])) / model_all[k]
                 model[:, k] = np.bincount(owner, log_rising(adapt * np.maximum(static, 1e-300), often), n)
+            plain = np.bincount(owner, often * spelt[place, groups], n).astype(np.float64)
             n_known = np.bincount(owner, often, n).astype(np.int64)
             bounds = pa.array(np.searchsorted(text[~common], np.arange(n + 1)).astype(np.int32))
             lists = [pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (h[~common], times[~common].astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), part.column("held_out"), pa.array(np.diff(words.first)), pa.array(n_known), pa.array(base), *(pa.array(model[:, k].copy()) for k in range(groups)), *lists], ["doc_id", "key", "held_out", "n_words", "n_known", "base", *ms, "h", "times"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), part.column("held_out"), pa.array(np.diff(words.first)), pa.array(n_known), pa.array(base), pa.array(plain), *(pa.array(model[:, k].copy()) for k in range(groups)), *lists], ["doc_id", "key", "held_out", "n_words", "n_known", "base", "plain", *ms, "h", "times"])
 
     ms = [f"m{k}" for k in range(groups)]
-    first = cut(rows.select("doc_id", F.xxhash64("text").alias("key"), "held_out", "text").mapInArrow(run, "doc_id long, key long, held_out boolean, n_words long, n_known long, base double, " + ", ".join(f"{m} double" for m in ms) + ", h array<long>, times array<int>"))
+    first = cut(rows.select("doc_id", F.xxhash64("text").alias("key"), "held_out", "text").mapInArrow(run, "doc_id long, key long, held_out boolean, n_words long, n_known long, base double, plain double, " + ", ".join(f"{m} double" for m in ms) + ", h array<long>, times array<int>"))
 
     def again(k: int):
         x = F.lit(adapt) * F.greatest((F.col(cs[k]) + F.lit(float(new[k])) * F.exp(ls[k])) / F.lit(float(model_all[k])), F.lit(1e-300))
@@ -330,10 +337,10 @@ def score(docs: DataFrame, held_out, group=None, vocabulary: str = VOCABULARY, a
 
     rare = first.select("doc_id", "key", F.inline(F.arrays_zip("h", "times"))).join(table, "h")
     zero = F.lit(0).cast("long")
-    rest = rare.select("doc_id", "key", F.lit(None).cast("boolean").alias("held_out"), zero.alias("rows"), zero.alias("n_words"), F.when(c_all > 0, F.col("times")).otherwise(0).cast("long").alias("n_known"), (F.col("times") * F.log((c_all + 1) / F.lit(base_all))).alias("base"), *[again(k).alias(m) for k, m in enumerate(ms)])
-    own = first.select("doc_id", "key", "held_out", F.lit(1).cast("long").alias("rows"), "n_words", "n_known", "base", *ms)
+    rest = rare.select("doc_id", "key", F.lit(None).cast("boolean").alias("held_out"), zero.alias("rows"), zero.alias("n_words"), F.when(c_all > 0, F.col("times")).otherwise(0).cast("long").alias("n_known"), (F.col("times") * F.log((c_all + 1) / F.lit(base_all))).alias("base"), (F.col("times") * F.col("lv")).alias("plain"), *[again(k).alias(m) for k, m in enumerate(ms)])
+    own = first.select("doc_id", "key", "held_out", F.lit(1).cast("long").alias("rows"), "n_words", "n_known", "base", "plain", *ms)
     # rows that are equal throughout add up to a multiple of one of them
-    sums = ["n_words", "n_known", "base", *ms]
+    sums = ["n_words", "n_known", "base", "plain", *ms]
     both = own.unionByName(rest).groupBy("doc_id", "key").agg(F.max("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in ["rows", *sums]])
     both = both.withColumns({c: F.col(c) / F.col("rows") for c in sums})
     log_gamma = lambda v: (v - 0.5) * F.log(v) - v + F.lit(0.9189385332046727) + F.lit(1.0) / (v * 12) - F.lit(1.0) / (v * v * v * 360)
@@ -341,6 +348,7 @@ def score(docs: DataFrame, held_out, group=None, vocabulary: str = VOCABULARY, a
     parts = [F.col(m) + F.lit(float(np.log(max(in_group[k], 1e-9) / max(n_train, 1e-9)) + np.log(adapt * (in_group[k] / model_all[k] if n_train else 1.0)))) for k, m in enumerate(ms) if in_group[k] or not n_train]
     top = F.greatest(*parts) if len(parts) > 1 else parts[0]
     mixed = top + F.log(sum((F.exp(x - top) for x in parts[1:]), F.exp(parts[0] - top)))
+    stop = n_train / tokens if tokens > n_train else 0.5  # how likely a text ends at a token
     out = both.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
     return out.select(
         "doc_id",
@@ -350,4 +358,5 @@ def score(docs: DataFrame, held_out, group=None, vocabulary: str = VOCABULARY, a
         F.lit(tokens).cast("long").alias("train_tokens"),
         ((F.col("base") + F.log(F.lit((n_train + 1) / base_all))) / LN10).alias("base_score"),
         ((mixed - gone) / LN10).alias("score"),
+        ((F.col("plain") + F.col("n_words") * float(np.log1p(-stop)) + float(np.log(stop))) / LN10).alias("lattice_score"),
     )

@@ -183,6 +183,37 @@ def test_lattice_lm_base(docs):
         assert rows[i].score < 0
 
 
+def test_lattice_lm_score_brute_force(spark):
+    """score and lattice_score word by word, from counts, the lattice and the definitions."""
+    rng = random.Random(6)
+    docs = [(i, " ".join(rng.choices(["the", "tree", "sings", "Baum", "der", "singt", f"new{i}"], k=rng.randint(0, 30))), "en" if i % 3 else "de") for i in range(40)]
+    table = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in lattice_lm.score(table, F.col("doc_id") % 4 == 1, group=F.col("lang"), heavy_share=0.02).collect()}
+    train = [(t.encode().lower().split(), g) for i, t, g in docs if i % 4 != 1]
+    names = sorted({g for _, g in train}, key=lambda g: (-sum(x == g for _, x in train), g))
+    pieces = lattice_lm.load_pieces()
+    grouped = table.where("doc_id % 4 != 1").select("text", F.when(F.col("lang") == names[0], 0).otherwise(1).cast("long").alias("grp"))
+    weights = np.column_stack([lattice_lm.fit_pieces(lattice_lm.word_counts(grouped, 2), pieces, 2), pieces.log_weight])
+    vocabulary = sorted({w for _, t, _ in docs for w in t.encode().lower().split()})
+    spelt = dict(zip(vocabulary, lattice_lm.lattice(vocabulary, pieces, weights)))
+    ends = [sum(x == g for _, x in train) for g in names]
+    stop = len(train) / sum(len(w) + 1 for w, _ in train)
+    for i, t, _ in docs:
+        words, by_group = t.encode().lower().split(), []
+        for k, g in enumerate(names):
+            own = [w for x, y in train if y == g for w in x]
+            types = len(set(own)) + 1
+            total = len(own) + ends[k] + types
+            log_p, seen = math.log(ends[k] / len(train)), {}
+            for n, w in enumerate(words):
+                static = (own.count(w) + types * math.exp(spelt[w][k])) / total
+                log_p += math.log((lattice_lm.ADAPT * static + seen.get(w, 0)) / (lattice_lm.ADAPT + n))
+                seen[w] = seen.get(w, 0) + 1
+            by_group.append(log_p + math.log(lattice_lm.ADAPT * ends[k] / total / (lattice_lm.ADAPT + len(words))))
+        assert got[i].score == pytest.approx(np.logaddexp.reduce(by_group) / math.log(10), rel=1e-6)
+        assert got[i].lattice_score == pytest.approx((sum(spelt[w][2] + math.log1p(-stop) for w in words) + math.log(stop)) / math.log(10), rel=1e-9)
+
+
 def test_token_counts_brute_force():
     rng = random.Random(2)
     make = lambda n: sorted({bytes(rng.choices(b"abc", k=rng.randint(1, 4))) for _ in range(n)})
