@@ -39,7 +39,8 @@ def op6_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.matches(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
-    return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
+    spans = F.array_join(F.transform("spans", lambda x: F.concat(x["start"], F.lit("-"), x["end"])), ",")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated", F.col("longest").cast("long").alias("longest"), F.col("longest_start").cast("long").alias("longest_start"), spans.alias("spans"))
 
 
 def op8_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +53,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = language_id.identify(documents(spark, sf_dir), crc_fold(F.col("doc_id"), 4) == 2)
-    return found.select("doc_id", "held_out", "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
+    return found.select("doc_id", "held_out", "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"), F.array_join(F.transform("spans", lambda x: F.concat(x["lang"], F.lit(":"), x["start"], F.lit("-"), x["end"])), ",").alias("spans"))
 
 
 QUERIES = {
@@ -95,15 +96,23 @@ FROM (SELECT doc_id, source, text, unnest(range(1, times + 1)) AS copy_no FROM d
     "op7_decontaminate": rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce({_LOWER}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(coalesce({_LOWER}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
-bw AS (SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS win
+bp AS (SELECT item, i AS j, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS win
        FROM (SELECT item, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0)),
-sizes AS (SELECT DISTINCT n FROM bw),
+sizes AS (SELECT DISTINCT n FROM bp),
 dw AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS win
        FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
-hits AS (SELECT dw.doc_id, dw.i, dw.n, bw.item FROM dw JOIN bw ON dw.win = bw.win AND dw.n = bw.n),
-words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
+met AS (SELECT DISTINCT dw.doc_id, dw.i, dw.n, bp.item, bp.j FROM dw JOIN bp ON dw.win = bp.win AND dw.n = bp.n),
+hits AS (SELECT DISTINCT doc_id, i, n, item FROM met),
+hit_words AS (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS p FROM hits),
+words AS (SELECT doc_id, count(*) AS n_hit FROM hit_words GROUP BY doc_id),
+spans AS (SELECT doc_id, string_agg((low - 1) || '-' || high, ',' ORDER BY low) AS spans
+          FROM (SELECT doc_id, min(p) AS low, max(p) AS high FROM (SELECT doc_id, p, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS run FROM hit_words) GROUP BY doc_id, run) GROUP BY doc_id),
+matches AS (SELECT doc_id, min(i) AS i, count(*) + max(n) - 1 AS length
+            FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item, n, i - j ORDER BY i) AS run FROM met) GROUP BY doc_id, item, n, i - j, run),
+best AS (SELECT doc_id, max(length) AS longest, arg_min(i, (-length, i)) - 1 AS longest_start FROM matches GROUP BY doc_id),
 items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
-       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+       CAST(longest AS BIGINT) AS longest, CAST(longest_start AS BIGINT) AS longest_start, coalesce(spans, '') AS spans
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN spans USING (doc_id) LEFT JOIN best USING (doc_id)""",
 }
