@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import random
+import textwrap
 
 import numpy as np
 import pyarrow as pa
@@ -399,6 +400,41 @@ def test_licenses(spark, docs):
     assert {r.doc_id - 10**9: r.families for r in out.collect()} == {k: f for k, (_, f) in enumerate(texts)}
 
 
+UNSEEN = [
+    "Licensed under the EUPL, Version 1.2 or - as soon as they will be approved by the European Commission - subsequent versions of the EUPL.",
+    "Permission to copy, use, modify, sell and distribute this software is granted provided this copyright notice appears in all copies.",
+    "This software may be modified and distributed under the terms of the Microsoft Public License.",
+    "Licensed under the Academic Free License version 3.0.",
+    "You can redistribute it and/or modify it under the terms of the CeCILL license as circulated by CEA, CNRS and INRIA.",
+    "This file is distributed under the University of Illinois Open Source License. See LICENSE.TXT for details.",
+    "The author disclaims copyright to this source code and places it in the public domain.",
+    "SPDX-License-Identifier: Zlib",
+]
+
+
+def test_licences_planted(spark, docs):
+    """Perturbed notices of known families and notices of families without a template, in ordinary text; wrapped at 80 columns."""
+    rng = random.Random(9)
+    plain = [r.text for r in docs.where("text is not null and not lower(text) rlike 'licen|copyright|rights|gnu|public'").collect()]
+    known = [(f, t) for f, t in licenses.TEMPLATES if f != "unknown" and len(t.split()) > 6]
+    notices = [(f, " ".join(w.upper() if rng.random() < 0.1 else w for w in t.split() if rng.random() > 1 / 15)) for f, t in known for _ in range(2)]
+    notices += [("unknown", t) for t in UNSEEN]
+    rows = [(k, f, "A line of its own.\n\n" + textwrap.fill(t, 80) + "\n\n" + rng.choice(plain)[:500]) for k, (f, t) in enumerate(notices)]
+    rows += [(10_000 + k, "none", t) for k, t in enumerate(plain)]
+    table = spark.createDataFrame(rows, "doc_id long, wanted string, text string")
+    fitted = licenses.fit(docs)
+    found = licenses.classify(licenses.paragraphs(table), fitted).select("doc_id", "family").collect()
+    got = {}
+    for r in found:
+        got.setdefault(r.doc_id, set()).add(r.family)
+    seen = [k for k, f, _ in rows if f not in ("none", "unknown")]
+    assert sum(k in got for k in seen) >= 0.9 * len(seen)
+    assert sum(f in got.get(k, ()) for k, f, _ in rows if k in set(seen)) >= 0.8 * len(seen)
+    unseen = [k for k, f, _ in rows if f == "unknown"]
+    assert sum(k in got for k in unseen) >= 0.6 * len(unseen) and sum(got.get(k, {"unknown"}) == {"unknown"} for k in unseen) >= 0.8 * len(unseen)
+    assert sum(k >= 10_000 for k in got) <= 0.02 * len(plain)
+
+
 def test_licences_of_unknown_wording(spark, docs):
     """Licence words in an order of no template, and a family's words that no template confirms: unknown, not dropped."""
     texts = ["public license GNU terms software redistribute copyright General version Foundation", "permission warranty license license's conditions copyright notice software reserved rights"]
