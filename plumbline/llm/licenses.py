@@ -32,6 +32,8 @@ WRONG = 0.25
 ALARMS = 0.001
 #: Least share of a paragraph's 3-grams that a template must have, or the reverse.
 CONFIRM = 0.55
+#: However sure the model is of ordinary paragraphs, `none` above this is never taken for a licence.
+MOST_PLAIN = 0.5
 ORDINARY, UNKNOWN = "none", "unknown"
 
 # Usual wordings of licence notices, by family.
@@ -153,8 +155,8 @@ def variants(spark: SparkSession) -> DataFrame:
 def ordinary(docs: DataFrame, rows: int = ORDINARY_ROWS) -> DataFrame:
     """(template, family, words): a bounded sample of distinct paragraphs, the first so many by hash of their words.
 
-    Those with a word 3-gram of a template are left out; licence words as such may
-    stand in them. Template: null. Only hashes below a bound are sorted; it is
+    Those with a word 3-gram of a template, or with two different licence words,
+    are left out; one such word may stand in them. Template: null. Only hashes below a bound are sorted; it is
     raised as long as too few are.
     """
     known = sorted({" ".join(w[k : k + 3]) for _, text in TEMPLATES for w in [re.findall("[a-z0-9]+", text.lower())] for k in range(max(1, len(w) - 2))})
@@ -164,7 +166,8 @@ def ordinary(docs: DataFrame, rows: int = ORDINARY_ROWS) -> DataFrame:
     share = 4.0 * rows / max(many, 1)
     while True:
         low = plain.where(F.col("at") < int(share * 2**64) - 2**63) if share < 1 else plain
-        apart = low.where(~F.arrays_overlap(_compared(F.col("words")), F.array(*map(F.lit, known))))
+        named = F.array_distinct(F.regexp_extract_all(F.array_join("words", " "), F.lit("(licen[sc]|copyright|rights|gnu|apache|warrant|redistribut)"), F.lit(1)))
+        apart = low.where(F.size(named) < 2).where(~F.arrays_overlap(_compared(F.col("words")), F.array(*map(F.lit, known))))
         picked = cut(apart.dropDuplicates(["at"]).orderBy("at").limit(rows))
         if share >= 1 or picked.count() >= rows:
             break
@@ -199,7 +202,7 @@ def fit(docs: DataFrame, ordinary_rows: int = ORDINARY_ROWS) -> Classifier:
     threshold = seen.where("best.family != family").agg(F.percentile("best.p", F.lit(1 - WRONG))).first()[0]
     none = trial.transform(rows.where("held and family = 'none'")).select(p[names.index(ORDINARY)].alias("p"))
     plain = none.agg(F.percentile("p", F.lit(ALARMS))).first()[0]
-    return Classifier(train.fit(rows), names, float(threshold if threshold is not None else 0.5), min(0.5, float(plain if plain is not None else 0.5)))
+    return Classifier(train.fit(rows), names, float(threshold if threshold is not None else 0.5), min(MOST_PLAIN, float(plain if plain is not None else 0.5)))
 
 
 def classify(rows: DataFrame, fitted: Classifier) -> DataFrame:
