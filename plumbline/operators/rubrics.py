@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WEIGHT_TOLERANCE = 1e-9
+#: Attacks that are broadcast; a larger bank meets the seeds by partitions.
+MAX_BANK = 10_000
 VERDICT_ORDER = ["FAIL", "ERROR", "SKIP", "PASS"]
 
 
@@ -154,7 +156,7 @@ def first_unmet(requires: Column, facts: Column) -> Column:
 def oracles_for(tier: Column, domain: Column) -> Column:
     """Oracles that a task of this tier and domain runs, sorted."""
     rank = F.substring(tier, 2, 1).cast("int")
-    wanted = [(F.lit(True), "O1"), (F.lit(True), "O3"), (rank == 4, "O2"), (domain.isin("triton", "pallas", "jax", "pytorch"), "O4"), (domain.isin("distributed") | (rank == 6), "O5")]
+    wanted = [(F.lit(True), "O1"), (F.lit(True), "O3"), (rank == 4, "O2"), (domain.isin("triton", "pallas", "cuda", "jax", "pytorch") | rank.isin(1, 4), "O4"), (domain.isin("distributed", "checkpointing") | (rank == 6), "O5")]
     return F.array_sort(F.array_compact(F.array(*[F.when(when, name) for when, name in wanted])))
 
 
@@ -177,7 +179,7 @@ def leaked_lines(tasks: DataFrame) -> DataFrame:
 
     tasks(task_id, prompt, baseline, mutant).
     """
-    lines = lambda c: tasks.select("task_id", F.explode(F.transform(F.split(c, "\n"), F.trim)).alias("line")).where(F.length("line") >= 8).distinct()
+    lines = lambda c: tasks.select("task_id", F.explode(F.transform(F.split(c, "\n"), lambda x: F.trim(x))).alias("line")).where(F.length("line") >= 8).distinct()
     gone = lines("baseline").join(lines("mutant"), ["task_id", "line"], "left_anti")
     return gone.join(lines("prompt"), ["task_id", "line"])
 
@@ -219,7 +221,8 @@ def suite(outcomes: DataFrame) -> DataFrame:
 
 def attack_matrix(seeds: DataFrame, attacks: DataFrame) -> DataFrame:
     """Every attack on every seed: seeds(seed, facts map), attacks(id, requires array), with applies and why_not. A designed table of all pairs."""
-    each = seeds.join(F.broadcast(attacks))  # the attack bank is a few dozen rows
+    small = attacks.limit(MAX_BANK + 1).count() <= MAX_BANK
+    each = seeds.join(F.broadcast(attacks) if small else attacks)
     return each.withColumn("why_not", first_unmet(F.col("requires"), F.col("facts"))).select("seed", "id", F.col("why_not").isNull().alias("applies"), "why_not")
 
 
@@ -259,25 +262,27 @@ def witnesses(partitioned: DataFrame) -> DataFrame:
 
 
 def dearest_shape(outcomes: DataFrame) -> DataFrame:
-    """(task_id, name): the usable shape with most bytes, then flops; of equal ones the first by name."""
-    w = Window.partitionBy("task_id").orderBy(F.desc("bytes"), F.desc("flops"), "name")
+    """(task_id, name): the usable shape with most bytes, then flops; of equal ones the last by name."""
+    w = Window.partitionBy("task_id").orderBy(F.desc("bytes"), F.desc("flops"), F.desc("name"))
     return outcomes.where("usable").withColumn("nth", F.row_number().over(w)).where("nth = 1").select("task_id", "name")
 
 
 def performance_shapes(partitioned: DataFrame, k: int = 3) -> DataFrame:
-    """The last k shapes of each task, those that detect before decoys."""
-    w = Window.partitionBy("task_id").orderBy(F.desc(F.col("role") == "detect"), F.desc("ord"))
-    return partitioned.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= k).select("task_id", "name", "nth")
+    """The last k of each task's shapes that detect, or of all its shapes if none does; nth counts from the last."""
+    detects = F.col("role") == "detect"
+    pool = partitioned.withColumn("any", F.max(detects).over(Window.partitionBy("task_id"))).where(detects | ~F.col("any"))
+    return pool.withColumn("nth", F.row_number().over(Window.partitionBy("task_id").orderBy(F.desc("ord")))).where(F.col("nth") <= k).select("task_id", "name", "nth")
 
 
 def truncate(text: Column, limit: int = 240) -> Column:
-    """White space collapsed, cut at limit characters with an ellipsis."""
+    """White space collapsed; text of more than limit characters is cut so that it has limit of them with three dots."""
     flat = F.trim(F.regexp_replace(text, r"\s+", " "))
-    return F.when(F.length(flat) > limit, F.concat(F.substring(flat, 1, limit - 1), F.lit("…"))).otherwise(flat)
+    return F.when(F.length(flat) > limit, F.concat(F.substring(flat, 1, limit - 3), F.lit("..."))).otherwise(flat)
 
 
 def neutral_links(text: Column) -> Column:
-    return F.replace(text, F.lit("://"), F.lit(":∕∕"))
+    """Both slashes behind a scheme as character references, so that no text reads as a link."""
+    return F.replace(text, F.lit("://"), F.lit(":&#47;&#47;"))
 
 
 def world_sizes(requested: DataFrame, available: int) -> DataFrame:

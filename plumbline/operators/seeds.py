@@ -6,7 +6,7 @@ partial and final aggregation do anyway.
 
 from __future__ import annotations
 
-import math
+import hashlib
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -98,14 +98,15 @@ def cache_misses(tuned: DataFrame) -> DataFrame:
     return tuned.agg(F.count("*").alias("n"), F.countDistinct("cm", "cn", "ck").alias("misses"))
 
 
-def coprime_multiplier(n: int, seed: int) -> int:
-    """The first number from a seeded start on, wrapping at n, that shares no factor with n."""
-    if n <= 1:
-        return 1
-    a = 1 + seed * 2246822519 % n
-    while math.gcd(a, n) != 1:
-        a = a + 1 if a < n else 1
-    return a
+#: Steps through the samples; one that doesn't divide their number visits each of them once.
+STEPS = [611_953, 700_001, 746_773, 800_011, 867_653, 909_091, 951_161, 999_983]
+
+
+def walk_of(n: int, seed: int, epoch: int) -> tuple[int, int]:
+    """(step, start) of an epoch's walk through n samples: the first prime from the epoch's place in STEPS on that doesn't divide n, and a hashed start."""
+    turn = (seed + epoch) % len(STEPS)
+    step = next(p for p in STEPS[turn:] + STEPS[:turn] if n % p)
+    return step, int(hashlib.md5(f"{seed}:{epoch}".encode()).hexdigest()[:12], 16) % n
 
 
 def batch_stream(spark: SparkSession, n: int, world: int, batch: int, seed: int = 0, epochs: int = 1, drop_last: bool = False) -> DataFrame:
@@ -117,10 +118,10 @@ def batch_stream(spark: SparkSession, n: int, world: int, batch: int, seed: int
     per = n // world if drop_last else -(-n // world)
     if n <= 0 or per <= 0:
         return spark.createDataFrame([], "epoch long, rank long, batch long, pos long, sample long")
-    rules = spark.createDataFrame([(e, coprime_multiplier(n, seed + e), (seed * 2654435761 + e * 40503) % n) for e in range(epochs)], "epoch long, a long, b long")
+    rules = spark.createDataFrame([(e, *walk_of(n, seed, e)) for e in range(epochs)], "epoch long, step long, start long")
     places = spark.range(per * world).crossJoin(F.broadcast(rules))  # a row an epoch
     pos = F.floor(F.col("id") / world)
-    out = places.select("epoch", (F.col("id") % world).alias("rank"), F.floor(pos / batch).alias("batch"), (pos % batch).alias("pos"), ((F.col("a") * (F.col("id") % n) + F.col("b")) % n).alias("sample"))
+    out = places.select("epoch", (F.col("id") % world).alias("rank"), F.floor(pos / batch).alias("batch"), (pos % batch).alias("pos"), ((F.col("start") + F.col("step") * (F.col("id") % n)) % n).alias("sample"))
     return out.where(F.col("batch") < per // batch) if drop_last else out
 
 
@@ -131,24 +132,21 @@ def multiplicities(spark: SparkSession, stream: DataFrame, n: int) -> DataFrame:
 
 
 def prefetch_queue(n: Column, depth: Column, producer: Column, consumer: Column) -> Column:
-    """(stalls, stall_ms, finish, idle_ms) of a producer at most depth batches ahead of its consumer, as a fold over batches.
+    """(stalls, stall_ms, finish, idle_ms) of n batches made at most depth ahead of their consumer, in closed form.
 
-    With depth 0 each batch is made on demand. The state holds the finishing
-    times of past batches, so a fold, not a window, is what this needs.
+    At a depth of 0 or 1 making and using take turns. Deeper, the slower side sets
+    the pace: a slow producer never idles and each of its batches is waited for; a
+    slow consumer waits for the first batch alone, and the producer is held up by
+    as much as its last batch, made when that depth places before was used, is late.
     """
-    zero = F.lit(0).cast("long")
-    start = F.struct(zero.alias("made"), zero.alias("used"), zero.alias("stalls"), zero.alias("stall_ms"), zero.alias("idle_ms"), F.array().cast("array<bigint>").alias("done"))
-
-    def step(s: Column, i: Column) -> Column:
-        back = F.when(depth <= 0, s["used"]).when(i >= depth, F.element_at(s["done"], (i - depth + 1).cast("int"))).otherwise(zero)
-        gate = F.greatest(s["made"], back)
-        ready = gate + producer
-        late = F.greatest(ready - s["used"], zero)
-        finish = F.greatest(s["used"], ready) + consumer
-        return F.struct(ready.alias("made"), finish.alias("used"), (s["stalls"] + F.when(late > 0, 1).otherwise(0)).alias("stalls"), (s["stall_ms"] + late).alias("stall_ms"), (s["idle_ms"] + gate - s["made"]).alias("idle_ms"), F.concat(s["done"], F.array(finish)).alias("done"))
-
-    steps = F.when(n > 0, F.sequence(zero, n - 1)).otherwise(F.array().cast("array<bigint>"))
-    return F.aggregate(steps, start, step, lambda s: F.struct(s["stalls"].alias("stalls"), s["stall_ms"].alias("stall_ms"), s["used"].alias("finish"), s["idle_ms"].alias("idle_ms")))
+    zero, first = F.lit(0).cast("long"), (producer > 0).cast("long")
+    turns = F.struct((n * first).alias("stalls"), (n * producer).alias("stall_ms"), (n * (producer + consumer)).alias("finish"), ((n - 1) * consumer).alias("idle_ms"))
+    behind = (n - 1) * (producer > consumer).cast("long")
+    slow_producer = F.struct((first + behind).alias("stalls"), (producer + behind * (producer - consumer)).alias("stall_ms"), (n * producer + consumer).alias("finish"), zero.alias("idle_ms"))
+    held = F.when(n > depth, F.greatest(zero, (n - depth) * consumer + 2 * producer - n * producer)).otherwise(zero)
+    slow_consumer = F.struct(first.alias("stalls"), producer.alias("stall_ms"), (producer + n * consumer).alias("finish"), held.alias("idle_ms"))
+    nothing = F.struct(zero.alias("stalls"), zero.alias("stall_ms"), zero.alias("finish"), zero.alias("idle_ms"))
+    return F.when(n <= 0, nothing).when(depth <= 1, turns).when(producer >= consumer, slow_producer).otherwise(slow_consumer)
 
 
 def shard_offsets(shards: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ QUERIES = {
     "w03_running_alpha": lambda s, d: R.running_alpha(B.ratings(s, d), "nominal").select("criterion", "unit", F.col("ord").cast("long").alias("ord"), (F.round("alpha", 6) + 0.0).alias("alpha")),
     "w04_hoeffding": lambda s, d: _R(R.hoeffding(B.stream(s, d)), "x", "lo", "hi").withColumn("t", F.col("t").cast("long")),
     "w05_empirical_bernstein": lambda s, d: _R(R.empirical_bernstein(B.stream(s, d)), "x", "lo", "hi").withColumn("t", F.col("t").cast("long")),
-    "w06_betting": lambda s, d: _R(R.betting(B.stream(s, d), grid=41), "x", "lo", "hi").withColumn("t", F.col("t").cast("long")),
+    "w06_betting": lambda s, d: _R(R.betting(B.stream(s, d)), "x", "lo", "hi").withColumn("t", F.col("t").cast("long")),
     "w07_alpha_bounds": lambda s, d: R.alpha_bounds(R.hoeffding(B.stream(s, d)), F.lit(1.5)).select("criterion", F.col("t").cast("long").alias("t"), F.round("alpha_lo", 6).alias("alpha_lo"), F.round("alpha_hi", 6).alias("alpha_hi")),
     "w08_first_clearing": lambda s, d: R.first_clearing(R.alpha_bounds(R.hoeffding(B.stream(s, d)), F.lit(0.5)), 0.5).select("criterion", F.col("t").cast("long").alias("t")),
     "e18_monitor": lambda s, d: R.monitor(B.ratings(s, d)).select("criterion", F.col("t").cast("long").alias("t"), F.round("alpha_lo", 5).alias("alpha_lo"), F.round("alpha_hi", 5).alias("alpha_hi")),
@@ -87,7 +87,7 @@ eb AS (SELECT criterion, t, x, greatest(0e0, lx / l - (v + {math.log(40)!r}) / l
 
 
 _BETTING = f"""WITH {_plug('stream')},
-g AS (SELECT p2.*, k AS g, k / 40e0 AS m FROM p2, (SELECT unnest(range(0, 41)) AS k)),
+g AS (SELECT p2.*, k AS g, k / 400e0 AS m FROM p2, (SELECT unnest(range(0, 401)) AS k)),
 l AS (SELECT *, (mu - m) / (var + pow(mu - m, 2)) AS lam FROM g),
 b AS (SELECT criterion, t, x, g, m, sum(ln(1 + least(greatest(lam, 0e0), 5e-1 / greatest(m, 1e-4)) * (x - m))) OVER w AS plus, sum(ln(1 - least(greatest(-lam, 0e0), 5e-1 / greatest(1 - m, 1e-4)) * (x - m))) OVER w AS minus FROM l WINDOW w AS (PARTITION BY criterion, g ORDER BY t)),
 r AS (SELECT *, max(greatest(plus, minus)) OVER (PARTITION BY criterion, g ORDER BY t) AS most FROM b),

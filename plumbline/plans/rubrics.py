@@ -141,7 +141,7 @@ ORACLE_SQL = {
     "p07_split_criteria": f"WITH {_CRIT} SELECT rubric, coalesce(string_agg(id, ',' ORDER BY ord) FILTER (machine), '') AS machine, coalesce(string_agg(id, ',' ORDER BY ord) FILTER (NOT machine), '') AS human FROM cr GROUP BY 1",
     "p10_capabilities": "SELECT n_name, array_to_string(list_sort(list_filter(['torch', 'cuda', 'jax', 'triton'][1:n_nationkey % 5], lambda c: c <> 'torch' AND c <> CASE WHEN n_nationkey % 2 = 0 THEN 'jax' ELSE 'cuda' END)), ',') AS missing FROM nation",
     "p11_why_not": f"WITH {_MATRIX} SELECT seed, id, why_not FROM mx",
-    "p12_oracles_for": B.sql("tasks", "SELECT task_id, array_to_string(list_filter(['O1', CASE WHEN tier = 'T4' THEN 'O2' END, 'O3', CASE WHEN domain IN ('triton', 'pallas', 'jax', 'pytorch') THEN 'O4' END, CASE WHEN domain = 'distributed' OR tier = 'T6' THEN 'O5' END], lambda x: x IS NOT NULL), ',') AS oracles FROM tasks"),
+    "p12_oracles_for": B.sql("tasks", "SELECT task_id, array_to_string(list_filter(['O1', CASE WHEN tier = 'T4' THEN 'O2' END, 'O3', CASE WHEN domain IN ('triton', 'pallas', 'cuda', 'jax', 'pytorch') OR tier IN ('T1', 'T4') THEN 'O4' END, CASE WHEN domain IN ('distributed', 'checkpointing') OR tier = 'T6' THEN 'O5' END], lambda x: x IS NOT NULL), ',') AS oracles FROM tasks"),
     "p13_refine_tier": B.sql("tasks", "SELECT task_id, CASE task_id % 6 WHEN 1 THEN 'T2' WHEN 3 THEN 'T2' WHEN 2 THEN 'T3' WHEN 4 THEN 'T6' ELSE tier END AS tier FROM tasks"),
     "p14_problems": f"WITH {_CRIT} {_PROBLEMS}",
     "p15_leaked_lines": "WITH b AS (SELECT DISTINCT doc_id, doc_id % 3 AS r, trim(unnest(string_split(text, chr(10)))) AS line FROM documents), m AS (SELECT doc_id, trim(unnest(string_split(regexp_replace(text, '^[^\\n]*', 'changed'), chr(10)))) AS line FROM documents), p AS (SELECT DISTINCT doc_id, trim(unnest(string_split(text, chr(10))[1:2])) AS line FROM documents WHERE doc_id % 3 = 0) SELECT b.doc_id AS task_id, b.line FROM b JOIN p ON b.doc_id = p.doc_id AND b.line = p.line WHERE length(b.line) >= 8 AND NOT EXISTS (SELECT 1 FROM m WHERE m.doc_id = b.doc_id AND m.line = b.line)",
@@ -160,8 +160,8 @@ ORACLE_SQL = {
     "u04_world_sizes": "SELECT DISTINCT p_size % 12 AS size, CASE WHEN p_size % 12 < 1 THEN 'not positive' WHEN p_size % 12 = 1 THEN 'nothing to compare' WHEN p_size % 12 > 8 THEN 'more than there are' END AS reason FROM part",
     "w10_partition_shapes": f"WITH {_OUT} SELECT * FROM pt",
     "w11_witnesses": f"WITH {_OUT} SELECT task_id, arg_min(name, ord) AS witness FROM pt WHERE role = 'detect' GROUP BY 1",
-    "t09_dearest_shape": f"WITH {_OUT} SELECT task_id, name FROM oc WHERE usable QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY bytes DESC, flops DESC, name) = 1",
-    "t10_performance_shapes": f"WITH {_OUT} SELECT task_id, name, row_number() OVER (PARTITION BY task_id ORDER BY role = 'detect' DESC, ord DESC) AS nth FROM pt QUALIFY nth <= 3",
-    "f10_truncate": "SELECT doc_id, CASE WHEN length(t) > 240 THEN substr(t, 1, 239) || '…' ELSE t END AS short FROM (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents)",
-    "f11_neutral_links": "SELECT page_id, replace(url, '://', ':∕∕') AS url FROM pages",
+    "t09_dearest_shape": f"WITH {_OUT} SELECT task_id, name FROM oc WHERE usable QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY bytes DESC, flops DESC, name DESC) = 1",
+    "t10_performance_shapes": f"WITH {_OUT} SELECT task_id, name, row_number() OVER (PARTITION BY task_id ORDER BY ord DESC) AS nth FROM (SELECT *, bool_or(role = 'detect') OVER (PARTITION BY task_id) AS seen FROM pt) WHERE role = 'detect' OR NOT seen QUALIFY nth <= 3",
+    "f10_truncate": "SELECT doc_id, CASE WHEN length(t) > 240 THEN substr(t, 1, 237) || '...' ELSE t END AS short FROM (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents)",
+    "f11_neutral_links": "SELECT page_id, replace(url, '://', ':&#47;&#47;') AS url FROM pages",
 }

@@ -21,7 +21,7 @@ def _vectors(s, d):
 def _attention(s, d):
     v = _vectors(s, d)
     pos = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
-    keys = v.select(F.col("label").alias("grp"), pos.cast("long").alias("pos"), "vec", F.slice("vec", 1, 8).alias("value"))
+    keys = v.select(F.col("label").alias("grp"), pos.cast("long").alias("pos"), "vec", F.col("vec").alias("value"))
     return S.attention(v.select(F.col("label").alias("grp"), F.col("vec_id").alias("qi"), F.slice("vec", 1, 64).alias("vec")), keys, K_START, N_CTX)
 
 
@@ -144,10 +144,14 @@ best AS (SELECT DISTINCT ON (cm, cn, ck) cm, cn, ck, ord, bm, bn, bk FROM (SELEC
 tuned AS (SELECT cl.*, ord, {_cost('m', 'n', 'k', 'bm', 'bn', 'bk')} AS cost FROM cl JOIN best USING (cm, cn, ck))"""
 
 
+_STEPS = ", ".join(f"({k}, {p})" for k, p in enumerate(S.STEPS))
+
+
 def _stream(world, batch, seed, epochs=1, drop=False):
     per = f"(n // {world})" if drop else f"((n + {world} - 1) // {world})"
     return f"""size AS (SELECT count(*) AS n FROM documents),
- rules AS (SELECT n, e AS epoch, (SELECT min(a) FROM (SELECT unnest(range(1 + ({seed} + e) * 2246822519 % n, 1 + ({seed} + e) * 2246822519 % n + 1000)) AS a) WHERE gcd(a, n) = 1) AS a, ({seed} * 2654435761 + e * 40503) % n AS b FROM size, (SELECT unnest(range(0, {epochs})) AS e)),
+ steps AS (SELECT * FROM (VALUES {_STEPS}) t(k, step)),
+ rules AS (SELECT n, e AS epoch, (SELECT arg_min(step, (k - ({seed} + e) % 8 + 8) % 8) FROM steps WHERE n % step <> 0) AS a, CAST('0x' || substr(md5('{seed}:' || e), 1, 12) AS BIGINT) % n AS b FROM size, (SELECT unnest(range(0, {epochs})) AS e)),
  stream AS (SELECT epoch, p % {world} AS rank, p // {world} // {batch} AS batch, p // {world} % {batch} AS pos, (a * (p % n) + b) % n AS sample FROM (SELECT *, unnest(range(0, {per} * {world})) AS p FROM rules) {f'WHERE p // {world} // {batch} < {per} // {batch}' if drop else ''})"""
 
 
@@ -179,7 +183,7 @@ _SD = (I.SD_LOG_A, I.SD_B, I.SD_THETA)
 _UNIT = "CAST('0x' || substr(md5('irt:' || respondent || ':' || item || ':' || k), 1, 13) AS BIGINT) / 4503599627370496e0"
 
 ORACLE_SQL = {
-    "n01_attention": f"WITH {_VEC}, ks AS (SELECT label, vec, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS pos FROM e), s AS (SELECT e.label, e.vec_id, ks.vec AS kv, exp(list_dot_product(e.vec, ks.vec) / 8e0) AS p FROM e JOIN ks ON e.label = ks.label AND pos >= {K_START} AND pos < {K_START + N_CTX}), dims AS (SELECT unnest(range(0, 8)) AS d), o AS (SELECT label, vec_id, d, sum(p * kv[d + 1]) / sum(p) AS out FROM s, dims GROUP BY 1, 2, 3) SELECT e.label AS grp, e.vec_id AS qi, CAST(dd AS INT) AS d, round(coalesce(out, 0e0), 6) + 0e0 AS out FROM e CROSS JOIN (SELECT unnest(range(0, 64)) AS dd) LEFT JOIN o ON o.vec_id = e.vec_id AND o.d = dd",
+    "n01_attention": f"WITH {_VEC}, ks AS (SELECT label, vec, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS pos FROM e), s AS (SELECT e.label, e.vec_id, ks.vec AS kv, exp(list_dot_product(e.vec, ks.vec) / 8e0) AS p FROM e JOIN ks ON e.label = ks.label AND pos >= {K_START} AND pos < {K_START + N_CTX}), dims AS (SELECT unnest(range(0, 64)) AS d), o AS (SELECT label, vec_id, d, sum(p * kv[d + 1]) / sum(p) AS out FROM s, dims GROUP BY 1, 2, 3) SELECT e.label AS grp, e.vec_id AS qi, CAST(dd AS INT) AS d, round(coalesce(out, 0e0), 6) + 0e0 AS out FROM e CROSS JOIN (SELECT unnest(range(0, 64)) AS dd) LEFT JOIN o ON o.vec_id = e.vec_id AND o.d = dd",
     "n02_layer_norm": f"WITH {_VEC}, st AS (SELECT i, avg(v) AS mean, var_pop(v) AS var FROM x WHERE k < {N_VALID} GROUP BY 1) SELECT i AS row, k AS pos, round(CASE WHEN k < {N_VALID} THEN (v - mean) / sqrt(var + 1e-5) * (1 + k / 64e0) + k / 100e0 ELSE 0e0 END, 6) + 0e0 AS out FROM x JOIN st USING (i)",
     "n03_j17_matmul": f"WITH {_VEC}, {_MEANS} SELECT x.i, b.j, round(sum(x.v * b.v), 6) + 0e0 AS v FROM x JOIN b USING (k) GROUP BY 1, 2",
     "n04_j16_int4_matmul": f"WITH {_VEC}, {_PACKED} SELECT i, j, round(sum(v * (q - (8 - (un.k // 16) % 2)) * (5e-2 * (1 + (un.k // 16 + j) % 3))), 6) + 0e0 AS v FROM x JOIN un ON x.k = un.k GROUP BY 1, 2",

@@ -6,8 +6,8 @@ from pyspark.sql import SparkSession
 
 
 def session(name: str = "plumbline", **conf: str) -> SparkSession:
-    """Adaptive execution and UTC; conf overrides or adds settings (dots written as double underscores)."""
-    builder = SparkSession.builder.appName(name).config("spark.sql.adaptive.enabled", "true").config("spark.sql.session.timeZone", "UTC")
+    """Adaptive execution, UTC, and checkpoints removed when nothing refers to them; conf overrides or adds settings (dots written as double underscores)."""
+    builder = SparkSession.builder.appName(name).config("spark.sql.adaptive.enabled", "true").config("spark.sql.session.timeZone", "UTC").config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()

@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 import yaml
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -145,37 +145,6 @@ def bad(records: DataFrame) -> DataFrame:
     return records.where("error is not null").select("path", "error")
 
 
-def _number(cell: str) -> float | None:
-    """NaN for a missing rating, None for what is no number."""
-    cell = cell.strip()
-    if cell.upper() in MISSING:
-        return math.nan
-    try:
-        return float(cell)
-    except ValueError:
-        return None
-
-
-def _matrix(text: str) -> tuple[list[str], list[list[float]]]:
-    rows = [r for r in csv.reader(io.StringIO(text, newline="")) if any(c.strip() for c in r)]
-    if not rows:
-        raise ValueError("no rows")
-    header = []
-    if all(_number(c) is None for c in rows[0]):
-        header, rows = [c.strip() for c in rows[0]], rows[1:]
-    if not rows:
-        raise ValueError("a header but no ratings")
-    if all(_number(r[0]) is None for r in rows):
-        header, rows = header[1:], [r[1:] for r in rows]
-    values = [[_number(c) for c in r] for r in rows]
-    for i, row in enumerate(values, 1):
-        if None in row:
-            raise ValueError(f"row {i}, column {row.index(None) + 1} is not a number")
-    if len({len(r) for r in values}) != 1:
-        raise ValueError("rows of unequal length")
-    return header, values
-
-
 def decode_ratings(files: DataFrame) -> DataFrame:
     """(path, error, rater, unit, name, value): a row for each cell of a CSV matrix of raters by units.
 
@@ -184,20 +153,48 @@ def decode_ratings(files: DataFrame) -> DataFrame:
     ratings are null. One row with an error stands for a file that is no matrix.
     """
 
-    def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["path", "error", "rater", "unit", "name", "value"]
+    def raw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, text in zip(batch["path"], batch["text"], strict=True):
                 try:
-                    header, values = _matrix(text or "")
-                except (ValueError, csv.Error) as error:
-                    yield pd.DataFrame([(path, str(error), None, None, None, None)], columns=columns, dtype=object)
+                    rows = list(csv.reader(io.StringIO(text or "", newline="")))
+                except csv.Error as error:
+                    yield pd.DataFrame([(path, str(error), None, None)], columns=["path", "broken", "line", "cells"])
                     continue
-                for rater, row in enumerate(values, 1):
-                    named = [header[j] if j < len(header) else None for j in range(len(row))]
-                    yield pd.DataFrame([(path, None, rater, j + 1, named[j], None if math.isnan(v) else v) for j, v in enumerate(row)], columns=columns, dtype=object)
-
-    return files.select("path", "text").mapInPandas(cells, "path string, error string, rater long, unit long, name string, value double")
+                yield pd.DataFrame([(path, None, k, row) for k, row in enumerate([[], *rows])], columns=["path", "broken", "line", "cells"])
+
+    lines = files.select("path", "text").mapInPandas(raw, "path string, broken string, line int, cells array<string>")
+    cells = F.transform("cells", lambda c: F.trim(c))
+    kept = lines.select("path", "broken", "line", cells.alias("cells")).where("line is null or line = 0 or exists(cells, c -> c != '')")
+    number = lambda c: c.try_cast("double")
+    missing = lambda c: F.upper(c).isin(*MISSING)
+    rated = kept.withColumn("rated", F.transform("cells", lambda c: missing(c) | number(c).isNotNull()))
+    # line 0 stands for the file itself, so that an empty one isn't lost
+    top = rated.groupBy("path").agg(F.max("broken").alias("broken"), F.min(F.when(F.col("line") > 0, F.struct("line", "cells", "rated"))).alias("top"))
+    top = top.withColumn("headed", F.coalesce(~F.exists("top.rated", lambda x: x), F.lit(False)))
+    own = rated.join(top, "path").where((F.col("line") > 0) & ~(F.col("headed") & (F.col("line") == F.col("top.line")))).select("path", "line", "cells", "rated")
+    place = F.row_number().over(Window.partitionBy("path").orderBy("line"))
+    shape = own.groupBy("path").agg(F.min((~F.element_at("rated", 1))).alias("named"), F.min(F.size("cells")).alias("least"), F.max(F.size("cells")).alias("most"))
+    body = own.withColumn("rater", place.cast("long")).join(shape, "path")
+    cut = lambda c: F.when(F.col("named"), F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(0)))).otherwise(F.col(c))
+    body = body.select("path", "rater", "named", "least", "most", cut("cells").alias("cells"), cut("rated").alias("rated"))
+    wrong = F.array_position("rated", F.lit(False))
+    worst = body.groupBy("path").agg(F.min(F.when(wrong > 0, F.struct("rater", wrong.alias("unit")))).alias("word"), F.min("named").alias("named"), F.min("least").alias("least"), F.max("most").alias("most"))
+    judged = top.join(worst, "path", "left").select(
+        "path",
+        F.coalesce(
+            "broken",
+            F.when(F.col("top").isNull(), "no rows").when(F.col("most").isNull(), "a header but no ratings"),
+            F.when(F.col("word").isNotNull(), F.concat(F.lit("row "), F.col("word.rater"), F.lit(", column "), F.col("word.unit"), F.lit(" is not a number"))),
+            F.when(F.col("least") < F.col("most"), "rows of unequal length"),
+        ).alias("error"),
+        F.when(F.col("headed") & F.col("named"), F.slice("top.cells", 2, F.greatest(F.size("top.cells") - 1, F.lit(0)))).when(F.col("headed"), F.col("top.cells")).alias("names"),
+    )
+    each = body.select("path", "rater", F.posexplode("cells").alias("at", "cell")).join(judged.where("error is null"), "path")
+    value = F.when(~missing(F.col("cell")), number(F.col("cell")))
+    good = each.select("path", "error", "rater", (F.col("at") + 1).cast("long").alias("unit"), F.get("names", F.col("at")).alias("name"), F.nanvl(value, F.lit(None).cast("double")).alias("value"))
+    none = F.lit(None)
+    return good.unionByName(judged.where("error is not null").select("path", "error", none.cast("long").alias("rater"), none.cast("long").alias("unit"), none.cast("string").alias("name"), none.cast("double").alias("value")))
 
 
 def read_ratings(spark: SparkSession, path: str) -> DataFrame:
