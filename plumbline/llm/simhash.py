@@ -41,8 +41,8 @@ SEGMENTS, SEGMENT_BITS, WEAK = 14, 28, 5
 CHECK_RADIUS = 20
 #: Members of a bucket that may all be compared with one another.
 SMALL = 16
-#: Members of a large bucket that all others are held against in each round.
-HUBS = 4
+#: Members of a bucket, chosen by hash, that those of other components are held against.
+HUBS = 16
 #: Byte to eight byte-wide counters, lowest bit first.
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 _ROWS = 255  # what a byte-wide counter can hold
@@ -226,10 +226,11 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, shingle_w
     one row for each of its rows. Other columns are ignored.
 
     No large bucket emits all its pairs. First every member is held against the
-    bucket's least; then, as long as anything merges, against HUBS other members
-    chosen by hash, those that are of a different component. These rounds are
-    aggregations and joins by key, with at most HUBS pairs for each row of a bucket.
-    What is left over in buckets of at most SMALL members is compared throughout.
+    bucket's least; when what is similar has been merged, against HUBS members
+    chosen by a hash of text and bucket, those that are of another component. Both
+    are aggregations and joins by key, with at most HUBS pairs for each row of a
+    bucket. What is left over in buckets of at most SMALL members is compared
+    throughout. A text is in SEGMENTS * (WEAK + 1) buckets, each with its own hubs.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     prints = cut(_wide_prints(docs, shingle_words))
@@ -242,26 +243,19 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, shingle_w
     check = _Verifier(docs, classes, shingle_words, similarity)
     first = check.verified(star)
     merged = components(first)
-    links, seen, turn = first, star, 0
-    crowd = met.where("n > 2").select("key", "fp", "n")
-    while True:
-        turn += 1
-        label = components(links).select(F.col("node").alias("fp"), "component")
-        labelled = cut(crowd.join(label, "fp", "left").select("key", "fp", "n", F.coalesce("component", "fp").alias("label")))
-        at = [F.xxhash64("key", "fp", F.lit(turn * HUBS + k)) for k in range(HUBS)]
-        hubs = F.array(*[F.struct(F.min_by("fp", x).alias("fp"), F.min_by("label", x).alias("label")) for x in at])
-        mixed = labelled.groupBy("key").agg(hubs.alias("hubs"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-        other = labelled.join(mixed, "key").select("fp", F.explode(F.filter("hubs", lambda h: h["label"] != F.col("label"))["fp"]).alias("hub"))
-        tried = _ordered(other.where(_near("fp", "hub")), "fp", "hub")
-        tried = cut(tried.join(seen, ["a", "b"], "left_anti"))
-        found = check.verified(tried)
-        if found.isEmpty():
-            break
-        links, seen = links.union(found), seen.union(tried)
+    label = components(first).select(F.col("node").alias("fp"), "component")
+    labelled = cut(met.where("n > 2").select("key", "fp", "n").join(label, "fp", "left").select("key", "fp", "n", F.coalesce("component", "fp").alias("label")))
+    at = [F.xxhash64("key", "fp", F.lit(k)) for k in range(HUBS)]
+    hubs = F.array_distinct(F.array(*[F.struct(F.min_by("fp", x).alias("fp"), F.min_by("label", x).alias("label")) for x in at]))
+    mixed = labelled.groupBy(F.col("key").alias("_key")).agg(hubs.alias("hubs"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    foreign = F.filter("hubs", lambda h: (h["label"] != F.col("label")) & (F.bit_count(h["fp"].bitwiseXOR(F.col("fp"))) <= CHECK_RADIUS))
+    other = labelled.join(mixed, (F.col("key") == F.col("_key")) & (F.size(foreign) > 0))
+    tried = cut(_ordered(other.select("fp", F.explode(foreign["fp"]).alias("hub")), "fp", "hub").join(star, ["a", "b"], "left_anti"))
+    links = first.union(check.verified(tried))
     few = labelled.where(F.col("n") <= SMALL)
     pairs = few.select("key", F.col("fp").alias("x"), F.col("label").alias("lx")).join(few.select("key", F.col("fp").alias("y"), F.col("label").alias("ly")), "key")
     rest = _ordered(pairs.where((F.col("x") < F.col("y")) & (F.col("lx") != F.col("ly")) & _near("x", "y")), "x", "y")
-    rest = cut(rest.join(seen.union(tried), ["a", "b"], "left_anti"))
+    rest = cut(rest.join(star.union(tried), ["a", "b"], "left_anti"))
     second = check.verified(rest)
     linked = components(links.union(second))
     member = classes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
