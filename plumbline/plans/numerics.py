@@ -10,11 +10,10 @@ from plumbline.operators import resampling as S
 from plumbline.operators import tensors as T
 
 _R = lambda df, *names, to=9: df.withColumns({n: F.round(n, to) for n in names})
-REPLICATES = 40
 
 
 def _ratios(s, d):
-    return S.ratio_ci(B.timings(s, d), replicates=REPLICATES)
+    return S.ratio_ci(B.timings(s, d))
 
 
 def _work(s, d):
@@ -48,7 +47,7 @@ def _outputs(s, d):
 QUERIES = {
     "e15_bootstrap_alpha": lambda s, d: _R(S.bootstrap_alpha(B.ratings(s, d), replicates=20), "low", "high", to=6),
     "e15_bootstrap_alpha_nominal": lambda s, d: _R(S.bootstrap_alpha(B.ratings(s, d), "nominal", replicates=20), "low", "high", to=6),
-    "e20_median_ci": lambda s, d: _R(S.median_ci(B.timings(s, d), REPLICATES), "median", "low", "high"),
+    "e20_median_ci": lambda s, d: _R(S.median_ci(B.timings(s, d)), "median", "low", "high"),
     "e21_ratio_ci": lambda s, d: _R(_ratios(s, d), "ratio", "low", "high"),
     "e22_widen": lambda s, d: _R(S.widen(_ratios(s, d)), "ratio", "low", "high", "raw_low", "raw_high", to=7).drop("dropped"),
     "e23_classify": lambda s, d: _ratios(s, d).select("shape", S.classify(F.col("low"), F.col("high")).alias("class")),
@@ -76,9 +75,19 @@ def _draw(n, *parts):
     return f"CAST(floor({unit_sql(*parts)} * {n}) AS BIGINT) + 1"
 
 
+def _hashed(*tags):
+    return unit_sql(repr("b"), "b", "shape", "side", *tags)
+
+
 _BOOT = f"""n AS (SELECT shape, side, count(*) AS n FROM timings GROUP BY 1, 2),
-draws AS (SELECT t.shape, t.side, b, {_draw('n', repr('b'), 'b', 't.rep', 't.shape', 't.side')} AS rep FROM timings t JOIN n ON t.shape = n.shape AND t.side = n.side, (SELECT unnest(range(0, {REPLICATES})) AS b)),
-med AS (SELECT d.shape, d.side, b, quantile_cont(seconds, 5e-1) AS median FROM draws d JOIN timings t ON d.shape = t.shape AND d.side = t.side AND d.rep = t.rep GROUP BY 1, 2, 3),
+tries AS (SELECT shape, side, n, b, tag, i, CASE tag WHEN 'g' THEN (n + 1) // 2 ELSE n // 2 + 1 END - 1e0 / 3e0 AS d FROM n, (SELECT unnest(range(0, {S.REPLICATES})) AS b), (SELECT unnest(['g', 'h']) AS tag), (SELECT unnest(range(0, {S.TRIES})) AS i)),
+proposed AS (SELECT *, sqrt(-2e0 * ln(1e0 - {_hashed('tag', repr('r'), 'i')})) * cos(2e0 * pi() * {_hashed('tag', repr('p'), 'i')}) AS x, ln(1e0 - {_hashed('tag', repr('u'), 'i')}) AS u FROM tries),
+cubed AS (SELECT *, pow(1e0 + x / sqrt(9e0 * d), 3e0) AS v FROM proposed),
+gammas AS (SELECT shape, side, n, b, tag, coalesce(arg_min(d * v, i) FILTER (v > 0 AND u < x * x / 2e0 + d - d * v + d * ln(CASE WHEN v > 0 THEN v ELSE 1e0 END)), any_value(d)) AS g FROM cubed GROUP BY 1, 2, 3, 4, 5),
+middle AS (SELECT shape, side, n, b, max(g) FILTER (tag = 'g') / (max(g) FILTER (tag = 'g') + max(g) FILTER (tag = 'h')) AS u FROM gammas GROUP BY 1, 2, 3, 4),
+ranks AS (SELECT *, least(n, CAST(floor(n * u) AS BIGINT) + 1) AS r1, CASE WHEN n % 2 = 1 THEN least(n, CAST(floor(n * u) AS BIGINT) + 1) ELSE least(n, CAST(floor(n * (u + (1e0 - u) * (1e0 - pow(1e0 - {_hashed(repr('next'))}, 2e0 / n)))) AS BIGINT) + 1) END AS r2 FROM middle),
+sorted AS (SELECT shape, side, seconds, row_number() OVER (PARTITION BY shape, side ORDER BY seconds) AS r FROM timings),
+med AS (SELECT ranks.shape, ranks.side, b, (x.seconds + y.seconds) / 2e0 AS median FROM ranks JOIN sorted x ON ranks.shape = x.shape AND ranks.side = x.side AND r1 = x.r JOIN sorted y ON ranks.shape = y.shape AND ranks.side = y.side AND r2 = y.r),
 point AS (SELECT shape, side, count(*) AS n, quantile_cont(seconds, 5e-1) AS median FROM timings GROUP BY 1, 2)"""
 _LOW, _HIGH = "25e-3", repr(1 - (1 - 0.95) / 2) + "::DOUBLE"
 _RATIO = f"""{_BOOT}, rep AS (SELECT a.shape, CASE WHEN b.median > 0 THEN a.median / b.median END AS r, b.median <= 0 AS gone FROM med a JOIN med b ON a.shape = b.shape AND a.b = b.b AND a.side = 'baseline' AND b.side = 'candidate'),

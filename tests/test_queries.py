@@ -1,11 +1,14 @@
 """Every measurement query against its SQL, and what SQL can't say against numbers worked out by hand."""
 
+import itertools
 import math
+from collections import Counter
+from statistics import median
 
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import calibration, reliability, rubrics
+from plumbline.operators import calibration, reliability, resampling, rubrics
 from plumbline.plans import registry
 
 
@@ -70,6 +73,20 @@ def test_probe_walk(spark):
     assert [None if g == "null" else g for g in got] == [w for _, w in ways]
 
 
+@pytest.mark.parametrize("values", [[1.0, 2.0, 4.0, 8.0, 16.0], [1.0, 2.0, 4.0, 8.0], [-1.0, 0.0, 0.0, 3.0, 3.0], [7.0]])
+def test_bootstrap_medians_against_all_resamples(spark, values):
+    rows = spark.createDataFrame([("s", "x", v) for v in [*values, None, float("nan"), float("inf")]], "shape string, side string, seconds double")
+    draws = 8000
+    got = Counter(r["median"] for r in resampling.bootstrap_medians(rows, draws).collect())
+    all_of_them = Counter(median(c) for c in itertools.product(values, repeat=len(values)))
+    assert sum(got.values()) == draws and set(got) <= set(all_of_them)
+    for m, k in all_of_them.items():
+        assert got[m] / draws == pytest.approx(k / len(values) ** len(values), abs=0.02)
+    one = resampling.median_ci(rows, 100).first()
+    assert one.n == len(values) and one["median"] == median(values)
+    assert resampling.median_ci(rows.limit(0), 100).count() == 0
+
+
 # The published reliability data: three observers, 15 units, blanks where nobody rated.
 _RATED = {"A": [None] * 5 + [3, 4, 1, 2, 1, 1, 3, 3, None, 3], "B": [1, None, 2, 1, 3, 3, 4, 3] + [None] * 7, "C": [None, None, 2, 1, 3, 4, 4, None, 2, 1, 1, 3, 3, None, 4]}
 
