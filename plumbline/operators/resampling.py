@@ -1,6 +1,6 @@
 """Bootstrap statistics of repeated timings, and reliability under resampling.
 
-Indices are hashed from (seed, replicate, position, group), so a draw needs no
+Random numbers are hashed from (seed, replicate, group), so a draw needs no
 state, is the same wherever a task runs, and other engines can repeat it.
 """
 
@@ -11,13 +11,17 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.hashing import draw, unit
+from plumbline.functions.hashing import unit
 from plumbline.operators.reliability import METRICS, unit_counts
 
 MIN_SLOWDOWN = 1.15
 UNLOCKED_PERFORMANCE, UNLOCKED_WITNESS = 2.0, 1.5
 #: Draws of a bootstrap of timings.
 REPLICATES = 2000
+#: Draws of a bootstrap of alpha.
+ALPHA_REPLICATES = 400
+#: Cumulative probabilities of the Poisson distribution of mean 1.
+POISSON_ONE = [math.exp(-1) * math.fsum(1 / math.factorial(j) for j in range(k + 1)) for k in range(16)]
 #: Proposals for a gamma number; one of twenty is rejected at worst.
 TRIES = 6
 #: Bins to a doubling of a time.
@@ -158,30 +162,38 @@ def roofline(medians: DataFrame, work: DataFrame) -> DataFrame:
     return joined.select("shape", achieved.alias("achieved"), F.try_divide(achieved, F.col("bandwidth").cast("double")).alias("fraction"), F.when(F.col("bandwidth").isNull(), "no bandwidth known").alias("reason"))
 
 
-def bootstrap_alpha(ratings: DataFrame, metric: str = "interval", replicates: int = 100, level: float = 0.95) -> DataFrame:
+def _poisson_one(u: Column) -> Column:
+    """The Poisson number of mean 1 at u in [0, 1): how many of POISSON_ONE it reaches."""
+    return sum((F.when(u >= c, 1).otherwise(0) for c in POISSON_ONE), start=F.lit(0))
+
+
+def bootstrap_alpha(ratings: DataFrame, metric: str = "interval", replicates: int = ALPHA_REPLICATES, level: float = 0.95) -> DataFrame:
     """(criterion, low, high, n_defined, n_undefined): alpha's interval by resampling units (nominal or interval metric).
 
-    A unit's share in a replicate is how often it was drawn. Sums over values
-    give observed and expected disagreement, so a replicate is one aggregation;
-    draws without variation are dropped and counted.
+    A unit's share in a replicate is a Poisson number of mean 1 hashed from the
+    unit, so units need neither numbers nor a join, and sums are made before
+    anything is shuffled. Sums over values give observed and expected
+    disagreement; draws without variation are dropped and counted.
     """
     if metric not in METRICS or metric not in ("nominal", "interval"):
         raise ValueError("the bootstrap is for the nominal and the interval metric")
     counts = unit_counts(ratings)
-    order = Window.partitionBy("criterion").orderBy("unit")
-    units = counts.select("criterion", "unit").distinct().withColumn("i", F.row_number().over(order)).withColumn("n", F.count("*").over(Window.partitionBy("criterion")))
-    drawn = units.withColumn("replicate", _replicates(replicates)).select("criterion", "replicate", draw(F.col("n"), F.lit("a"), F.col("replicate"), F.col("i"), F.col("criterion")).alias("i"))
-    times = drawn.groupBy("criterion", "replicate", "i").agg(F.count("*").alias("w")).join(units.select("criterion", "unit", F.col("i").cast("long").alias("i")), ["criterion", "i"])
     m = F.col("m").cast("double")
+
+    def weighted(units: DataFrame) -> DataFrame:
+        tasks = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        each = units.repartition(tasks, "criterion", "unit").withColumn("replicate", _replicates(replicates))
+        return each.withColumn("u", unit(F.lit("a"), F.col("replicate"), F.col("unit"), F.col("criterion"))).withColumn("w", _poisson_one(F.col("u")))
+
     if metric == "interval":
         own = counts.groupBy("criterion", "unit", "m").agg(F.sum(F.col("k") * F.col("value")).alias("s1"), F.sum(F.col("k") * F.col("value") * F.col("value")).alias("s2"))
         own = own.select("criterion", "unit", "m", "s1", "s2", (2 * (m * F.col("s2") - F.col("s1") * F.col("s1")) / (m - 1)).alias("o"))
-        sums = times.join(own, ["criterion", "unit"]).groupBy("criterion", "replicate").agg(*[F.sum(F.col("w") * F.col(c)).cast("double").alias(c) for c in ("m", "s1", "s2", "o")])
+        sums = weighted(own).groupBy("criterion", "replicate").agg(*[F.sum(F.col("w") * F.col(c)).cast("double").alias(c) for c in ("m", "s1", "s2", "o")])
         e = 2 * (F.col("m") * F.col("s2") - F.col("s1") * F.col("s1"))
     else:
         own = counts.groupBy("criterion", "unit", "m").agg(F.sum(F.col("k") * F.col("k")).alias("kk")).select("criterion", "unit", "m", ((m * m - F.col("kk")) / (m - 1)).alias("o"))
-        base = times.join(own, ["criterion", "unit"]).groupBy("criterion", "replicate").agg(*[F.sum(F.col("w") * F.col(c)).cast("double").alias(c) for c in ("m", "o")])
-        by_value = times.join(counts.select("criterion", "unit", "value", "k"), ["criterion", "unit"]).groupBy("criterion", "replicate", "value").agg(F.sum(F.col("w") * F.col("k")).alias("k"))
+        base = weighted(own).groupBy("criterion", "replicate").agg(*[F.sum(F.col("w") * F.col(c)).cast("double").alias(c) for c in ("m", "o")])
+        by_value = weighted(counts.select("criterion", "unit", "value", "k")).groupBy("criterion", "replicate", "value").agg(F.sum(F.col("w") * F.col("k")).alias("k"))
         sums = base.join(by_value.groupBy("criterion", "replicate").agg(F.sum(F.col("k") * F.col("k")).cast("double").alias("sq")), ["criterion", "replicate"])
         e = F.col("m") * F.col("m") - F.col("sq")
     value = F.when(e > 1e-9, 1 - F.col("o") / F.col("m") / (e / (F.col("m") * (F.col("m") - 1))))

@@ -45,8 +45,8 @@ def _outputs(s, d):
 
 
 QUERIES = {
-    "e15_bootstrap_alpha": lambda s, d: _R(S.bootstrap_alpha(B.ratings(s, d), replicates=20), "low", "high", to=6),
-    "e15_bootstrap_alpha_nominal": lambda s, d: _R(S.bootstrap_alpha(B.ratings(s, d), "nominal", replicates=20), "low", "high", to=6),
+    "e15_bootstrap_alpha": lambda s, d: _R(S.bootstrap_alpha(B.ratings(s, d)), "low", "high", to=6),
+    "e15_bootstrap_alpha_nominal": lambda s, d: _R(S.bootstrap_alpha(B.ratings(s, d), "nominal"), "low", "high", to=6),
     "e20_median_ci": lambda s, d: _R(S.median_ci(B.timings(s, d)), "median", "low", "high"),
     "e21_ratio_ci": lambda s, d: _R(_ratios(s, d), "ratio", "low", "high"),
     "e22_widen": lambda s, d: _R(S.widen(_ratios(s, d)), "ratio", "low", "high", "raw_low", "raw_high", to=7).drop("dropped"),
@@ -71,10 +71,6 @@ QUERIES = {
 }
 
 
-def _draw(n, *parts):
-    return f"CAST(floor({unit_sql(*parts)} * {n}) AS BIGINT) + 1"
-
-
 def _hashed(*tags):
     return unit_sql(repr("b"), "b", "shape", "side", *tags)
 
@@ -107,17 +103,17 @@ def _bad(rel, absolute):
 
 
 _UNITS = f"""cells AS (SELECT criterion, unit, value, count(*) AS k, sum(count(*)) OVER (PARTITION BY criterion, unit) AS m FROM ratings WHERE value IS NOT NULL GROUP BY criterion, unit, value QUALIFY sum(count(*)) OVER (PARTITION BY criterion, unit) >= 2),
-u AS (SELECT criterion, unit, row_number() OVER (PARTITION BY criterion ORDER BY unit) AS i, count(*) OVER (PARTITION BY criterion) AS n FROM (SELECT DISTINCT criterion, unit FROM cells)),
-w AS (SELECT criterion, b, i, count(*) AS w FROM (SELECT criterion, b, {_draw('n', repr('a'), 'b', 'i', 'criterion')} AS i FROM u, (SELECT unnest(range(0, 20)) AS b)) GROUP BY ALL),
-wc AS (SELECT w.criterion, w.b, u.unit, cells.value, cells.k, cells.m, w.w FROM w JOIN u ON w.criterion = u.criterion AND w.i = u.i JOIN cells ON cells.criterion = u.criterion AND cells.unit = u.unit),
-mg AS (SELECT criterion, b, value, CAST(sum(w * k) AS DOUBLE) AS n FROM wc GROUP BY ALL)"""
+drawn AS (SELECT criterion, unit, b, {unit_sql(repr('a'), 'b', 'unit', 'criterion')} AS u FROM (SELECT DISTINCT criterion, unit FROM cells), (SELECT unnest(range(0, {S.ALPHA_REPLICATES})) AS b)),
+w AS (SELECT criterion, unit, b, {' + '.join(f'CASE WHEN u >= {c!r}e0 THEN 1 ELSE 0 END' for c in S.POISSON_ONE)} AS w FROM drawn),
+mg AS (SELECT w.criterion, b, value, CAST(sum(w * k) AS DOUBLE) AS n FROM w JOIN cells ON w.criterion = cells.criterion AND w.unit = cells.unit GROUP BY ALL)"""
 
 
 def _alpha_boot(d2):
     return B.sql("ratings", f"""WITH {_UNITS},
  e AS (SELECT x.criterion, x.b, sum(x.n * y.n * {d2}) AS e FROM mg x JOIN mg y ON x.criterion = y.criterion AND x.b = y.b GROUP BY 1, 2),
  t AS (SELECT criterion, b, sum(n) AS n FROM mg GROUP BY 1, 2),
- o AS (SELECT x.criterion, x.b, sum(x.w * x.k * y.k * {d2} / (x.m - 1)) AS o FROM wc x JOIN wc y ON x.criterion = y.criterion AND x.b = y.b AND x.unit = y.unit GROUP BY 1, 2),
+ own AS (SELECT x.criterion, x.unit, sum(x.k * y.k * {d2} / (x.m - 1)) AS o FROM cells x JOIN cells y ON x.criterion = y.criterion AND x.unit = y.unit GROUP BY 1, 2),
+ o AS (SELECT w.criterion, w.b, sum(w * o) AS o FROM w JOIN own ON w.criterion = own.criterion AND w.unit = own.unit GROUP BY 1, 2),
  a AS (SELECT e.criterion, CASE WHEN e > 1e-9 THEN 1 - o / n / (e / (n * (n - 1))) END AS alpha FROM e JOIN t ON e.criterion = t.criterion AND e.b = t.b JOIN o ON e.criterion = o.criterion AND e.b = o.b)
  SELECT criterion, round(quantile_cont(alpha, (1 - 95e-2) / 2), 6) AS low, round(quantile_cont(alpha, 1 - (1 - 95e-2) / 2), 6) AS high, count(alpha) AS n_defined, count(*) FILTER (alpha IS NULL) AS n_undefined FROM a GROUP BY 1""")
 
