@@ -227,9 +227,10 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, shingle_w
 
     No large bucket emits all its pairs. First every member is held against the
     bucket's least; when what is similar has been merged, against HUBS members
-    chosen by a hash of text and bucket, those that are of another component. Both
-    are aggregations and joins by key, with at most HUBS pairs for each row of a
-    bucket. What is left over in buckets of at most SMALL members is compared
+    chosen by a hash of text and bucket, those that are of a larger component (of
+    equal ones, of that with the greater label). Both are aggregations and joins by
+    key, with at most HUBS pairs for each row of a bucket, and none for the bulk of
+    a group that is one component already. What is left over in buckets of at most SMALL members is compared
     throughout. A text is in SEGMENTS * (WEAK + 1) buckets, each with its own hubs.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -242,13 +243,17 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, shingle_w
     star = cut(_ordered(met.where((F.col("fp") != F.col("first")) & _near("fp", "first")), "fp", "first"))
     check = _Verifier(docs, classes, shingle_words, similarity)
     first = check.verified(star)
-    merged = components(first)
-    label = components(first).select(F.col("node").alias("fp"), "component")
-    labelled = cut(met.where("n > 2").select("key", "fp", "n").join(label, "fp", "left").select("key", "fp", "n", F.coalesce("component", "fp").alias("label")))
-    at = [F.xxhash64("key", "fp", F.lit(k)) for k in range(HUBS)]
-    hubs = F.array_distinct(F.array(*[F.struct(F.min_by("fp", x).alias("fp"), F.min_by("label", x).alias("label")) for x in at]))
+    merged = cut(components(first))
+    size = merged.groupBy("component").agg(F.count("*").alias("size"))
+    label = merged.join(size, "component").select(F.col("node").alias("fp"), "component", "size")
+    crowd = met.where("n > 2").select("key", "fp", "n").join(label, "fp", "left")
+    labelled = cut(crowd.select("key", "fp", "n", F.coalesce("component", "fp").alias("label"), F.coalesce("size", F.lit(1).cast("long")).alias("size")))
+    member = F.struct("fp", "size", "label")
+    hubs = F.array_distinct(F.array(*[F.min_by(member, F.xxhash64("key", "fp", F.lit(k))) for k in range(HUBS)]))
     mixed = labelled.groupBy(F.col("key").alias("_key")).agg(hubs.alias("hubs"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    foreign = F.filter("hubs", lambda h: (h["label"] != F.col("label")) & (F.bit_count(h["fp"].bitwiseXOR(F.col("fp"))) <= CHECK_RADIUS))
+    # of two components the smaller one asks
+    larger = lambda h: (h["size"] > F.col("size")) | ((h["size"] == F.col("size")) & (h["label"] > F.col("label")))
+    foreign = F.filter("hubs", lambda h: larger(h) & (F.bit_count(h["fp"].bitwiseXOR(F.col("fp"))) <= CHECK_RADIUS))
     other = labelled.join(mixed, (F.col("key") == F.col("_key")) & (F.size(foreign) > 0))
     tried = cut(_ordered(other.select("fp", F.explode(foreign["fp"]).alias("hub")), "fp", "hub").join(star, ["a", "b"], "left_anti"))
     links = first.union(check.verified(tried))
