@@ -39,6 +39,8 @@ SIMILAR_WORDS, SIMILARITY = 5, 0.8
 SEGMENTS, SEGMENT_BITS, WEAK = 14, 28, 5
 #: Of 64 bits, how many may differ before the exact check: at a similarity of 0.8 ten do, with a deviation of three.
 CHECK_RADIUS = 20
+#: Shingle sets of at most so many bytes in all are sent to every executor; larger ones meet their pairs by a shuffle.
+SENT_BYTES = 32 << 20
 #: Members of a bucket that may all be compared with one another.
 SMALL = 16
 #: Members of a bucket, chosen by hash, that those of other components are held against.
@@ -199,8 +201,10 @@ class _Verifier:
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Those of the fingerprint pairs (a, b) that are similar enough."""
         self._look_up(pairs)
-        right = pairs.join(self.sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
-        both = right.join(self.sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a")
+        bytes_ = self.sets.agg(F.sum(4 * F.size("shingles") + 32)).first()[0] or 0
+        side = F.broadcast if bytes_ <= SENT_BYTES else (lambda df: df)
+        right = pairs.join(side(self.sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y"))), "b")
+        both = right.join(side(self.sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x"))), "a")
         shared = F.size(F.array_intersect("x", "y"))
         return cut(both.where(shared >= F.lit(self.similarity) * (F.size("x") + F.size("y") - shared)).select("a", "b"))
 
