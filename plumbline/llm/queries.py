@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, html_text, language_id, lattice_lm, licenses, line_dedup, mixing, multiset_hash, simhash, token_counts
+from plumbline.llm import decontaminate, html_text, language_id, lattice_lm, licenses, line_dedup, mixing, multiset_hash, simhash, token_alignment, token_counts
 from plumbline.llm.shared import crc_fold, documents
 
 
@@ -56,6 +56,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"), F.array_join(F.transform("spans", lambda x: F.concat(x["lang"], F.lit(":"), x["start"], F.lit("-"), x["end"])), ",").alias("spans"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(documents(spark, sf_dir)).drop("groups")
+
+
 QUERIES = {
     "op1_licenses": op1_licenses,
     "op2_simhash": op2_simhash,
@@ -67,6 +71,7 @@ QUERIES = {
     "op8_lattice_lm": op8_lattice_lm,
     "op9_token_counts": op9_token_counts,
     "op10_language_id": op10_language_id,
+    "op12_token_alignment": op12_token_alignment,
 }
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
