@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, html_text, language_id, lattice_lm, licenses, line_dedup, mixing, multiset_hash, simhash, token_alignment, token_counts
+from plumbline.llm import decontaminate, html_text, language_id, lattice_lm, licenses, line_dedup, mixing, multiset_hash, simhash, token_alignment, token_counts, vector_codes
 from plumbline.llm.shared import crc_fold, documents
 
 
@@ -56,6 +56,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"), F.array_join(F.transform("spans", lambda x: F.concat(x["lang"], F.lit(":"), x["start"], F.lit("-"), x["end"])), ",").alias("spans"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded, books = vector_codes.encode(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    code = F.lower(F.array_join(F.transform("codes", lambda k: F.lpad(F.hex(k), 2, "0")), ""))
+    return vector_codes.with_label_error(encoded).select("vec_id", code.alias("code"), "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.align(documents(spark, sf_dir)).drop("groups")
 
@@ -71,14 +77,41 @@ QUERIES = {
     "op8_lattice_lm": op8_lattice_lm,
     "op9_token_counts": op9_token_counts,
     "op10_language_id": op10_language_id,
+    "op11_vector_codes": op11_vector_codes,
     "op12_token_alignment": op12_token_alignment,
 }
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+def _codes_sql() -> str:
+    """op11 in SQL: integers as doubles, which hold them exactly; one pair of tables for each round."""
+    rounds = []
+    for k in range(5):
+        rounds.append(f"""
+a{k} AS MATERIALIZED (SELECT vec_id, label, part, any_value(x) AS x, min(d) AS d, arg_min(entry, (d, entry)) AS entry
+       FROM (SELECT vec_id, label, p.part, x, entry, list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c) AS d FROM p JOIN c{k} c ON p.part = c.part)
+       GROUP BY vec_id, label, part)""")
+        if k < 4:
+            rounds.append(f"""
+c{k + 1} AS MATERIALIZED (SELECT c.part, c.entry, coalesce(n.c, c.c) AS c FROM c{k} c LEFT JOIN (
+         SELECT part, entry, list(floor(s / n) ORDER BY pos) AS c FROM (
+           SELECT part, entry, pos, sum(v) AS s, count(*) AS n FROM (SELECT part, entry, unnest(x) AS v, generate_subscripts(x, 1) AS pos FROM a{k}) GROUP BY ALL)
+         GROUP BY part, entry) n ON n.part = c.part AND n.entry = c.entry)""")
+    return f"""
+WITH v AS (SELECT vec_id, label, [floor(CAST(y AS DOUBLE) * 1024) for y in embedding] AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len([1 for y in embedding if y IS NULL OR NOT isfinite(y)]) = 0),
+p AS MATERIALIZED (SELECT vec_id, label, part, e[part * len(e) // 4 + 1 : (part + 1) * len(e) // 4] AS x FROM v, (SELECT unnest(range(4)) AS part)),
+c0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x AS c FROM p WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT 256)),{",".join(rounds)},
+r AS (SELECT vec_id, label, string_agg(lower(printf('%02x', entry)), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a4 GROUP BY vec_id, label),
+b AS (SELECT sha256(string_agg(array_to_string([CAST(y AS BIGINT) for y in c], ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c4)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM r, b"""
+
+
 _HEX = "CAST('0x' || substr(md5({0}), 1, {1}) AS BIGINT)"
 
 ORACLE_SQL = {
+    "op11_vector_codes": _codes_sql(),
     "op3_line_dedup": """
 WITH l AS (SELECT doc_id, coalesce(source, '') AS site, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
            FROM documents),
