@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, html_text, language_id, lattice_lm, licenses, line_dedup, mixing, multiset_hash, simhash, token_alignment, token_counts, vector_codes
+from plumbline.llm import decontaminate, html_text, language_id, lattice_lm, licenses, line_dedup, mixing, multiset_hash, simhash, token_alignment, token_counts, vector_codes, vector_dedup
 from plumbline.llm.shared import crc_fold, documents
 
 
@@ -66,6 +66,10 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.align(documents(spark, sf_dir)).drop("groups")
 
 
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES = {
     "op1_licenses": op1_licenses,
     "op2_simhash": op2_simhash,
@@ -79,6 +83,7 @@ QUERIES = {
     "op10_language_id": op10_language_id,
     "op11_vector_codes": op11_vector_codes,
     "op12_token_alignment": op12_token_alignment,
+    "op13_embedding_dedup": op13_embedding_dedup,
 }
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
