@@ -63,7 +63,7 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_alignment.align(documents(spark, sf_dir)).drop("groups")
+    return token_alignment.align(documents(spark, sf_dir))
 
 
 def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
