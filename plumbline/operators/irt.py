@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.hashing import unit
+from plumbline.operators import scans
 from plumbline.operators.training import sigmoid, softplus, standardize
 
 # Standard deviations of the priors, and bounds of the parameters.
@@ -94,10 +95,8 @@ def simulate(items: DataFrame, people: DataFrame, trials: int, seed: str = "irt"
 
 def item_stats(items: DataFrame) -> DataFrame:
     """items with discrimination a, information peak and place by falling a, then item."""
-    from pyspark.sql import Window
-
     out = items.withColumn("a", F.exp("log_a"))
-    return out.withColumns({"peak": information_peak(F.col("a")), "place": F.row_number().over(Window.orderBy(F.desc("a"), "item"))})
+    return scans.numbered(out.withColumn("peak", information_peak(F.col("a"))), [F.desc("a"), "item"], "place")
 
 
 def response_curve(items: DataFrame, points: int = 81, low: float = -4.0, high: float = 4.0) -> DataFrame:

@@ -8,14 +8,18 @@ so the work is linear in the ratings, not in pairs of raters.
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions import sequences
+from plumbline.operators import scans
+
 GATE_ALPHA = 0.67
 METRICS = ("nominal", "ordinal", "interval", "ratio")
-BETTING_GRID = 401
+#: Cells of running counts that a task works on at a time.
+ALPHA_CELLS = 1 << 21
 
 
 def usable(ratings: DataFrame) -> DataFrame:
@@ -119,79 +123,161 @@ def worst_units(ratings: DataFrame, metric: str = "ordinal", limit: int = 10) ->
     return disagreement(ratings, metric).where("x > 0").withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= limit)
 
 
-def running_alpha(ratings: DataFrame, metric: str = "nominal") -> DataFrame:
-    """(criterion, unit, ord, alpha) after each unit, in order of unit: prefix sums, nominal or interval metric.
-
-    For these two metrics the sums over pairs split into running totals, so one
-    pass replaces a new computation for every prefix.
+class _RunningAlpha:
+    """Alpha over the units so far: ratings with each value, and coincidences of each pair of different values."""
+
+    levels = 1
+
+    def __init__(self, metric: str):
+        self.metric = metric
+
+    def zero(self) -> dict:
+        return {"values": np.zeros(0), "n": np.zeros(0), "pairs": np.zeros((0, 2)), "o": np.zeros(0), "units": 0}
+
+    def _met(self, state: dict, rows: pa.RecordBatch) -> tuple:
+        """(values, unit and value index and count of all cells; pairs, unit and pair index and coincidences) of rows, over the state's values and pairs too."""
+        cells = rows.column("cells")
+        size = np.diff(cells.offsets.to_numpy())
+        value, k = (cells.flatten().field(i).to_numpy().astype(float) for i in (0, 1))
+        unit = np.repeat(np.arange(len(size)), size)
+        values, place = np.unique(np.concatenate([state["values"], value]), return_inverse=True)
+        at = place[len(state["values"]) :]
+        # all pairs of different values within a unit
+        first = np.cumsum(size) - size
+        left = np.repeat(np.arange(len(value)), size[unit])
+        right = np.arange(len(left)) - np.repeat(np.cumsum(size[unit]) - size[unit], size[unit]) + first[unit[left]]
+        up = value[left] < value[right]
+        left, right = left[up], right[up]
+        m = np.bincount(unit, k, len(size))
+        o = 2 * k[left] * k[right] / (m[unit[left]] - 1)
+        pairs, place = np.unique(np.concatenate([state["pairs"], np.stack([value[left], value[right]], axis=1)]), axis=0, return_inverse=True)
+        return values, unit, at, k, pairs, unit[left], place.reshape(-1)[len(state["pairs"]) :], o
+
+    @staticmethod
+    def _moved(state: dict, values: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The state's counts over values and pairs, which hold its own."""
+        n, o = np.zeros(len(values)), np.zeros(len(pairs))
+        n[np.searchsorted(values, state["values"])] = state["n"]
+        own = {tuple(p): i for i, p in enumerate(pairs.tolist())}
+        o[[own[tuple(p)] for p in state["pairs"].tolist()]] = state["o"]
+        return n, o
+
+    def advance(self, level: int, state: dict, rows: pa.RecordBatch) -> dict:
+        values, _, at, k, pairs, _, place, o = self._met(state, rows)
+        n, so_far = self._moved(state, values, pairs)
+        return {"values": values, "n": n + np.bincount(at, k, len(values)), "pairs": pairs, "o": so_far + np.bincount(place, o, len(pairs)), "units": state["units"] + rows.num_rows}
+
+    def merge(self, level: int, carry: dict, own: dict) -> dict:
+        values, pairs = np.union1d(carry["values"], own["values"]), np.unique(np.concatenate([carry["pairs"], own["pairs"]]), axis=0)
+        (n, o), (more_n, more_o) = self._moved(carry, values, pairs), self._moved(own, values, pairs)
+        return {"values": values, "n": n + more_n, "pairs": pairs, "o": o + more_o, "units": carry["units"] + own["units"]}
+
+    def emit(self, state: dict, rows: pa.RecordBatch) -> tuple[dict, list]:
+        out, at, start = [], 0, state["units"]
+        while at < rows.num_rows:
+            width = len(state["values"]) + len(state["pairs"]) + 64
+            part = rows.slice(at, max(1, ALPHA_CELLS // width))
+            state, alpha = self._block(state, part)
+            out.append(alpha)
+            at += part.num_rows
+        return state, [pa.array(start + np.arange(1, rows.num_rows + 1)), pa.array(np.concatenate(out), from_pandas=True)]
+
+    def _block(self, state: dict, rows: pa.RecordBatch) -> tuple[dict, np.ndarray]:
+        values, unit, at, k, pairs, pair_unit, place, o = self._met(state, rows)
+        n, so_far = self._moved(state, values, pairs)
+        seen, met = np.zeros((rows.num_rows, len(values))), np.zeros((rows.num_rows, len(pairs)))
+        np.add.at(seen, (unit, at), k)
+        np.add.at(met, (pair_unit, place), o)
+        seen, met = np.cumsum(seen, axis=0) + n, np.cumsum(met, axis=0) + so_far
+        total = seen.sum(axis=1)
+        c, d = (np.searchsorted(values, pairs[:, i]) for i in (0, 1))
+        if self.metric == "ordinal":  # squared gaps of mid-ranks; their sum over all pairs has a closed form
+            middle = np.cumsum(seen, axis=1) - seen / 2
+            gap = (middle[:, d] - middle[:, c]) ** 2
+            expected = total * (total**3 - (seen**3).sum(axis=1)) / 6
+        elif self.metric == "nominal":
+            gap, expected = 1.0, total**2 - (seen**2).sum(axis=1)
+        elif self.metric == "interval":
+            gap, expected = (values[d] - values[c]) ** 2, 2 * (total * (seen @ values**2) - (seen @ values) ** 2)
+        else:
+            both = values[:, None] + values
+            ratio = np.divide(values[:, None] - values, both, out=np.zeros_like(both), where=both > 0) ** 2
+            gap, expected = ratio[c, d], (seen @ ratio * seen).sum(axis=1)
+        observed = (met * gap).sum(axis=1)
+        fine = expected > 1e-9 * total**2
+        alpha = np.full(rows.num_rows, np.nan)
+        alpha[fine] = 1 - observed[fine] / total[fine] / (expected[fine] / (total[fine] * (total[fine] - 1)))
+        return {"values": values, "n": seen[-1], "pairs": pairs, "o": met[-1], "units": state["units"] + rows.num_rows}, alpha
+
+
+def running_alpha(ratings: DataFrame, metric: str = "ordinal") -> DataFrame:
+    """(criterion, unit, ord, alpha): alpha of all units so far, after each unit in their order; null without variation.
+
+    One scan: counts of values and coincidences of value pairs run on, and alpha is worked out from them,
+    so a unit costs as much as there are different values and pairs of them, not what came before it.
     """
+    if metric not in METRICS:
+        raise ValueError(f"metric must be one of {METRICS}, got {metric!r}")
     counts = unit_counts(ratings)
-    per_unit = counts.groupBy("criterion", "unit", "m").agg(F.sum(F.col("k") * F.col("k")).alias("kk"), F.sum(F.col("k") * F.col("value")).alias("s1"), F.sum(F.col("k") * F.col("value") * F.col("value")).alias("s2"))
-    w = Window.partitionBy("criterion").orderBy("unit").rowsBetween(Window.unboundedPreceding, 0)
-    m = F.col("m").cast("double")
-    if metric == "nominal":
-        by_value = Window.partitionBy("criterion", "value").orderBy("unit").rowsBetween(Window.unboundedPreceding, 0)
-        grown = counts.withColumn("after", F.sum("k").over(by_value)).withColumn("gain", F.pow("after", F.lit(2)) - F.pow(F.col("after") - F.col("k"), F.lit(2)))
-        gain = grown.groupBy("criterion", "unit").agg(F.sum("gain").alias("gain"))
-        run = per_unit.join(gain, ["criterion", "unit"]).select("criterion", "unit", F.row_number().over(Window.partitionBy("criterion").orderBy("unit")).alias("ord"), F.sum("m").over(w).cast("double").alias("n"), F.sum((m * m - F.col("kk")) / (m - 1)).over(w).alias("o"), F.sum("gain").over(w).alias("sq"))
-        expected = F.col("n") * F.col("n") - F.col("sq")
-    elif metric == "interval":
-        run = per_unit.select("criterion", "unit", F.row_number().over(Window.partitionBy("criterion").orderBy("unit")).alias("ord"), F.sum("m").over(w).cast("double").alias("n"), F.sum(2 * (m * F.col("s2") - F.col("s1") * F.col("s1")) / (m - 1)).over(w).alias("o"), F.sum("s1").over(w).alias("t1"), F.sum("s2").over(w).alias("t2"))
-        expected = 2 * (F.col("n") * F.col("t2") - F.col("t1") * F.col("t1"))
-    else:
-        raise ValueError("running alpha is for the nominal and the interval metric")
-    d_e = expected / (F.col("n") * (F.col("n") - 1))
-    return run.select("criterion", "unit", "ord", F.when(expected > 1e-9, 1 - F.col("o") / F.col("n") / d_e).alias("alpha"))
+    if metric == "ratio":
+        bad = F.raise_error(F.lit("the ratio metric is for values of at least 0"))
+        counts = counts.withColumn("value", F.when(F.col("value") < 0, bad).otherwise(F.col("value")))
+    cell = F.struct(F.col("value").cast("double").alias("value"), F.col("k").alias("k"))
+    units = counts.groupBy("criterion", "unit").agg(F.collect_list(cell).alias("cells"))  # a unit's different values
+    return scans.scan(units, ["criterion"], ["unit"], _RunningAlpha(metric), "ord long, alpha double", ["criterion", "unit"])
 
 
-def hoeffding(stream: DataFrame, level: float = 0.05) -> DataFrame:
-    """stream(criterion, t, x in [0, 1]) with the anytime-valid interval (lo, hi) for the running mean."""
-    w = Window.partitionBy("criterion").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    n = F.count("*").over(w).cast("double")
-    eps = F.sqrt(F.log(2 * n * (n + 1) / level) / (2 * n))
-    mean = F.avg("x").over(w)
-    return stream.select("criterion", "t", "x", F.greatest(F.lit(0.0), mean - eps).alias("lo"), F.least(F.lit(1.0), mean + eps).alias("hi"))
+class _Sequence:
+    """A confidence sequence as a scan of x."""
+
+    def __init__(self, sequence: sequences.Sequence):
+        self.sequence, self.levels = sequence, len(sequence.levels)
+
+    def zero(self) -> sequences.State:
+        return self.sequence.zero()
 
+    def advance(self, level: int, state: sequences.State, rows: pa.RecordBatch) -> sequences.State:
+        self.sequence.levels[level][1](state, self._x(rows))
+        return state
 
-def plug_ins(stream: DataFrame) -> DataFrame:
-    """stream with n, mu and var: the mean and variance that were known before each observation (prior 1/2 and 1/4, weight 1)."""
-    order = Window.partitionBy("criterion").orderBy("t")
-    before, upto = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, 0)
-    one = stream.withColumn("n", F.count("*").over(upto).cast("double")).withColumn("mu", (0.5 + F.coalesce(F.sum("x").over(before), F.lit(0.0))) / F.col("n"))
-    return one.withColumn("var", (0.25 + F.coalesce(F.sum(F.pow(F.col("x") - F.col("mu"), F.lit(2))).over(before), F.lit(0.0))) / F.col("n"))
+    def merge(self, level: int, carry: sequences.State, own: sequences.State) -> sequences.State:
+        return self.sequence.merge(level, carry, own)
+
+    def emit(self, state: sequences.State, rows: pa.RecordBatch) -> tuple[sequences.State, list]:
+        start = int(state["n"])
+        lo, hi, failed = self.sequence.step(state, self._x(rows))
+        return state, [start + np.arange(1, rows.num_rows + 1), lo, hi, failed]
+
+    @staticmethod
+    def _x(rows: pa.RecordBatch) -> np.ndarray:
+        return rows.column("x").to_numpy(zero_copy_only=False).astype(float)
+
+
+def follow(stream: DataFrame, kind: str = "eb", order: str = "t", **options) -> DataFrame:
+    """stream(criterion, order, x in [0, 1]) with n, the rows so far, and the anytime-valid interval (lo, hi, failed) for the mean of x."""
+    x = F.col("x").cast("double")
+    bad = F.raise_error(F.lit("observations lie in [0, 1]"))
+    rows = stream.withColumn("x", F.when(x.between(0, 1), x).otherwise(bad))
+    return scans.scan(rows, ["criterion"], [order], _Sequence(sequences.SEQUENCES[kind](**options)), "n long, lo double, hi double, failed boolean")
+
+
+def hoeffding(stream: DataFrame, level: float = 0.05) -> DataFrame:
+    """stream(criterion, t, x in [0, 1]) with the anytime-valid interval (lo, hi) for the running mean."""
+    return follow(stream.select("criterion", "t", "x"), "hoeffding", level=level).drop("n", "failed")
 
 
 def empirical_bernstein(stream: DataFrame, level: float = 0.05, cap: float = 0.5) -> DataFrame:
-    """stream with the predictable plug-in empirical-Bernstein interval (lo, hi), as stacked windows."""
-    upto = Window.partitionBy("criterion").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    lam = F.least(F.sqrt(2 * math.log(2 / level) / (F.col("var") * F.col("n") * F.log(F.col("n") + 1))), F.lit(cap))
-    bet = plug_ins(stream).withColumn("lam", lam)
-    v = F.pow(F.col("x") - F.col("mu"), F.lit(2)) * (-F.log1p(-F.col("lam")) - F.col("lam"))
-    sums = bet.select("criterion", "t", "x", F.sum(F.col("lam") * F.col("x")).over(upto).alias("lx"), F.sum("lam").over(upto).alias("l"), F.sum(v).over(upto).alias("v"))
-    middle, radius = F.col("lx") / F.col("l"), (F.col("v") + math.log(2 / level)) / F.col("l")
-    return sums.select("criterion", "t", "x", F.greatest(F.lit(0.0), middle - radius).alias("lo"), F.least(F.lit(1.0), middle + radius).alias("hi"))
+    """stream with the predictable plug-in empirical-Bernstein interval (lo, hi)."""
+    return follow(stream.select("criterion", "t", "x"), "eb", level=level, cap=cap).drop("n", "failed")
 
 
-def betting(stream: DataFrame, level: float = 0.05, cap: float = 0.5, grid: int = BETTING_GRID) -> DataFrame:
-    """stream with (lo, hi, failed): candidate means that a hedged bettor hasn't ruled out.
+def betting(stream: DataFrame, level: float = 0.05, cap: float = 0.5, grid: int = sequences.BETTING_GRID) -> DataFrame:
+    """stream with (lo, hi, failed): candidate means, of a fixed grid, that a hedged bettor hasn't ruled out.
 
     A candidate once rejected stays so; with all rejected the interval is [0, 1]
-    and failed is true. Each criterion's stream meets a fixed grid of candidates.
+    and failed is true.
     """
-    m = F.col("m")
-    each = plug_ins(stream).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(grid - 1)))).withColumn("m", F.col("g") / F.lit(float(grid - 1)))
-    lam = (F.col("mu") - m) / (F.col("var") + F.pow(F.col("mu") - m, F.lit(2)))
-    up = F.least(F.greatest(lam, F.lit(0.0)), cap / F.greatest(m, F.lit(1e-4)))
-    down = F.least(F.greatest(-lam, F.lit(0.0)), cap / F.greatest(1 - m, F.lit(1e-4)))
-    upto = Window.partitionBy("criterion", "g").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    capital = each.select("criterion", "t", "x", "m", "g", F.sum(F.log1p(up * (F.col("x") - m))).over(upto).alias("plus"), F.sum(F.log1p(-down * (F.col("x") - m))).over(upto).alias("minus"))
-    most = capital.select("criterion", "t", "x", "m", F.max(F.greatest("plus", "minus")).over(upto).alias("most"))
-    alive = F.col("most") < math.log(1 / level)
-    ends = most.groupBy("criterion", "t").agg(F.first("x").alias("x"), F.min(F.when(alive, m)).alias("lo"), F.max(F.when(alive, m)).alias("hi"))
-    # intervals only ever shrink, until all is rejected
-    upto_t = Window.partitionBy("criterion").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    failed = F.max(F.col("lo").isNull()).over(upto_t)
-    return ends.select("criterion", "t", "x", F.when(failed, 0.0).otherwise(F.col("lo")).alias("lo"), F.when(failed, 1.0).otherwise(F.col("hi")).alias("hi"), failed.alias("failed"))
+    return follow(stream.select("criterion", "t", "x"), "betting", level=level, cap=cap, grid=grid).drop("n")
 
 
 #: Confidence sequences by name.
@@ -209,15 +295,39 @@ def first_clearing(bounds: DataFrame, gate: float = GATE_ALPHA) -> DataFrame:
 
 
 def monitor(ratings: DataFrame, metric: str = "ordinal", kind: str = "eb") -> DataFrame:
-    """(criterion, t, x, lo, hi, alpha_lo, alpha_hi): alpha bounds after each unit, for criteria with any expected disagreement."""
+    """(criterion, t, unit, x, lo, hi, failed, alpha_lo, alpha_hi): alpha bounds after each unit, for criteria with any expected disagreement."""
+    scale = _monitored(ratings, metric).where("d_e > 0 and top > 0").select("criterion", (F.col("top") / F.col("d_e")).alias("scale"))
+    x = disagreement(ratings, metric).join(scale, "criterion").select("criterion", "unit", "x", "scale")
+    return alpha_bounds(follow(x, kind, "unit"), F.col("scale")).drop("scale").withColumnRenamed("n", "t")
+
+
+def _monitored(ratings: DataFrame, metric: str) -> DataFrame:
+    """(criterion, units, top, d_e, equal_ratings, reason) of every criterion that was rated at all."""
     counts = unit_counts(ratings)
     delta = differences(marginals(counts), metric)
-    n = counts.groupBy("criterion").agg(F.sum("k").cast("double").alias("n"))
-    scale = delta.groupBy("criterion").agg(F.max("d2").alias("top"), F.sum(F.col("nc") * F.col("nk") * F.col("d2")).alias("e")).join(n, "criterion").where("e > 0")
-    scale = scale.select("criterion", (F.col("top") / (F.col("e") / (F.col("n") * (F.col("n") - 1)))).alias("scale"))
-    x = disagreement(ratings, metric).join(scale, "criterion")
-    stream = x.select("criterion", "unit", F.row_number().over(Window.partitionBy("criterion").orderBy("unit")).alias("t"), "x")
-    return alpha_bounds(SEQUENCES[kind](stream).join(scale, "criterion"), F.col("scale")).drop("scale")
+    e = delta.groupBy("criterion").agg(F.max("d2").alias("top"), F.sum(F.col("nc") * F.col("nk") * F.col("d2")).alias("e"))
+    n = counts.groupBy("criterion").agg(F.sum("k").cast("double").alias("n"), F.min("m").alias("fewest"), F.max("m").alias("most"))
+    units = counts.select("criterion", "unit").distinct().groupBy("criterion").agg(F.count("*").alias("units"))
+    every = ratings.select("criterion").distinct().join(n.join(e, "criterion").join(units, "criterion"), "criterion", "left")
+    d_e, equal = F.col("e") / (F.col("n") * (F.col("n") - 1)), F.col("fewest") == F.col("most")
+    reason = (
+        F.when(F.col("n").isNull(), "no unit was rated by two or more: there is nothing to monitor")
+        .when((d_e <= 0) | (F.col("top") <= 0), "no expected disagreement: all ratings that can be paired are equal")
+        .when(~equal, "units have different numbers of ratings: the bounds are for the mean over units, alpha weighs units by their ratings")
+    )
+    return every.select("criterion", F.coalesce("units", F.lit(0)).alias("units"), "top", d_e.alias("d_e"), F.coalesce(equal, F.lit(True)).alias("equal_ratings"), reason.alias("reason"))
+
+
+def monitor_summary(ratings: DataFrame, metric: str = "ordinal", kind: str = "eb", threshold: float = GATE_ALPHA) -> DataFrame:
+    """(criterion, units, top, d_e, equal_ratings, reason, n, alpha_lo, alpha_hi, cleared_at): one row for every criterion, monitored or not.
+
+    reason: why a criterion has no bounds, or in what they fall short (equal_ratings is false). n: units monitored, with the last bounds;
+    cleared_at: the first unit, from 1, at which the whole interval is at the gate or above.
+    """
+    bounds = monitor(ratings, metric, kind)
+    last = bounds.groupBy("criterion").agg(F.max(F.struct("t", "alpha_lo", "alpha_hi")).alias("last"), F.min(F.when(F.col("alpha_lo") >= threshold, F.col("t"))).alias("cleared_at"))
+    joined = _monitored(ratings, metric).join(last, "criterion", "left")
+    return joined.select("criterion", "units", "top", "d_e", "equal_ratings", "reason", F.coalesce("last.t", F.lit(0)).alias("n"), "last.alpha_lo", "last.alpha_hi", "cleared_at")
 
 
 def gate(ratings: DataFrame, criteria: DataFrame, metric: str = "ordinal", threshold: float = GATE_ALPHA) -> DataFrame:

@@ -1,145 +1,132 @@
-"""Confidence sequences of operators.reliability over streams, with a state of a few numbers for each criterion.
+"""Confidence sequences of operators.reliability over streams, in event time.
 
-Observations count in the order of their arrival; those of one micro-batch in the
-order of t. A trigger's rows of one criterion meet in one task, so the trigger
-(maxFilesPerTrigger, maxOffsetsPerTrigger) bounds its memory; the state doesn't
-grow. An observation outside [0, 1], or a missing one, stops the stream.
+Rows wait in a buffer of their criterion until the watermark has passed them, and are then taken in
+the order of (at, t): whatever the order of arrival within the delay, and however micro-batches are
+cut, the bounds are those of the batch operator. What is kept of a criterion are the sums of its sequence and
+the rows within the delay. Rows that come behind the watermark are left out, as by other operators with one.
+An observation outside [0, 1], or a missing one, stops the stream.
+
+The state store must be RocksDB's: set spark.sql.streaming.stateStore.providerClass to STATE_STORE.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterable, Iterator
+import pickle
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from plumbline.operators.reliability import BETTING_GRID
-
-#: Sums of the state: observations, their sum, squared deviations from the plug-in mean, weighted sums of the Bernstein bets.
-SUMS = ("n", "sum_x", "deviation", "bet_x", "bet", "spread")
-#: Rows that meet all candidate means at once.
-BLOCK = 256
-_STATE = ", ".join(f"{name} double" for name in SUMS) + ", capital binary, expected double"
-_OUT = "criterion string, t long, n long, x double, lo double, hi double, failed boolean"
-
-Sums = dict[str, float]
-Step = Callable[[Sums, bytes, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray, bytes]]
-
-
-def _before(start: float, values: np.ndarray) -> np.ndarray:
-    """start plus the sum of all earlier values, at each value."""
-    return start + np.concatenate(([0.0], np.cumsum(values)[:-1]))
-
-
-def _plug_ins(sums: Sums, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(n, mu, var) as known before each of x; moves the sums on."""
-    n = sums["n"] + np.arange(1, len(x) + 1)
-    mu = (0.5 + _before(sums["sum_x"], x)) / n
-    deviation = (x - mu) ** 2
-    var = (0.25 + _before(sums["deviation"], deviation)) / n
-    sums.update(n=float(n[-1]), sum_x=sums["sum_x"] + x.sum(), deviation=sums["deviation"] + deviation.sum())
-    return n, mu, var
-
-
-def _hoeffding(level: float) -> Step:
-    def step(sums, capital, x):
-        total = sums["sum_x"] + np.cumsum(x)
-        n, _, _ = _plug_ins(sums, x)
-        eps = np.sqrt(np.log(2 * n * (n + 1) / level) / (2 * n))
-        return total / n - eps, total / n + eps, np.zeros(len(x), bool), capital
-
-    return step
-
-
-def _bernstein(level: float, cap: float) -> Step:
-    def step(sums, capital, x):
-        n, mu, var = _plug_ins(sums, x)
-        lam = np.minimum(np.sqrt(2 * math.log(2 / level) / (var * n * np.log(n + 1))), cap)
-        bet_x = sums["bet_x"] + np.cumsum(lam * x)
-        bet = sums["bet"] + np.cumsum(lam)
-        spread = sums["spread"] + np.cumsum((x - mu) ** 2 * (-np.log1p(-lam) - lam))
-        sums.update(bet_x=bet_x[-1], bet=bet[-1], spread=spread[-1])
-        radius = (spread + math.log(2 / level)) / bet
-        return bet_x / bet - radius, bet_x / bet + radius, np.zeros(len(x), bool), capital
-
-    return step
-
-
-def _betting(level: float, cap: float, grid: int) -> Step:
-    m = np.arange(grid) / (grid - 1.0)
-
-    def step(sums, capital, x):
-        plus, minus, most = np.frombuffer(bytes(capital), float).reshape(3, grid) if capital else np.zeros((3, grid))
-        _, mu, var = _plug_ins(sums, x)
-        alive = []
-        for start in range(0, len(x), BLOCK):
-            part = slice(start, start + BLOCK)
-            gap = mu[part, None] - m
-            lam = gap / (var[part, None] + gap**2)
-            gain = x[part, None] - m
-            up = plus + np.cumsum(np.log1p(np.clip(lam, 0.0, cap / np.maximum(m, 1e-4)) * gain), axis=0)
-            down = minus + np.cumsum(np.log1p(-np.clip(-lam, 0.0, cap / np.maximum(1 - m, 1e-4)) * gain), axis=0)
-            top = np.maximum(np.maximum.accumulate(np.maximum(up, down), axis=0), most)
-            alive.append(top < math.log(1 / level))
-            plus, minus, most = up[-1], down[-1], top[-1]
-        alive = np.concatenate(alive)
-        failed = ~alive.any(axis=1)
-        lo = np.where(failed, 0.0, m[alive.argmax(axis=1)])
-        hi = np.where(failed, 1.0, m[grid - 1 - alive[:, ::-1].argmax(axis=1)])
-        return lo, hi, failed, np.stack([plus, minus, most]).tobytes()
-
-    return step
-
-
-def _step(kind: str, level: float, cap: float, grid: int) -> Step:
-    steps = {"hoeffding": _hoeffding(level), "eb": _bernstein(level, cap), "betting": _betting(level, cap, grid)}
-    if kind not in steps:
-        raise ValueError(f"unknown sequence {kind!r}; there are {sorted(steps)}")
-    return steps[kind]
-
-
-def _run(events: DataFrame, step: Step) -> DataFrame:
-    """events(criterion, t, x, expected) with bounds; rows without x only set what is expected."""
-
-    def advance(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches), ignore_index=True).sort_values(["t", "x"], na_position="first", kind="stable")
-        *numbers, capital, expected = state.get if state.exists else (*[0.0] * len(SUMS), b"", math.nan)
-        sums = dict(zip(SUMS, numbers, strict=True))
-        seen = rows["x"].notna().to_numpy()
-        out = pd.DataFrame({"criterion": [key[0]] * len(rows), "t": rows["t"].to_numpy(), "n": int(sums["n"]) + np.cumsum(seen), "x": rows["x"].to_numpy()})
-        out["lo"], out["hi"], out["failed"] = np.nan, np.nan, False
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from plumbline.functions.sequences import SEQUENCES, Sequence
+
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_OUT = "criterion string, at timestamp, t long, n long, x double, lo double, hi double, failed boolean, expected double"
+_COLUMNS = [c.split()[0] for c in _OUT.split(", ")]
+
+
+class InOrder(StatefulProcessor):
+    """Takes each criterion's rows in event time; begins anew after a pause of so many milliseconds of event time."""
+
+    def __init__(self, sequence: Sequence, idle_ms: int | None):
+        self.sequence, self.idle_ms = sequence, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at long, t long, x double, expected double")
+        #: Sequence state, the expected disagreement, the latest event time taken.
+        self.reached = handle.getValueState("reached", "state binary, expected double, at long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        came = pd.concat(list(rows), ignore_index=True)
+        at = came["at"].to_numpy().astype("datetime64[ms]").astype(np.int64)
+        came, at = came[at > timerValues.getCurrentWatermarkInMs()], at[at > timerValues.getCurrentWatermarkInMs()]
+        if not len(at):
+            return iter(())
+        self.waiting.appendList([(int(a), int(t), *(None if pd.isna(v) else float(v) for v in more)) for a, t, *more in zip(at, came["t"], came["x"], came["expected"], strict=True)])
+        self.handle.registerTimer(int(at.min()))
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        waiting = list(self.waiting.get()) if self.waiting.exists() else []
+        ready, rest = [r for r in waiting if r[0] <= now], [r for r in waiting if r[0] > now]
+        last = self.reached.get()[2] if self.reached.exists() else None
+        if rest:
+            self.waiting.put(rest)
+            self.handle.registerTimer(min(r[0] for r in rest))
+        elif waiting:
+            self.waiting.clear()
+        if ready:
+            for rows in self._runs(sorted(r[0] for r in ready), ready, last):
+                yield self._taken(key[0], rows)
+            last = max(r[0] for r in ready)
+            if self.idle_ms is not None:
+                self.handle.registerTimer(last + self.idle_ms)
+        elif self.idle_ms is not None and not waiting and last is not None and last + self.idle_ms <= now:
+            self.reached.clear()
+
+    def _runs(self, times: list[int], rows: list[tuple], last: int | None) -> Iterator[list[tuple]]:
+        """rows without a pause of idle_ms between them; before one that follows a pause the state goes."""
+        cuts = [b for a, b in zip([times[0] if last is None else last, *times], times) if self.idle_ms is not None and b - a >= self.idle_ms]
+        for low, high in zip([-math.inf, *cuts], [*cuts, math.inf], strict=True):
+            if low in cuts and self.reached.exists():
+                self.reached.clear()
+            if own := [r for r in rows if low <= r[0] < high]:
+                yield own
+
+    def _taken(self, criterion: str, rows: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=["at", "t", "x", "expected"]).astype({"x": float, "expected": float})
+        out = out.sort_values(["at", "t", "x"], na_position="first", kind="stable", ignore_index=True)
+        packed, expected, _ = self.reached.get() if self.reached.exists() else (None, math.nan, 0)
+        state = pickle.loads(bytes(packed)) if packed else self.sequence.zero()
+        seen = out["x"].notna().to_numpy()
+        out["n"], out["lo"], out["hi"], out["failed"] = int(state["n"]) + np.cumsum(seen), np.nan, np.nan, False
         if seen.any():
-            lo, hi, failed, capital = step(sums, capital, rows["x"].to_numpy(float)[seen])
-            out.loc[seen, "lo"], out.loc[seen, "hi"], out.loc[seen, "failed"] = np.maximum(lo, 0.0), np.minimum(hi, 1.0), failed
-        known = pd.concat([pd.Series([expected]), rows["expected"]]).ffill().to_numpy()
+            lo, hi, failed = self.sequence.step(state, out["x"].to_numpy()[seen])
+            out.loc[seen, "lo"], out.loc[seen, "hi"], out.loc[seen, "failed"] = lo, hi, failed
+        known = pd.concat([pd.Series([math.nan if expected is None else expected]), out["expected"]]).ffill().to_numpy()
         out["expected"] = known[1:]
-        state.update((*[float(sums[name]) for name in SUMS], capital, float(known[-1])))
-        yield out
+        self.reached.update((pickle.dumps(state), None if math.isnan(known[-1]) else float(known[-1]), int(out["at"].iloc[-1])))
+        out["criterion"], out["at"] = criterion, pd.to_datetime(out["at"], unit="ms")
+        return out[_COLUMNS]
+
 
-    return events.groupBy("criterion").applyInPandasWithState(advance, f"{_OUT}, expected double", _STATE, "append", GroupStateTimeout.NoTimeout)
+def _run(events: DataFrame, kind: str, late: str, idle_ms: int | None, options: dict) -> DataFrame:
+    """events(criterion, at, t, x, expected) with bounds; rows without x only set what is expected."""
+    if kind not in SEQUENCES:
+        raise ValueError(f"unknown sequence {kind!r}; there are {sorted(SEQUENCES)}")
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    rows = events.withWatermark("at", late).groupBy("criterion")
+    return rows.transformWithStateInPandas(InOrder(SEQUENCES[kind](**options), idle_ms), _OUT, "Append", "EventTime")
 
 
 def _checked(wrong, x):
     return F.when(wrong, F.raise_error(F.lit("observations lie in [0, 1], expected disagreement is positive"))).otherwise(x).cast("double")
 
 
-def follow(events: DataFrame, kind: str = "eb", level: float = 0.05, cap: float = 0.5, grid: int = BETTING_GRID) -> DataFrame:
-    """(criterion, t, n, x, lo, hi, failed) of a stream events(criterion, t, x): the anytime-valid interval after each observation."""
+def _named(events: DataFrame, x, expected) -> DataFrame:
+    return events.select(F.col("criterion").cast("string").alias("criterion"), F.col("at").cast("timestamp").alias("at"), F.col("t").cast("long").alias("t"), x.alias("x"), expected.alias("expected"))
+
+
+def follow(events: DataFrame, kind: str = "eb", late: str = "10 minutes", idle_ms: int | None = None, **options) -> DataFrame:
+    """(criterion, at, t, n, x, lo, hi, failed) of a stream events(criterion, at, t, x): the anytime-valid interval after each observation.
+
+    at is the event time (in milliseconds), t tells rows of one time apart. Rows come out once the watermark, late behind the
+    latest, has passed them. With idle_ms a criterion begins anew after a pause of so long, and nothing is kept of it meanwhile.
+    """
     x = F.col("x")
-    wrong = x.isNull() | ~x.between(0, 1)
-    rows = events.select(F.col("criterion").cast("string").alias("criterion"), F.col("t").cast("long").alias("t"), _checked(wrong, x).alias("x"), F.lit(None).cast("double").alias("expected"))
-    return _run(rows, _step(kind, level, cap, grid)).drop("expected")
+    return _run(_named(events, _checked(x.isNull() | ~x.between(0, 1), x), F.lit(None).cast("double")), kind, late, idle_ms, options).drop("expected")
 
 
-def follow_alpha(events: DataFrame, top: float, kind: str = "eb", level: float = 0.05, cap: float = 0.5, grid: int = BETTING_GRID) -> DataFrame:
-    """(criterion, t, n, x, lo, hi, failed, expected, alpha_lo, alpha_hi) of a stream events(criterion, t, x, expected).
+def follow_alpha(events: DataFrame, top: float, kind: str = "eb", late: str = "10 minutes", idle_ms: int | None = None, **options) -> DataFrame:
+    """(criterion, at, t, n, x, lo, hi, failed, expected, alpha_lo, alpha_hi) of a stream events(criterion, at, t, x, expected).
 
     top is the largest squared difference. A row without x sets the expected
-    disagreement from there on, before observations of the same t; such rows
+    disagreement from there on, before observations of the same (at, t); such rows
     come out too, without bounds, and so are its history. Before the first one
     the bounds of alpha are null.
     """
@@ -147,6 +134,5 @@ def follow_alpha(events: DataFrame, top: float, kind: str = "eb", level: float =
         raise ValueError("top must be positive and finite")
     x, e = F.col("x"), F.col("expected")
     wrong = F.coalesce(~x.between(0, 1), F.lit(False)) | (x.isNull() & e.isNull()) | F.coalesce(~((e > 0) & (e < float("inf"))), F.lit(False))
-    rows = events.select(F.col("criterion").cast("string").alias("criterion"), F.col("t").cast("long").alias("t"), _checked(wrong, x).alias("x"), e.cast("double").alias("expected"))
     scale = F.lit(float(top)) / F.col("expected")
-    return _run(rows, _step(kind, level, cap, grid)).withColumns({"alpha_lo": 1 - F.col("hi") * scale, "alpha_hi": F.when(F.col("lo").isNotNull() & F.col("expected").isNotNull(), F.least(F.lit(1.0), 1 - F.col("lo") * scale))})
+    return _run(_named(events, _checked(wrong, x), e.cast("double")), kind, late, idle_ms, options).withColumns({"alpha_lo": 1 - F.col("hi") * scale, "alpha_hi": F.when(F.col("lo").isNotNull() & F.col("expected").isNotNull(), F.least(F.lit(1.0), 1 - F.col("lo") * scale))})
