@@ -54,8 +54,8 @@ def _verdicts(s, d):
 
 
 def _lines(s, d, line):
-    """(path, text): a text for each order, of a line for each of its parts in order."""
-    order = F.struct("l_linenumber", "l_partkey", line.alias("line"))
+    """(path, text): a text for each order, of a line for each of its parts in order; parts that tie go by number before they go by text."""
+    order = F.struct("l_linenumber", "l_partkey", "l_quantity", "l_suppkey", "l_extendedprice", line.alias("line"))
     one = B.table(s, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(order)).alias("p"))
     return one.select("l_orderkey", F.array_join(F.transform("p", lambda p: p["line"]), "\n").alias("body"))
 

@@ -82,6 +82,14 @@ def _responses(s, d):
     return e.groupBy((F.col("user_id") % 30).alias("respondent"), F.concat_ws("-", "event_type", (F.floor(F.abs("value")) % 3).cast("string")).alias("item")).agg(F.count_if(F.col("event_id") % 7 < F.col("user_id") % 7).alias("successes"), F.count("*").alias("trials"))
 
 
+def _fitted(s, d):
+    """Items and respondents of the fit in one table, to two places."""
+    found = I.fit(_responses(s, d))
+    items = found.items.select(F.lit("item").alias("kind"), F.col("item").alias("id"), F.col("log_a").alias("first"), F.col("b").alias("second"))
+    people = found.people.select(F.lit("respondent").alias("kind"), F.col("respondent").cast("string").alias("id"), F.col("theta").alias("first"), F.lit(None).cast("double").alias("second"))
+    return items.unionByName(people).withColumns({c: F.round(c, 2) + 0.0 for c in ("first", "second")})
+
+
 def _items(s, d):
     return _responses(s, d).select("item").distinct().select("item", ((F.length("item") % 4 - 1.5) / 3).cast("double").alias("log_a"), ((F.ascii(F.substring("item", -1, 1)) % 3 - 1) * 1.0).cast("double").alias("b"))
 
@@ -117,6 +125,7 @@ QUERIES = {
     "j12_step_deviation": lambda s, d: _R(T.step_deviation(_series(s, d, 0), _series(s, d, 2)), "dev", to=7),
     "a27_l2_distance": lambda s, d: _R(T.l2_distance(_params(s, d), _params(s, d).withColumn("w", F.col("w") * 1.001)), "distance", to=4),
     "a36_standardize": lambda s, d: _R(T.standardize(B.table(s, d, "customer").select("c_custkey", "c_acctbal"), "c_acctbal"), "c_acctbal"),
+    "e09_fit": _fitted,
     "e10_neg_log_posterior": lambda s, d: _R(I.neg_log_posterior(_responses(s, d), _items(s, d), _people(s, d)), "value", to=5),
     "e10_item_gradient": lambda s, d: _R(I.gradients(_responses(s, d), _items(s, d), _people(s, d))[0].select("item", "g_log_a", "g_b"), "g_log_a", "g_b"),
     "e10_person_gradient": lambda s, d: _R(I.gradients(_responses(s, d), _items(s, d), _people(s, d))[1].select("respondent", "g_theta"), "g_theta"),
@@ -180,6 +189,28 @@ _IRT = """resp AS (SELECT user_id % 30 AS respondent, event_type || '-' || CAST(
  t AS (SELECT resp.*, log_a, b, theta, exp(log_a) * (theta - b) AS z FROM resp JOIN items USING (item) JOIN people USING (respondent)),
  tt AS (SELECT *, trials / (1 + exp(-z)) - successes AS r, trials * ln(1 + exp(z)) - successes * z AS nll FROM t)"""
 _SD = (I.SD_LOG_A, I.SD_B, I.SD_THETA)
+
+
+def _fit_sql(rounds=5000, damping="6e-1"):
+    """The posterior mode by many damped diagonal Newton rounds, a recursion over all parameters at once; then abilities standardised."""
+    resp = _IRT[: _IRT.index(" items AS")].rstrip().rstrip(",")
+    share = lambda key: f"SELECT {key} AS id, least(95e-2, greatest(5e-2, sum(successes) / sum(trials))) AS p FROM resp GROUP BY 1"
+    a2, b2, t2 = (f"pow({x}::DOUBLE, 2)" for x in _SD)
+    return f"""WITH RECURSIVE {resp},
+st(k, kind, id, x1, x2) AS (
+  (SELECT 0, 0, id, 0e0, -ln(p / (1 - p)) FROM ({share('item')}) UNION ALL SELECT 0, 1, CAST(id AS VARCHAR), ln(p / (1 - p)), 0e0 FROM ({share('respondent')}))
+  UNION ALL
+  (SELECT st.k + 1, st.kind, st.id, greatest(-if(st.kind = 0, 4e0, 8e0), least(if(st.kind = 0, 4e0, 8e0), x1 - {damping} * greatest(-1e0, least(1e0, (g1 + x1 / if(st.kind = 0, {a2}, {t2})) / (h1 + 1 / if(st.kind = 0, {a2}, {t2})))))),
+          greatest(-8e0, least(8e0, x2 - {damping} * greatest(-1e0, least(1e0, (g2 + x2 / {b2}) / (h2 + 1 / {b2})))))
+   FROM st JOIN (
+     SELECT kind, id, sum(g1) AS g1, sum(h1) AS h1, sum(g2) AS g2, sum(h2) AS h2 FROM (
+       SELECT e.kind, if(e.kind = 0, item, respondent) AS id, if(e.kind = 0, r * z, r * a) AS g1, if(e.kind = 0, w * z * z, w * a * a) AS h1, if(e.kind = 0, -r * a, 0e0) AS g2, if(e.kind = 0, w * a * a, 0e0) AS h2
+       FROM (SELECT item, CAST(respondent AS VARCHAR) AS respondent, exp(i.x1) AS a, exp(i.x1) * (u.x1 - i.x2) AS z, trials / (1 + exp(-exp(i.x1) * (u.x1 - i.x2))) - successes AS r, trials / (2 + exp(exp(i.x1) * (u.x1 - i.x2)) + exp(-exp(i.x1) * (u.x1 - i.x2))) AS w
+             FROM resp JOIN st i ON i.kind = 0 AND i.id = resp.item JOIN st u ON u.kind = 1 AND u.id = CAST(resp.respondent AS VARCHAR)), (VALUES (0), (1)) e(kind))
+     GROUP BY 1, 2) g ON g.kind = st.kind AND g.id = st.id
+   WHERE st.k < {rounds})),
+scale AS (SELECT avg(x1) AS m, stddev_pop(x1) AS s FROM st WHERE k = {rounds} AND kind = 1)
+SELECT if(kind = 0, 'item', 'respondent') AS kind, id, round(if(kind = 0, x1 + ln(s), (x1 - m) / s), 2) + 0e0 AS first, if(kind = 0, round((x2 - m) / s, 2) + 0e0, NULL) AS second FROM st, scale WHERE k = {rounds}"""
 _UNIT = "CAST('0x' || substr(md5('irt:' || respondent || ':' || item || ':' || k), 1, 13) AS BIGINT) / 4503599627370496e0"
 
 ORACLE_SQL = {
@@ -209,6 +240,7 @@ ORACLE_SQL = {
     "j12_step_deviation": f"WITH {_DAY}, {_runs(0, 2)} SELECT a.quantity, a.step, round(abs(a.value - b.value), 7) + 0e0 AS dev FROM runs a JOIN runs b ON a.quantity = b.quantity AND a.step = b.step AND a.run = 0 AND b.run = 2",
     "a27_l2_distance": "SELECT round(sqrt(sum(pow(o_totalprice - o_totalprice * 1001e-3, 2))), 4) + 0e0 AS distance FROM orders",
     "a36_standardize": "SELECT c_custkey, round((c_acctbal - avg(c_acctbal) OVER ()) / stddev_pop(c_acctbal) OVER (), 6) + 0e0 AS c_acctbal FROM customer",
+    "e09_fit": _fit_sql(),
     "e10_neg_log_posterior": f"WITH {_IRT} SELECT round((SELECT sum(nll) FROM tt) + (SELECT sum(pow(log_a / {_SD[0]}::DOUBLE, 2) + pow(b / {_SD[1]}::DOUBLE, 2)) / 2 FROM items) + (SELECT sum(pow(theta / {_SD[2]}::DOUBLE, 2)) / 2 FROM people), 5) + 0e0 AS value",
     "e10_item_gradient": f"WITH {_IRT} SELECT item, round(sum(r * z) + any_value(log_a) / pow({_SD[0]}::DOUBLE, 2), 6) + 0e0 AS g_log_a, round(sum(-r * exp(log_a)) + any_value(b) / pow({_SD[1]}::DOUBLE, 2), 6) + 0e0 AS g_b FROM tt GROUP BY 1",
     "e10_person_gradient": f"WITH {_IRT} SELECT respondent, round(sum(r * exp(log_a)) + any_value(theta), 6) + 0e0 AS g_theta FROM tt GROUP BY 1",

@@ -37,13 +37,39 @@ def test_verdicts(spark):
     assert checks.selected(tasks, "task_id", "all").count() == 3 and checks.selected(tasks, "task_id", "1, 3").count() == 2
 
 
+def _newton(responses, rounds):
+    """(negative log posterior, items, people) by damped diagonal Newton rounds in numpy."""
+    i, item = np.unique(responses["item"], return_inverse=True)
+    p, person = np.unique(responses["respondent"], return_inverse=True)
+    hit, n = responses["successes"].to_numpy(float), responses["trials"].to_numpy(float)
+    log_a, b, theta = np.zeros(len(i)), np.zeros(len(i)), np.zeros(len(p))
+    for k in range(rounds + 1):
+        a = np.exp(log_a)[item]
+        z = a * (theta[person] - b[item])
+        value = (n * np.logaddexp(0, z) - hit * z).sum() + (log_a**2).sum() / 2 / 0.7**2 + (b**2).sum() / 8 + (theta**2).sum() / 2
+        r, w = n / (1 + np.exp(-z)) - hit, n / (2 + np.exp(z) + np.exp(-z))
+        if k < rounds:
+            total = lambda x, of, m: np.bincount(of, x, m)
+            steps = [(total(r * z, item, len(i)) + log_a / 0.49) / (total(w * z * z, item, len(i)) + 1 / 0.49), (total(-r * a, item, len(i)) + b / 4) / (total(w * a * a, item, len(i)) + 0.25), (total(r * a, person, len(p)) + theta) / (total(w * a * a, person, len(p)) + 1)]
+            log_a, b, theta = (x - 0.6 * np.clip(s, -1, 1) for x, s in zip((log_a, b, theta), steps))
+    return value, dict(zip(i, log_a + np.log(theta.std()))), dict(zip(p, (theta - theta.mean()) / theta.std()))
+
+
 def test_fit_finds_what_was_drawn(spark):
-    """Parameters of a drawn table come back, and people keep their order."""
+    """Parameters of a drawn table come back, people keep their order, and the posterior is that of many Newton rounds after few steps."""
     items = spark.createDataFrame([(f"i{k}", [-0.4, 0.0, 0.5][k % 3], -1.5 + 0.3 * k) for k in range(11)], "item string, log_a double, b double")
     people = spark.createDataFrame([(f"p{k}", -2.0 + 4.0 * k / 39) for k in range(40)], "respondent string, theta double")
-    found, able = irt.fit(irt.simulate(items, people, 20), rounds=12)
-    both = items.alias("t").join(found.alias("f"), "item").select("t.b", "f.b", "t.log_a", "f.log_a").toPandas().to_numpy()
-    ability = people.alias("t").join(able.alias("f"), "respondent").select("t.theta", "f.theta").toPandas().to_numpy()
+    responses = irt.simulate(items, people, 20).checkpoint()
+    found = irt.fit(responses)
+    both = items.alias("t").join(found.items.alias("f"), "item").select("t.b", "f.b", "t.log_a", "f.log_a").toPandas().to_numpy()
+    ability = people.alias("t").join(found.people.alias("f"), "respondent").select("t.theta", "f.theta").toPandas().to_numpy()
     assert np.corrcoef(both[:, 0], both[:, 1])[0, 1] > 0.97 and np.corrcoef(both[:, 2], both[:, 3])[0, 1] > 0.7
     assert np.corrcoef(ability[:, 0], ability[:, 1])[0, 1] > 0.97
     assert abs(ability[:, 1].mean()) < 1e-6 and abs(ability[:, 1].std() - 1) < 1e-6
+    best = _newton(responses.toPandas(), 6000)[0]
+    assert found.converged and found.value == pytest.approx(best, abs=1e-4) and found.evaluations < 90
+    # the same steps with the variables in a table
+    few, many = irt.fit(responses, steps=2), irt.fit(responses, steps=2, max_on_driver=0)
+    assert (many.steps, many.evaluations) == (few.steps, few.evaluations) and many.value == pytest.approx(few.value, abs=1e-6)
+    own = {r.item: r.b for r in few.items.collect()}
+    assert {r.item: r.b for r in many.items.collect()} == pytest.approx(own, abs=1e-6)
