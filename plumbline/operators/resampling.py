@@ -6,8 +6,11 @@ state, is the same wherever a task runs, and other engines can repeat it.
 
 from __future__ import annotations
 
+import hashlib
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -200,3 +203,117 @@ def bootstrap_alpha(ratings: DataFrame, metric: str = "interval", replicates: in
     tail = (1 - level) / 2
     each = sums.select("criterion", value.alias("alpha"))
     return each.groupBy("criterion").agg(F.percentile("alpha", F.lit(tail)).alias("low"), F.percentile("alpha", F.lit(1 - tail)).alias("high"), F.count("alpha").alias("n_defined"), F.count_if(F.col("alpha").isNull()).alias("n_undefined"))
+
+
+#: Units of a hash range that deals its draws on its own, and most of such ranges.
+RANGE_UNITS, MAX_RANGES = 2048, 4096
+
+
+def _generator(*key) -> np.random.Generator:
+    """Random numbers that depend on the key alone."""
+    return np.random.default_rng(list(hashlib.sha256(repr(key).encode()).digest()))
+
+
+def dealt_draws(units: DataFrame, replicates: int) -> DataFrame:
+    """units(criterion, unit, cells) with range and draws, the draws of the range in each replicate: as many in all as the criterion has units.
+
+    A criterion's draws are first dealt to hash ranges by their numbers of units, a multinomial draw over counts only; what happens
+    in a range then needs nothing of the others.
+    """
+    ranges = max(1, min(MAX_RANGES, units.count() // RANGE_UNITS))
+    placed = units.withColumn("range", F.pmod(F.xxhash64("criterion", "unit"), F.lit(ranges)).cast("int"))
+
+    def deal(table: pa.Table) -> pa.Table:
+        table = table.sort_by("range")
+        n, criterion = table.column("n").to_numpy(), table.column("criterion")[0].as_py()
+        draws = np.stack([_generator("ranges", criterion, r).multinomial(n.sum(), n / n.sum()) for r in range(replicates)], axis=1)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * replicates, pa.int32()), pa.array(draws.ravel()))
+        return pa.table({"criterion": table.column("criterion"), "range": table.column("range"), "draws": lists})
+
+    kind = units.schema["criterion"].dataType.simpleString()
+    counts = placed.groupBy("criterion", "range").agg(F.count("*").alias("n"))  # at most MAX_RANGES rows a criterion
+    return placed.join(counts.groupBy("criterion").applyInArrow(deal, f"criterion {kind}, range int, draws array<long>"), ["criterion", "range"])
+
+
+def resample_sums(ratings: DataFrame, replicates: int = ALPHA_REPLICATES) -> DataFrame:
+    """(criterion, a, b, sums): over the drawn units of each replicate, ratings with value a (b null), and coincidences of a and b, a < b.
+
+    Every replicate draws as many units, with replacement, as the criterion has; with a null too, sums are these numbers of draws.
+    """
+    cell = F.struct(F.col("value").cast("double").alias("value"), F.col("k").alias("k"))
+    units = unit_counts(ratings).groupBy("criterion", "unit").agg(F.collect_list(cell).alias("cells"))  # a unit's different values
+    kind = units.schema["criterion"].dataType.simpleString()
+
+    def draw(table: pa.Table) -> pa.Table:
+        """A range's share of the sums."""
+        table = table.combine_chunks().sort_by("unit")
+        criterion, place = table.column("criterion")[0].as_py(), table.column("range")[0].as_py()
+        total, n = table.column("draws")[0].as_py(), table.num_rows
+        keys: dict[tuple, list[tuple[int, float]]] = {}
+        for u, cells in enumerate(table.column("cells").to_pylist()):
+            m = sum(c["k"] for c in cells)
+            cells.sort(key=lambda c: c["value"])
+            for i, c in enumerate(cells):
+                keys.setdefault((c["value"], None), []).append((u, c["k"]))
+                for d in cells[i + 1 :]:
+                    keys.setdefault((c["value"], d["value"]), []).append((u, 2 * c["k"] * d["k"] / (m - 1)))
+        at = [np.array([u for u, _ in v]) for v in keys.values()]
+        worth = [np.array([w for _, w in v]) for v in keys.values()]
+        sums = np.empty((len(keys) + 1, replicates))
+        for r in range(replicates):
+            weight = _generator("units", criterion, place, r).multinomial(total[r], np.full(n, 1 / n))
+            sums[:-1, r] = [weight[i] @ w for i, w in zip(at, worth, strict=True)]
+            sums[-1, r] = weight.sum()
+        return _sums_table(criterion, [*keys, (None, None)], sums)
+
+    def add(table: pa.Table) -> pa.Table:
+        """One key's shares, a row for each range at most."""
+        shares = np.array(table.column("sums").combine_chunks().flatten()).reshape(table.num_rows, replicates)
+        return _sums_table(table.column("criterion")[0].as_py(), [(table.column("a")[0].as_py(), table.column("b")[0].as_py())], shares.sum(axis=0)[None])
+
+    def _sums_table(criterion, keys: list[tuple], sums: np.ndarray) -> pa.Table:
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * replicates, pa.int32()), pa.array(sums.ravel()))
+        return pa.table({"criterion": pa.array([criterion] * len(keys)), "a": pa.array([k[0] for k in keys], pa.float64()), "b": pa.array([k[1] for k in keys], pa.float64()), "sums": lists})
+
+    schema = f"criterion {kind}, a double, b double, sums array<double>"
+    shares = dealt_draws(units, replicates).groupBy("criterion", "range").applyInArrow(draw, schema)
+    return shares.groupBy("criterion", "a", "b").applyInArrow(add, schema)
+
+
+def resample_alpha(ratings: DataFrame, metric: str = "ordinal", replicates: int = ALPHA_REPLICATES, level: float = 0.95) -> DataFrame:
+    """(criterion, low, high, n_defined, n_undefined): alpha's interval by drawing as many units as there are, with replacement.
+
+    Any metric: each replicate has its own counts of values, and so its own mid-ranks. Replicates without variation are left out and counted.
+    A criterion's different values, and pairs of them that a unit has, are few.
+    """
+    if metric not in METRICS:
+        raise ValueError(f"metric must be one of {METRICS}, got {metric!r}")
+    sums = resample_sums(ratings, replicates)
+    kind = sums.schema["criterion"].dataType.simpleString()
+
+    def alphas(table: pa.Table) -> pa.Table:
+        rows = sorted((r for r in table.to_pylist() if r["a"] is not None), key=lambda r: (r["b"] is not None, r["a"], r["b"] or 0))
+        n = np.array([r["sums"] for r in rows if r["b"] is None])
+        values = np.array([r["a"] for r in rows if r["b"] is None])
+        pairs = [(r["a"], r["b"], np.array(r["sums"])) for r in rows if r["b"] is not None]
+        total = n.sum(axis=0)
+        place = np.cumsum(n, axis=0) - n / 2 if metric == "ordinal" else np.broadcast_to(values[:, None], n.shape)
+        if metric == "ratio" and (values < 0).any():
+            raise ValueError("the ratio metric is for values of at least 0")
+
+        def gap(c: np.ndarray, k: np.ndarray) -> np.ndarray:
+            if metric == "nominal":
+                return np.where(c == k, 0.0, 1.0)
+            both = c + k if metric == "ratio" else 1.0
+            return np.divide(c - k, both, out=np.zeros(np.broadcast(c, k).shape), where=np.asarray(both) > 0) ** 2
+
+        expected = sum((n[i] * n * gap(place[i], place)).sum(axis=0) for i in range(len(values)))
+        at = {v: i for i, v in enumerate(values.tolist())}
+        observed = sum((o * gap(place[at[a]], place[at[b]]) for a, b, o in pairs), start=np.zeros(replicates))
+        fine = expected > 1e-9 * np.maximum(total, 1) ** 2
+        alpha = 1 - observed[fine] / total[fine] / (expected[fine] / (total[fine] * (total[fine] - 1)))
+        tail = (1 - level) / 2
+        ends = np.quantile(alpha, [tail, 1 - tail]).tolist() if len(alpha) else [None, None]
+        return pa.table({"criterion": [table.column("criterion")[0].as_py()], "low": pa.array(ends[:1], pa.float64()), "high": pa.array(ends[1:], pa.float64()), "n_defined": [len(alpha)], "n_undefined": [int((~fine).sum())]})
+
+    return sums.groupBy("criterion").applyInArrow(alphas, f"criterion {kind}, low double, high double, n_defined long, n_undefined long")

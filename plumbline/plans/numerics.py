@@ -47,6 +47,8 @@ def _outputs(s, d):
 QUERIES = {
     "e15_bootstrap_alpha": lambda s, d: _R(S.bootstrap_alpha(B.ratings(s, d)), "low", "high", to=6),
     "e15_bootstrap_alpha_nominal": lambda s, d: _R(S.bootstrap_alpha(B.ratings(s, d), "nominal"), "low", "high", to=6),
+    "e15_resampled_draws": lambda s, d: S.resample_sums(B.ratings(s, d)).where("a is null").select("criterion", F.posexplode("sums").alias("replicate", "n")).select("criterion", F.col("replicate").cast("long").alias("replicate"), F.col("n").cast("long").alias("n")),
+    **{f"e15_resampled_alpha_{m}": (lambda m: lambda s, d: _R(S.resample_alpha(B.ratings(s, d), m), "low", "high", to=6))(m) for m in ("ordinal", "ratio")},
     "e20_median_ci": lambda s, d: _R(S.median_ci(B.timings(s, d)), "median", "low", "high"),
     "e21_ratio_ci": lambda s, d: _R(_ratios(s, d), "ratio", "low", "high"),
     "e22_widen": lambda s, d: _R(S.widen(_ratios(s, d)), "ratio", "low", "high", "raw_low", "raw_high", to=7).drop("dropped"),
@@ -119,6 +121,7 @@ def _alpha_boot(d2):
 
 
 ORACLE_SQL = {
+    "e15_resampled_draws": B.sql("ratings", """SELECT criterion, replicate, count(*) AS n FROM (SELECT criterion, unit FROM ratings WHERE value IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 2), (SELECT unnest(range(0, 400)) AS replicate) GROUP BY 1, 2"""),
     "e15_bootstrap_alpha": _alpha_boot("pow(x.value - y.value, 2)"),
     "e15_bootstrap_alpha_nominal": _alpha_boot("CASE WHEN x.value = y.value THEN 0e0 ELSE 1e0 END"),
     "e20_median_ci": B.sql("timings", f"WITH {_BOOT} SELECT shape, side, any_value(n) AS n, round(any_value(p), 9) AS median, round(quantile_cont(median, (1 - 95e-2) / 2), 9) AS low, round(quantile_cont(median, 1 - (1 - 95e-2) / 2), 9) AS high FROM (SELECT med.*, point.n, point.median AS p FROM med JOIN point ON med.shape = point.shape AND med.side = point.side) GROUP BY 1, 2"),

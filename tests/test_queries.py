@@ -19,7 +19,7 @@ def test_query_agrees_with_sql(name, agree):
 
 def test_every_sql_has_a_query():
     assert set(registry.ORACLE_SQL) <= set(registry.QUERIES)
-    assert set(registry.QUERIES) - set(registry.ORACLE_SQL) == {"e04_jeffreys"}
+    assert set(registry.QUERIES) - set(registry.ORACLE_SQL) == {"e04_jeffreys", "e15_resampled_alpha_ordinal", "e15_resampled_alpha_ratio"}  # tested below
 
 
 def test_entry(spark):
@@ -96,3 +96,24 @@ def test_published_alpha(spark, metric, wanted):
     rows = [("k", u, r, float(v)) for r, values in _RATED.items() for u, v in enumerate(values) if v is not None]
     out = reliability.alpha(spark.createDataFrame(rows, "criterion string, unit long, rater string, value double"), metric).first()
     assert out.alpha == pytest.approx(wanted, abs=1e-3)
+
+
+@pytest.mark.parametrize("metric", reliability.METRICS)
+def test_resampled_alpha_against_all_resamples(spark, monkeypatch, metric):
+    """Four units, 256 resamples: shares without variation and quantiles agree; as many draws as units, in one range or in many."""
+    rated = {1: [1.0, 2.0], 2: [2.0, 2.0, 4.0], 3: [4.0, 4.0], 4: [2.0, 2.0]}
+    rows = [("a", u, i, v) for u, values in rated.items() for i, v in enumerate(values)]
+    every = spark.createDataFrame([(f"{n}", f"{k}", i, v) for n, pick in enumerate(itertools.product(rated, repeat=4)) for k, u in enumerate(pick) for i, v in enumerate(rated[u])], "criterion string, unit string, rater long, value double")
+    alphas = [r.alpha for r in reliability.alpha(every, metric).collect()]
+    defined = sorted(round(a, 9) for a in alphas if a is not None)
+    share = 1 - len(defined) / 256
+    ratings = spark.createDataFrame(rows, "criterion string, unit long, rater long, value double")
+    for units in (2048, 1):
+        monkeypatch.setattr(resampling, "RANGE_UNITS", units)
+        sums = resampling.resample_sums(ratings, 3000).where("a is null").first().sums
+        assert set(sums) == {4.0} and len(sums) == 3000
+        got = resampling.resample_alpha(ratings, metric, 3000, 0.7).first()
+        assert got.n_defined + got.n_undefined == 3000 and abs(got.n_undefined / 3000 - share) < 4 * math.sqrt(share * (1 - share) / 3000) + 1e-12
+        for end, tail in ((got.low, 0.15), (got.high, 0.85)):
+            below, upto = (sum(1 for a in defined if c(a)) / len(defined) for c in (lambda a: a < end - 1e-6, lambda a: a <= end + 1e-6))
+            assert below - 0.03 <= tail <= upto + 0.03
