@@ -155,15 +155,72 @@ def sme_hours(everything: DataFrame) -> DataFrame:
 
 
 def all_metrics(tasks: DataFrame, everything: DataFrame, calibrated: DataFrame, alphas: DataFrame, attacks: DataFrame) -> DataFrame:
-    """The seven headline figures with their place."""
-    parts = [headline(everything), gold_band(calibrated), alpha_share(alphas), redteam_catch(attacks), coverage_fill(tasks), silent_share(tasks), sme_hours(everything)]
-    out = None
-    for k, part in enumerate(parts, 1):
-        part = part.withColumn("ord", F.lit(k))
-        out = part if out is None else out.unionByName(part)
+    """The seven headline figures with their place; everything, the universe of tasks, is read once for four of them."""
+    bank = F.coalesce("has_task", F.lit(False))
+    done = accepted(F.col("verdict"), F.col("executed"))
+    hours = F.when(done, F.col("sme_minutes") / 60)
+    known = F.when(bank, cell_id(F.col("tier"), F.col("domain")).isNotNull())  # an unknown tier or domain is an error
+    by_cell = everything.groupBy("tier", "domain").agg(F.count_if(known).alias("n"), F.count("*").alias("rows"), F.count_if(done).alias("done"), F.sum(hours).alias("hours"), F.count(hours).alias("timed"))
+    silent = F.substring("tier", 2, 1).cast("int") >= SILENT_FROM
+    one = by_cell.agg(F.sum("rows").alias("rows"), F.sum("done").alias("done"), F.count_if(F.col("n") >= TARGET_PER_CELL).alias("full"), F.sum("n").alias("n"), F.sum(F.when(silent, F.col("n")).otherwise(0)).alias("silent"), F.sum("hours").alias("hours"), F.sum("timed").alias("timed"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    figures = [("headline", 1, zero("done"), zero("rows")), ("coverage_fill", 5, F.col("full"), F.lit(len(TIERS) * len(DOMAINS))), ("silent_share", 6, zero("silent"), zero("n")), ("sme_hours", 7, zero("hours"), zero("timed"))]
+    out = one.select(F.inline(F.array(*[_figure(*f) for f in figures])))
+    for k, part in ((2, gold_band(calibrated)), (3, alpha_share(alphas)), (4, redteam_catch(attacks))):
+        out = out.unionByName(part.withColumn("ord", F.lit(k)))
     return out
 
 
+def _figure(name: str, ord: int, numerator: Column, denominator: Column) -> Column:
+    """A metric and its place as a struct."""
+    value = F.try_divide(numerator.cast("double"), denominator.cast("double"))
+    met = value <= TARGETS[name] if name == "sme_hours" else value >= TARGETS[name]
+    return F.struct(F.lit(name).alias("metric"), F.round(value, 9).alias("value"), F.round(numerator.cast("double"), 6).alias("numerator"), denominator.cast("long").alias("denominator"), F.lit(TARGETS[name]).alias("target"), met.alias("met"), F.lit(ord).alias("ord"))
+
+
+# What expert time is called, with its share of an hour.
+SME_NESTED = {"hours": 1.0, "minutes": 1 / 60, "seconds": 1 / 3600}
+SME_KEYS = {"sme_hours": 1.0, "sme_hours_total": 1.0, "sme_minutes": 1 / 60, "sme_seconds": 1 / 3600}
+
+
+def provenance_hours(provenance: Column) -> Column:
+    """Expert hours of a provenance (JSON text): {"sme": {"hours": ...}} first, then the longer names at the top, then those within sme.
+
+    Numbers only: a text or a truth value is no time. Null where nothing is recorded, which isn't zero.
+    """
+    whole = F.try_parse_json(provenance)
+
+    def number(path: str) -> Column:
+        at = F.try_variant_get(whole, path, "variant")
+        return F.when(F.schema_of_variant(at).rlike("^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)"), F.try_variant_get(whole, path, "double"))
+
+    found = [number(f"$.sme.{k}") * share for k, share in SME_NESTED.items()]
+    return F.coalesce(*found, *[number(f"{at}.{k}") * share for at in ("$", "$.sme") for k, share in SME_KEYS.items()])
+
+
+def redteam_payloads(payloads: DataFrame) -> DataFrame:
+    """payloads(payload, a JSON text) with n_caught, n_attacks and uncaught, the ids of what wasn't, and catch_rate (null over nothing).
+
+    {"attacks": [{"id", "caught"}]}, where without caught a catcher or caught_by counts; or the counts alone, as n_caught and n_attacks or
+    caught and total, with uncaught. Anything else counts nothing.
+    """
+    attack = "struct<id: string, caught: boolean, catcher: string, caught_by: string>"
+    read = F.from_json("payload", f"struct<attacks: array<{attack}>, n_attacks: double, total: double, n_caught: double, caught: double, uncaught: array<string>>")
+    hit = lambda a: F.coalesce(a["caught"], F.coalesce(F.when(a["catcher"] != "", True), F.when(a["caught_by"] != "", True), F.lit(False)))
+    listed = F.filter("r.attacks", lambda a: a.isNotNull())
+    names = F.transform("r.attacks", lambda a, k: F.struct(F.coalesce(F.when(a["id"] != "", a["id"]), F.concat(F.lit("attack_"), k.cast("string"))).alias("id"), (a.isNotNull() & ~hit(a)).alias("open")))
+    total, caught = F.coalesce("r.n_attacks", "r.total"), F.coalesce("r.n_caught", "r.caught")
+    counted = total.isNotNull() & caught.isNotNull()
+    pick = lambda a, b, none: F.when(F.col("r.attacks").isNotNull(), a).when(counted, b).otherwise(none)
+    rows = payloads.withColumn("r", read)
+    out = rows.withColumns({
+        "n_caught": pick(F.size(F.filter(listed, hit)).cast("long"), caught.cast("long"), F.lit(0)),
+        "n_attacks": pick(F.size(listed).cast("long"), total.cast("long"), F.lit(0)),
+        "uncaught": pick(F.transform(F.filter(names, lambda a: a["open"]), lambda a: a["id"]), F.coalesce("r.uncaught", F.array().cast("array<string>")), F.array().cast("array<string>")),
+    })
+    return out.withColumn("catch_rate", F.when(F.col("n_attacks") > 0, F.col("n_caught") / F.col("n_attacks"))).drop("r")
+
+
 def skip_breakdown(results: DataFrame, kinds: Iterable[str] = ("SKIP", "ERROR", "FAIL"), sample: int = 5) -> DataFrame:
     """(oracle, verdict, reason, n, first_tasks) by falling n; first_tasks: the lowest task ids, comma-joined.
 

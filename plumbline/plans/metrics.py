@@ -28,6 +28,25 @@ def _attacks(spark, d):
     return t.select(k.alias("id"), F.when(k % 4 != 0, k % 7 != 2).alias("caught"), F.when(k % 3 == 0, F.lit("O3/static")).alias("catcher"))
 
 
+def _provenance(s, d):
+    """Each document's provenance: expert time under one of nine names, as a number, a text or not at all."""
+    n, k = F.col("n_chars").cast("string"), F.col("doc_id") % 9
+    text = F.concat
+    forms = [text(F.lit('{"sme": {"hours": '), n, F.lit("}}")), text(F.lit('{"sme_minutes": '), n, F.lit("}")), text(F.lit('{"sme": {"sme_seconds": '), n, F.lit("}}")), text(F.lit('{"sme_hours_total": '), n, F.lit(".5, \"sme_minutes\": 1}")), text(F.lit('{"sme": {"minutes": '), n, F.lit('}, "sme_hours": 7}')), text(F.lit('{"sme_hours": "'), n, F.lit('", "sme_seconds": 36}')), F.lit('{"sme_hours": true}'), F.lit('{"by": "hand"}'), F.lit("[1")]
+    chosen = F.coalesce(*[F.when(k == i, form) for i, form in enumerate(forms)])
+    return B.table(s, d, "documents").select(F.col("doc_id").alias("task_id"), chosen.alias("provenance"))
+
+
+def _payloads(s, d):
+    """A red-team report for each supplier, in one of the two shapes or in none."""
+    k = F.col("s_suppkey")
+    one = lambda i: F.struct(F.concat(F.lit("a"), F.lit(str(i))).alias("id"), F.when(k % 3 == i, k % 2 == 0).alias("caught"), F.when((k + i) % 4 == 0, "O1").alias("catcher"))
+    listed = F.to_json(F.struct(F.array(*[one(i) for i in range(3)]).alias("attacks")))
+    counted = F.to_json(F.struct((k % 7).alias("n_caught"), (k % 7 + k % 3).alias("n_attacks"), F.array(F.concat(F.lit("u"), k.cast("string"))).alias("uncaught")))
+    short = F.to_json(F.struct((k % 2).alias("caught"), F.lit(4).alias("total")))
+    return B.table(s, d, "supplier").select(k.alias("id"), F.when(k % 5 < 2, listed).when(k % 5 == 2, counted).when(k % 5 == 3, short).otherwise("[]").alias("payload"))
+
+
 _CALIBRATED = "SELECT item AS task_id, CASE WHEN item % 9 <> 0 THEN c / n END AS pass_at_1 FROM attempts"
 _ALPHAS = "SELECT n_name AS criterion, CASE n_nationkey % 6 WHEN 5 THEN 'nan'::DOUBLE WHEN 4 THEN NULL ELSE n_nationkey * 7 % 25 / 24e0 END AS alpha FROM nation"
 _ATTACKS = "SELECT s_suppkey AS id, CASE WHEN s_suppkey % 4 <> 0 THEN s_suppkey % 7 <> 2 END AS caught, CASE WHEN s_suppkey % 3 = 0 THEN 'O3/static' END AS catcher FROM supplier"
@@ -76,6 +95,8 @@ QUERIES = {
     "a08_coverage_fill": lambda s, d: M.coverage_fill(B.tasks(s, d)),
     "a09_silent_share": lambda s, d: M.silent_share(B.tasks(s, d)),
     "a10_sme_hours": lambda s, d: M.sme_hours(_universe(s, d)),
+    "a07_redteam_payloads": lambda s, d: M.redteam_payloads(_payloads(s, d)).select("id", "n_caught", "n_attacks", F.array_join("uncaught", ",").alias("uncaught"), F.round("catch_rate", 9).alias("catch_rate")),
+    "a10_provenance_hours": lambda s, d: _provenance(s, d).select("task_id", F.round(M.provenance_hours(F.col("provenance")), 9).alias("hours")),
     "a11_all_metrics": lambda s, d: M.all_metrics(B.tasks(s, d), _universe(s, d), _calibrated(s, d), _alphas(s, d), _attacks(s, d)),
     "a12_skip_breakdown": lambda s, d: M.skip_breakdown(B.oracle_results(s, d)),
     "a13_cell_counts": lambda s, d: M.cell_counts(B.tasks(s, d)),
@@ -116,6 +137,11 @@ ORACLE_SQL = {
     "a08_coverage_fill": B.sql("tasks", _M["coverage"]),
     "a09_silent_share": B.sql("tasks", _M["silent"]),
     "a10_sme_hours": B.sql("universe", _M["sme"]),
+    "a07_redteam_payloads": """WITH each AS (SELECT s_suppkey AS k, i, coalesce(CASE WHEN s_suppkey % 3 = i THEN s_suppkey % 2 = 0 END, (s_suppkey + i) % 4 = 0) AS hit FROM supplier, (SELECT unnest(range(0, 3)) AS i)),
+        listed AS (SELECT k, count(*) FILTER (hit) AS c, count(*) AS n, coalesce(string_agg('a' || i, ',' ORDER BY i) FILTER (NOT hit), '') AS open FROM each GROUP BY k),
+        rows AS (SELECT k, CASE WHEN k % 5 < 2 THEN c WHEN k % 5 = 2 THEN k % 7 WHEN k % 5 = 3 THEN k % 2 ELSE 0 END AS c, CASE WHEN k % 5 < 2 THEN n WHEN k % 5 = 2 THEN k % 7 + k % 3 WHEN k % 5 = 3 THEN 4 ELSE 0 END AS n, CASE WHEN k % 5 < 2 THEN open WHEN k % 5 = 2 THEN 'u' || k ELSE '' END AS open FROM listed)
+        SELECT k AS id, CAST(c AS BIGINT) AS n_caught, CAST(n AS BIGINT) AS n_attacks, open AS uncaught, CASE WHEN n > 0 THEN round(c / n, 9) END AS catch_rate FROM rows""",
+    "a10_provenance_hours": "SELECT doc_id AS task_id, round(CASE doc_id % 9 WHEN 0 THEN n_chars * 1e0 WHEN 1 THEN n_chars / 60 WHEN 2 THEN n_chars / 3600 WHEN 3 THEN n_chars + 5e-1 WHEN 4 THEN n_chars / 60 WHEN 5 THEN 1e-2 END, 9) AS hours FROM documents",
     "a11_all_metrics": B.sql("universe attempts", " UNION ALL ".join(f"SELECT *, {k} AS ord FROM ({q})" for k, q in enumerate(_M.values(), 1))),
     "a12_skip_breakdown": B.sql("oracle_results", _SKIPS.format(", array_to_string(list_sort(list(task_id))[1:5], ',') AS first_tasks", "'SKIP', 'ERROR', 'FAIL'")),
     "a13_cell_counts": B.sql("tasks", "SELECT tier, domain, count(*) AS n FROM tasks GROUP BY tier, domain"),

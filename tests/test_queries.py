@@ -8,7 +8,7 @@ from statistics import median
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import calibration, reliability, resampling, rubrics
+from plumbline.operators import calibration, metrics, reliability, resampling, rubrics
 from plumbline.plans import registry
 
 
@@ -117,3 +117,17 @@ def test_resampled_alpha_against_all_resamples(spark, monkeypatch, metric):
         for end, tail in ((got.low, 0.15), (got.high, 0.85)):
             below, upto = (sum(1 for a in defined if c(a)) / len(defined) for c in (lambda a: a < end - 1e-6, lambda a: a <= end + 1e-6))
             assert below - 0.03 <= tail <= upto + 0.03
+
+
+def test_payloads_worked_by_hand(spark):
+    said = ['{"attacks": [{"id": "x", "caught": true}, {"catcher": "O1"}, {"id": "z", "caught_by": ""}, {}, null]}', '{"n_caught": 3, "n_attacks": 4, "uncaught": ["q"]}', '{"caught": 1, "total": 2}', '{"attacks": []}', "3", None, '{"total": 5}']
+    rows = metrics.redteam_payloads(spark.createDataFrame(list(enumerate(said)), "k long, payload string")).orderBy("k").collect()
+    assert [(r.n_caught, r.n_attacks, r.uncaught, r.catch_rate) for r in rows] == [(2, 4, ["z", "attack_3"], 0.5), (3, 4, ["q"], 0.75), (1, 2, [], 0.5), (0, 0, [], None), (0, 0, [], None), (0, 0, [], None), (0, 0, [], None)]
+    times = {'{"sme": {"hours": 1.5, "minutes": 9}, "sme_hours": 4}': 1.5, '{"sme": {"hours": "1"}, "sme_hours": 4}': 4.0, '{"sme_hours": null, "sme_seconds": 7200}': 2.0, '{"sme": 3}': None, '{"sme": {"sme_minutes": 30}}': 0.5, "": None, '{"sme_hours": false}': None}
+    for r in spark.createDataFrame([(k,) for k in times], "p string").select("p", metrics.provenance_hours(F.col("p")).alias("h")).collect():
+        assert r.h == (None if times[r.p] is None else pytest.approx(times[r.p]))
+
+
+def test_headline_figures_read_the_universe_once(spark, sf_dir):
+    plan = registry.QUERIES["a11_all_metrics"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("documents.parquet") == plan.count("nation.parquet") == 1
