@@ -120,9 +120,9 @@ def scan(rows: DataFrame, group: list[str], order: list[str], run: Scan, results
 
 def numbered(rows: DataFrame, order: list, name: str) -> DataFrame:
     """rows with their place, from 1, in order (of columns): places within range partitions, moved on by the counts of those before."""
-    laid = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({_PART: F.spark_partition_id(), "_nth": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}))
+    laid = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({_PART: F.spark_partition_id(), "_within": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}))
     counts = {r[_PART]: r["n"] for r in laid.groupBy(_PART).agg(F.count("*").alias("n")).collect()}  # a row for each partition
     parts = sorted(counts)
     before = np.cumsum([0, *(counts[p] for p in parts)])[:-1].tolist()
     offsets = laid.sparkSession.createDataFrame(list(zip(parts, before, strict=True)), f"{_PART} int, _before long")
-    return laid.join(F.broadcast(offsets), _PART).withColumn(name, F.col("_before") + F.col("_nth") + 1).drop(_PART, "_before", "_nth")
+    return laid.join(F.broadcast(offsets), _PART).withColumn(name, F.col("_before") + F.col("_within") + 1).drop(_PART, "_before", "_within")

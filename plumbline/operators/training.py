@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from plumbline.sources import versions
+from plumbline.tables import cut
+
 FP32_EPS = 2.0**-23
 
 
@@ -38,9 +41,9 @@ def sgd_step(x: DataFrame, y: DataFrame, w: DataFrame, rate: float, max_norm: fl
 
 
 def train(x: DataFrame, y: DataFrame, w: DataFrame, steps: int, rate: float = 0.1, max_norm: float = 1.0) -> DataFrame:
-    """w after some steps; each is cut off with checkpoint(), so plans don't grow. The session needs a checkpoint folder."""
+    """w after some steps; each is a table of its own, so plans don't grow."""
     for _ in range(steps):
-        w = sgd_step(x, y, w, rate, max_norm).checkpoint()
+        w = cut(sgd_step(x, y, w, rate, max_norm))
     return w
 
 
@@ -55,10 +58,36 @@ def adam_step(state: DataFrame, g: DataFrame, step: int, rate: float = 1e-3, bet
 def adam(state: DataFrame, grad: Callable[[DataFrame], DataFrame], first: int, last: int, **rates: float) -> DataFrame:
     """Steps first .. last (from 1); grad makes (name, idx, g) from the state."""
     for step in range(first, last + 1):
-        state = adam_step(state, grad(state), step, **rates).checkpoint()
+        state = cut(adam_step(state, grad(state), step, **rates))
     return state
 
 
+def resumable(path: str, start: DataFrame, step: Callable[[DataFrame, int], DataFrame], last: int) -> DataFrame:
+    """The state after step last, from whatever step was reached at path before, or from start.
+
+    Each state is published there as a version with its step's number, start as 0: a run that ends anywhere, in the middle
+    of a step too, goes on from the last whole one, and a second call changes nothing. step(state, number) makes a state from the one before.
+    What was reached beyond last isn't undone: it is an error.
+    """
+    spark = start.sparkSession
+    known = versions.versions(spark, path)
+    if not known:
+        known = [versions.publish(start, path, before=[])]
+    if known[-1]["number"] > last:
+        raise ValueError(f"{path} has reached step {known[-1]['number']}, beyond {last}")
+    for number in range(known[-1]["number"] + 1, last + 1):
+        versions.publish(step(versions.current(spark, path), number), path, before=versions.versions(spark, path))
+    return versions.current(spark, path)
+
+
+def reshard_saved(path: str, ranks: int) -> DataFrame:
+    """The sharded state saved at path, dealt to other ranks, as a version of the same step."""
+    spark = SparkSession.getActiveSession()
+    known = versions.versions(spark, path)
+    versions.publish(reshard(versions.current(spark, path), ranks), path, before=known, number=known[-1]["number"])
+    return versions.current(spark, path)
+
+
 def shard(params: DataFrame, ranks: int) -> DataFrame:
     """params(name, idx, ...) with rank and offset: contiguous shards of equal size (the last may be short)."""
     size = params.groupBy("name").agg(F.max("idx").alias("top"))

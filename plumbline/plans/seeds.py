@@ -51,8 +51,8 @@ def _queue(s, d):
     return p.select("id", S.prefetch_queue(n, depth, prod, cons).alias("q")).select("id", "q.*")
 
 
-def _n(s, d):
-    return B.table(s, d, "documents").count()
+def _dealt(s, d, *how, **more):
+    return S.deal(B.table(s, d, "documents").select("doc_id"), ["doc_id"], *how, **more)
 
 
 def _sharded(s, d):
@@ -108,15 +108,17 @@ QUERIES = {
     "n05_cache_misses": lambda s, d: S.cache_misses(S.autotune(B.problems(s, d))),
     "f16_power_of_two": lambda s, d: B.problems(s, d).select("id", S.power_of_two(F.col("m")).alias("bucket")),
     "f17_tile_cost": lambda s, d: B.problems(s, d).select("id", F.round(S.tile_cost(F.col("m"), F.col("n"), F.col("k"), F.lit(32), F.lit(64), F.lit(32)), 6).alias("cost")),
-    "n06_batch_stream": lambda s, d: S.batch_stream(s, _n(s, d), 3, 8, seed=17, epochs=2),
-    "n06_batch_stream_drop": lambda s, d: S.batch_stream(s, _n(s, d), 6, 8, seed=5, drop_last=True),
-    "a32_multiplicities": lambda s, d: S.multiplicities(s, S.batch_stream(s, _n(s, d), 7, 8, seed=17), _n(s, d)),
+    "n06_batch_stream": lambda s, d: _dealt(s, d, 3, 8, seed=17, epochs=2),
+    "n06_batch_stream_drop": lambda s, d: _dealt(s, d, 6, 8, seed=5, drop_last=True),
+    "a32_multiplicities": lambda s, d: B.table(s, d, "documents").select("doc_id").join(_dealt(s, d, 7, 8, seed=17).groupBy("doc_id").agg(F.count("*").alias("times")), "doc_id", "left").select("doc_id", F.coalesce("times", F.lit(0)).alias("times")),
     "w12_prefetch_queue": lambda s, d: _queue(s, d),
     "w13_shard_offsets": lambda s, d: S.shard_offsets(B.table(s, d, "nation").groupBy(F.col("n_regionkey").alias("rank")).agg(F.count("*").alias("n"))),
     "a33_all_reduce": lambda s, d: _R(S.all_reduce(_sharded(s, d).groupBy("rank", "key").agg(F.sum("v").alias("v")), 4), "total"),
     "a34_global_norm": lambda s, d: _R(S.global_norm(_sharded(s, d)), "norm"),
     "a35_global_mean": lambda s, d: _R(S.global_mean(_sharded(s, d)), "mean", to=4),
     "n07_sgd_step": lambda s, d: _R(T.sgd_step(_x(s, d), _y(s, d), _w0(s, d), 0.5, 0.05), "w", to=8),
+    "n07_sgd_steps": lambda s, d: _R(T.train(_x(s, d), _y(s, d), _w0(s, d), 4, 0.5, 0.05), "w", to=7),
+    "n08_adam_steps": lambda s, d: _R(T.adam(_params(s, d).withColumns({"m": F.lit(0.0), "v": F.lit(0.0)}), lambda now: now.select("name", "idx", (F.col("w") / 98765.4321 - 1).alias("g")), 1, 5, rate=0.1), "w", "m", "v"),
     "n07_loss": lambda s, d: _R(T.loss(_x(s, d), _y(s, d), _w0(s, d)), "loss", to=8),
     "n08_reshard": lambda s, d: T.reshard(T.shard(_params(s, d), 4), 3).select("name", "rank", "offset", "w"),
     "n08_adam_step": lambda s, d: _R(T.adam_step(_params(s, d).withColumns({"m": F.lit(0.5), "v": F.lit(0.25)}), _params(s, d).select("name", "idx", (F.col("w") / 98765.4321).alias("g")), 3, rate=0.1), "w", "m", "v"),
@@ -161,7 +163,7 @@ def _stream(world, batch, seed, epochs=1, drop=False):
     return f"""size AS (SELECT count(*) AS n FROM documents),
  steps AS (SELECT * FROM (VALUES {_STEPS}) t(k, step)),
  rules AS (SELECT n, e AS epoch, (SELECT arg_min(step, (k - ({seed} + e) % 8 + 8) % 8) FROM steps WHERE n % step <> 0) AS a, CAST('0x' || substr(md5('{seed}:' || e), 1, 12) AS BIGINT) % n AS b FROM size, (SELECT unnest(range(0, {epochs})) AS e)),
- stream AS (SELECT epoch, p % {world} AS rank, p // {world} // {batch} AS batch, p // {world} % {batch} AS pos, (a * (p % n) + b) % n AS sample FROM (SELECT *, unnest(range(0, {per} * {world})) AS p FROM rules) {f'WHERE p // {world} // {batch} < {per} // {batch}' if drop else ''})"""
+ stream AS (SELECT epoch, p % {world} AS rank, p // {world} // {batch} AS batch, p // {world} % {batch} AS pos, (a * (p % n) + b) % n AS sample, doc_id FROM (SELECT *, unnest(range(0, {per} * {world})) AS p FROM rules) JOIN (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS nth FROM documents) ON nth = (a * (p % n) + b) % n {f'WHERE p // {world} // {batch} < {per} // {batch}' if drop else ''})"""
 
 
 _QUEUE = """WITH RECURSIVE p AS (SELECT id, m % 12 AS nb, k % 4 AS depth, n % 5 + 1 AS prod, m % 4 + 1 AS cons FROM problems),
@@ -174,6 +176,26 @@ _STEP = f"""{_VEC}, w AS (SELECT k, c, ((k * 7 + c * 3) % 11 - 5) / 50e0 AS w FR
  z AS (SELECT i, label, c, sum(v * w) AS z FROM x JOIN w USING (k) GROUP BY 1, 2, 3),
  p AS (SELECT i, label, c, z, ln(sum(exp(z)) OVER (PARTITION BY i)) AS lse, exp(z) / sum(exp(z)) OVER (PARTITION BY i) - (c = label)::INT AS r FROM z),
  g AS (SELECT k, c, sum(v * r) / (SELECT count(*) FROM embeddings) AS g FROM x JOIN p ON x.i = p.i GROUP BY 1, 2)"""
+def _sgd_sql(steps):
+    """_STEP's chain for each step, each from the weights of the one before."""
+    first, chain = _STEP.split(" z AS (", 1)
+    chain, out = " z AS (" + chain, [first.rstrip().rstrip(",").replace(", w AS (", ", w0 AS (")]
+    for k in range(steps):
+        own = chain
+        for name in ("z", "p", "g"):
+            own = own.replace(f" {name} AS (", f" {name}{k} AS (").replace(f"FROM {name})", f"FROM {name}{k})").replace(f"JOIN {name} ON", f"JOIN {name}{k} AS {name} ON")
+        own = own.replace("JOIN w USING", f"JOIN w{k} AS w USING")
+        out += [own, f" w{k + 1} AS (SELECT w.k, w.c, w.w - 5e-1 * least(1e0, 5e-2 / (SELECT sqrt(sum(g * g)) FROM g{k})) * g.g AS w FROM w{k} AS w JOIN g{k} AS g ON w.k = g.k AND w.c = g.c)"]
+    return ",\n".join(out)
+
+
+def _adam_sql(steps):
+    out = [_PARAMS, "s0 AS (SELECT name, idx, w, 0e0 AS m, 0e0 AS v FROM par)"]
+    for k in range(1, steps + 1):
+        out += [f"g{k} AS (SELECT name, idx, w, m, v, w / 98765.4321::DOUBLE - 1 AS g FROM s{k - 1})", f"n{k} AS (SELECT name, idx, w, 9e-1 * m + (1 - 9e-1) * g AS m, 999e-3 * v + (1 - 999e-3) * g * g AS v FROM g{k})", f"s{k} AS (SELECT name, idx, w - 1e-1 * (m / (1 - pow(9e-1, {k}))) / (sqrt(v / (1 - pow(999e-3, {k}))) + 1e-8) AS w, m, v FROM n{k})"]
+    return ",\n".join(out)
+
+
 _PARAMS = "par AS (SELECT o_orderpriority AS name, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1 AS idx, o_totalprice AS w, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders)"
 
 
@@ -223,15 +245,17 @@ ORACLE_SQL = {
     "n05_cache_misses": B.sql("problems", f"WITH {_TUNED} SELECT count(*) AS n, count(DISTINCT (cm, cn, ck)) AS misses FROM tuned"),
     "f16_power_of_two": B.sql("problems", f"SELECT id, {_BUCKET.format('m')} AS bucket FROM problems"),
     "f17_tile_cost": B.sql("problems", f"SELECT id, round({_cost('m', 'n', 'k', 32, 64, 32)}, 6) AS cost FROM problems"),
-    "n06_batch_stream": f"WITH {_stream(3, 8, 17, 2)} SELECT * FROM stream",
-    "n06_batch_stream_drop": f"WITH {_stream(6, 8, 5, drop=True)} SELECT * FROM stream",
-    "a32_multiplicities": f"WITH {_stream(7, 8, 17)} SELECT s AS sample, count(sample) AS times FROM (SELECT unnest(range(0, n)) AS s FROM size) LEFT JOIN stream ON s = sample GROUP BY 1",
+    "n06_batch_stream": f"WITH {_stream(3, 8, 17, 2)} SELECT epoch, rank, batch, pos, doc_id FROM stream",
+    "n06_batch_stream_drop": f"WITH {_stream(6, 8, 5, drop=True)} SELECT epoch, rank, batch, pos, doc_id FROM stream",
+    "a32_multiplicities": f"WITH {_stream(7, 8, 17)} SELECT d.doc_id, count(stream.doc_id) AS times FROM documents d LEFT JOIN stream ON d.doc_id = stream.doc_id GROUP BY 1",
     "w12_prefetch_queue": B.sql("problems", _QUEUE).replace("WITH problems", "WITH RECURSIVE problems", 1).replace("RECURSIVE p AS", "p AS"),
     "w13_shard_offsets": "SELECT rank, n, CAST(coalesce(sum(n) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM (SELECT n_regionkey AS rank, count(*) AS n FROM nation GROUP BY 1)",
     "a33_all_reduce": f"WITH {_SHARDED} SELECT key, round(sum(v), 6) + 0e0 AS total FROM sh GROUP BY 1",
     "a34_global_norm": f"WITH {_SHARDED} SELECT round(sqrt(sum(v * v)), 6) + 0e0 AS norm FROM sh",
     "a35_global_mean": f"WITH {_SHARDED} SELECT round(avg(v), 4) + 0e0 AS mean FROM sh",
     "n07_sgd_step": f"WITH {_STEP} SELECT CAST(w.k AS INT) AS k, CAST(w.c AS INT) AS c, round(w.w - 5e-1 * least(1e0, 5e-2 / (SELECT sqrt(sum(g * g)) FROM g)) * g.g, 8) + 0e0 AS w FROM w JOIN g ON w.k = g.k AND w.c = g.c",
+    "n07_sgd_steps": f"WITH {_sgd_sql(4)} SELECT CAST(k AS INT) AS k, CAST(c AS INT) AS c, round(w, 7) + 0e0 AS w FROM w4",
+    "n08_adam_steps": f"WITH {_adam_sql(5)} SELECT name, idx, round(w, 6) + 0e0 AS w, round(m, 6) + 0e0 AS m, round(v, 6) + 0e0 AS v FROM s5",
     "n07_loss": f"WITH {_STEP} SELECT round(avg(lse - z), 8) + 0e0 AS loss FROM p WHERE c = label",
     "n08_reshard": f"WITH {_PARAMS} SELECT name, idx // ((n + 2) // 3) AS rank, idx % ((n + 2) // 3) AS \"offset\", w FROM par",
     "n08_adam_step": f"WITH {_PARAMS}, mv AS (SELECT name, idx, w, 9e-1 * 5e-1 + (1 - 9e-1) * (w / 98765.4321::DOUBLE) AS m, 999e-3 * 25e-2 + (1 - 999e-3) * (w / 98765.4321::DOUBLE) * (w / 98765.4321::DOUBLE) AS v FROM par) SELECT name, idx, round(w - 1e-1 * (m / (1 - pow(9e-1, 3))) / (sqrt(v / (1 - pow(999e-3, 3))) + 1e-8), 6) + 0e0 AS w, round(m, 6) + 0e0 AS m, round(v, 6) + 0e0 AS v FROM mv",

@@ -57,11 +57,15 @@ def _moved(spark: SparkSession, path: str, before: list[dict], new: dict) -> Non
         store.delete(places(f"{path}/{old['folder']}"), True)
 
 
-def publish(table: DataFrame, path: str, format: str = "parquet", before: list[dict] | None = None) -> dict:
-    """Writes table as the new version of path. before: the versions that it was made from; if others are there now, ChangedMeanwhile."""
+def publish(table: DataFrame, path: str, format: str = "parquet", before: list[dict] | None = None, number: int | None = None) -> dict:
+    """Writes table as the new version of path, numbered one on unless it has a number of its own.
+
+    before: the versions that it was made from; if others are there now, ChangedMeanwhile.
+    """
     spark = table.sparkSession
     before = versions(spark, path) if before is None else before
-    new = {"folder": f"version-{len(before) and before[-1]['number'] + 1}-{uuid.uuid4().hex[:8]}", "number": before[-1]["number"] + 1 if before else 0, "format": format, "schema": table.schema.json()}
+    number = (before[-1]["number"] + 1 if before else 0) if number is None else number
+    new = {"folder": f"version-{number}-{uuid.uuid4().hex[:8]}", "number": number, "format": format, "schema": table.schema.json()}
     try:
         table.write.format(format).mode("errorifexists").save(f"{path}/{new['folder']}")
         _moved(spark, path, before, new)
