@@ -107,9 +107,12 @@ def _words(text) -> Column:
 
 
 def _grams(words, n: int) -> Column:
-    """Runs of n words of a word array."""
-    at = F.sequence(F.lit(0), F.size(words) - n)
-    return F.when(F.size(words) < n, F.array().cast("array<string>")).otherwise(F.transform(at, lambda k: F.array_join(F.slice(words, k + 1, n), " ")))
+    """Runs of n words of a word array, from n arrays shifted against each other: within a lambda over places, Spark would make the words anew for each."""
+    many = F.greatest(F.size(words) - (n - 1), F.lit(0))
+    out = F.slice(words, 1, many)
+    for k in range(1, n):
+        out = F.zip_with(out, F.slice(words, k + 1, many), lambda a, b: F.concat(a, F.lit(" "), b))
+    return out
 
 
 def _compared(words) -> Column:
