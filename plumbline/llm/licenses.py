@@ -133,10 +133,15 @@ def _unwrapped(text) -> Column:
     return F.regexp_replace(lines, "\n(?<=[^\n]{39}[^\n.!?:;]\n)(?=[^\n])", " ")
 
 
+def _worded(rows: DataFrame, *columns: str) -> DataFrame:
+    """columns and words of rows(paragraph, ...) with a word. The words come out of a generator: as a projection Spark would make them anew wherever a condition names them."""
+    return rows.select(*columns, F.explode(F.array(_words(F.col("paragraph")))).alias("words")).where(F.size("words") > 0)
+
+
 def paragraphs(docs: DataFrame) -> DataFrame:
     """(doc_id, key, words) of every paragraph with a word of docs(doc_id, text); key: hash of the text."""
     each = docs.select("doc_id", F.xxhash64("text").alias("key"), F.explode(F.split(_unwrapped(F.col("text")), "\n+")).alias("paragraph"))
-    return each.select("doc_id", "key", _words(F.col("paragraph")).alias("words")).where(F.size("words") > 0)
+    return _worded(each, "doc_id", "key")
 
 
 def templates(spark: SparkSession) -> DataFrame:
@@ -164,7 +169,7 @@ def ordinary(docs: DataFrame, rows: int = ORDINARY_ROWS) -> DataFrame:
     """
     known = sorted({" ".join(w[k : k + 3]) for _, text in TEMPLATES for w in [re.findall("[a-z0-9]+", text.lower())] for k in range(max(1, len(w) - 2))})
     each = docs.select(F.explode(F.split(_unwrapped(F.col("text")), "\n+")).alias("paragraph"))
-    plain = each.select(_words(F.col("paragraph")).alias("words")).where(F.size("words") > 0).withColumn("at", F.xxhash64("words"))
+    plain = _worded(each).withColumn("at", F.xxhash64("words"))
     many = docs.agg(F.sum(F.size(F.split("text", "[\r\n]+")))).first()[0] or 0
     share = 4.0 * rows / max(many, 1)
     while True:
