@@ -23,11 +23,12 @@ ALIASES = {
 }
 
 
-def pass_at_k(n: Column, c: Column, k: Column) -> Column:
-    """1 - C(n - c, k) / C(n, k), as a product; k is clamped to n."""
+def pass_at_k(n: Column, c: Column, k: Column, clamp: bool = True) -> Column:
+    """1 - C(n - c, k) / C(n, k), as a product; k is clamped to n, or with clamp=False a k beyond n is an error."""
     draws = F.sequence(F.lit(0), F.least(k, n).cast("int") - 1)
     missed = F.aggregate(draws, F.lit(1.0), lambda a, i: a * (n - c - i) / (n - i))
-    return F.when(c <= 0, 0.0).when(n - c < F.least(k, n), 1.0).otherwise(1 - missed)
+    value = F.when(c <= 0, 0.0).when(n - c < F.least(k, n), 1.0).otherwise(1 - missed)
+    return value if clamp else F.when(k > n, F.raise_error(F.concat(F.lit("k is beyond n: "), k.cast("string"), F.lit(" > "), n.cast("string"))).cast("double")).otherwise(value)
 
 
 def pass_at_1(n: Column, c: Column) -> Column:

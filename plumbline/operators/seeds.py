@@ -73,6 +73,11 @@ def ceil_div(a: Column, b: Column) -> Column:
     return F.floor((a + b - 1) / b).cast("long")
 
 
+def stage_of(layer: Column, layers: Column, stages: Column) -> Column:
+    """The pipeline stage that owns a layer when layers are split into contiguous stages; a stage may own none."""
+    return F.floor(layer * stages / layers).cast("long")
+
+
 def tile_cost(m: Column, n: Column, k: Column, bm: Column, bn: Column, bk: Column) -> Column:
     """Modelled nanoseconds of an m n k product in tiles of bm bn bk."""
     tm, tn, tk = ceil_div(m, bm), ceil_div(n, bn), ceil_div(k, bk)

@@ -8,7 +8,7 @@ from statistics import median
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import calibration, metrics, reliability, resampling, rubrics
+from plumbline.operators import calibration, metrics, reliability, resampling, rubrics, seeds
 from plumbline.plans import registry
 
 
@@ -36,6 +36,20 @@ def test_pass_at_k(spark):
         assert r.p == pytest.approx(1 - math.comb(r.n - r.c, r.k) / math.comb(r.n, r.k), abs=1e-12)
 
 
+def test_pass_at_k_beyond_n(spark):
+    strict = calibration.pass_at_k(F.col("n"), F.col("c"), F.col("k"), clamp=False)
+    rows = lambda *r: spark.createDataFrame([r], "n long, c long, k long").select(strict).collect()[0][0]
+    assert rows(4, 1, 4) == 1.0 and rows(4, 1, 2) == pytest.approx(0.5)
+    with pytest.raises(Exception, match="k is beyond n: 5 > 4"):
+        rows(4, 1, 5)
+
+
+def test_stages(spark):
+    owners = lambda layers, stages: [r[0] for r in spark.range(layers).orderBy("id").select(seeds.stage_of(F.col("id"), F.lit(layers), F.lit(stages))).collect()]
+    assert owners(5, 2) == [0, 0, 0, 1, 1] and owners(4, 4) == [0, 1, 2, 3] and owners(2, 5) == [0, 2]
+    assert owners(49, 49) == list(range(49))
+
+
 def test_rules_worked_by_hand(spark):
     cells = [("T1", "checkpointing", "O1,O3,O4,O5"), ("T2", "data_pipeline", "O1,O3"), ("T4", "data_pipeline", "O1,O2,O3,O4"), ("T5", "cuda", "O1,O3,O4"), ("T6", "jax", "O1,O3,O4,O5"), ("T3", "distributed", "O1,O3,O5")]
     for r in spark.createDataFrame(cells, "tier string, domain string, wanted string").withColumn("got", F.array_join(rubrics.oracles_for(F.col("tier"), F.col("domain")), ",")).collect():
