@@ -1,6 +1,7 @@
 """Readers, their errors, and the way back."""
 
 import json
+import math
 
 import numpy as np
 import pytest
@@ -64,6 +65,20 @@ def test_ratings(spark):
     assert {r.path: r.error for r in rows if r.error} == {"c": "rows of unequal length", "d": "row 1, column 2 is not a number", "e": "no rows", "f": "a header but no ratings"}
 
 
+def test_ratings_of_many_small_files(spark):
+    """One pass over the texts, nothing shuffled, and far fewer Arrow batches than files."""
+    text = F.when(F.col("id") % 3 == 0, "who,first\n\nr1,7\nr2,NA\n").when(F.col("id") % 3 == 1, F.concat(F.lit("0x1p3, 1e2\nInfinity,-\n"), F.col("id").cast("string"), F.lit(",nan\n"))).otherwise("r1,2\nr2,3,4\n")
+    got = records.decode_ratings(spark.range(60_000).select(F.col("id").cast("string").alias("path"), text.alias("text")))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapIn") == 1 and "Exchange" not in plan
+    sums = {(r.error, r.rater, r.unit, r.name): (r.n, r.total) for r in got.groupBy("error", "rater", "unit", "name").agg(F.count("*").alias("n"), F.sum("value").alias("total")).collect()}
+    n = 20_000
+    assert sums == {
+        (None, 1, 1, "first"): (n, 7.0 * n), (None, 2, 1, "first"): (n, None), (None, 1, 1, None): (n, 8.0 * n), (None, 1, 2, None): (n, 100.0 * n),
+        (None, 2, 1, None): (n, math.inf), (None, 2, 2, None): (n, None), (None, 3, 1, None): (n, sum(range(1, 60_000, 3))), (None, 3, 2, None): (n, None), ("rows of unequal length", None, None, None): (n, None),
+    }
+
+
 def test_profiles(spark):
     log = '==PROF== x\n"Kernel Name","Metric Name","Metric Unit","Metric Value"\n"k1","dram","byte","1,200"\n"k2","dram","byte","800"\n"k2","dram","byte","n/a"\n"k1"\n'
     row = records.decode_profiles(spark.createDataFrame([("p", log), ("q", "nothing")], "path string, text string")).collect()
