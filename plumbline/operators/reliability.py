@@ -15,11 +15,14 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import sequences
 from plumbline.operators import scans
+from plumbline.tables import cut
 
 GATE_ALPHA = 0.67
 METRICS = ("nominal", "ordinal", "interval", "ratio")
 #: Cells of running counts that a task works on at a time.
 ALPHA_CELLS = 1 << 21
+#: Rows of a table of value pairs or criteria that is sent to every task.
+MAX_SENT = 200_000
 
 
 def usable(ratings: DataFrame) -> DataFrame:
@@ -87,23 +90,33 @@ def alpha(ratings: DataFrame, metric: str = "ordinal") -> DataFrame:
     return joined.select("criterion", F.coalesce("n", F.lit(0.0)).alias("n"), d_o.alias("d_o"), d_e.alias("d_e"), value.alias("alpha"), reason.alias("reason"))
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """df, a table of values or of criteria, computed once; sent to all tasks if it is small. A shuffle by value or criterion would bring most units into a few tasks."""
+    df = cut(df)
+    return F.broadcast(df) if df.limit(MAX_SENT + 1).count() <= MAX_SENT else df
+
+
 def disagreement(ratings: DataFrame, metric: str = "ordinal") -> DataFrame:
     """(criterion, unit, m, x): mean d2 over the unit's rating pairs, over the criterion's largest d2."""
     counts = unit_counts(ratings)
-    delta = differences(marginals(counts), metric)
-    top = delta.groupBy("criterion").agg(F.max("d2").alias("top"))
+    return _disagreement(counts, _few(differences(marginals(counts), metric)))
+
+
+def _disagreement(counts: DataFrame, delta: DataFrame) -> DataFrame:
+    top = _few(delta.groupBy("criterion").agg(F.max("d2").alias("top")))
     a = counts.select("criterion", "unit", "m", F.col("value").alias("c"), F.col("k").alias("na"))
     b = counts.select("criterion", "unit", F.col("value").alias("k"), F.col("k").alias("nb"))
-    pairs = a.join(b, ["criterion", "unit"]).join(delta.select("criterion", "c", "k", "d2"), ["criterion", "c", "k"]).join(top, "criterion")
+    met = a.join(b, ["criterion", "unit"]).join(delta.select("criterion", "c", "k", "d2"), ["criterion", "c", "k"])
     raw = F.sum(F.col("na") * F.col("nb") * F.col("d2")) / (F.first("m") * (F.first("m") - 1))
-    x = F.when(F.first("top") <= 0, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), raw / F.first("top"))))
-    return pairs.groupBy("criterion", "unit").agg(F.first("m").alias("m"), x.alias("x"))
+    each = met.groupBy("criterion", "unit").agg(F.first("m").alias("m"), raw.alias("raw")).join(top, "criterion")
+    x = F.when(F.col("top") <= 0, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("raw") / F.col("top"))))
+    return each.select("criterion", "unit", "m", x.alias("x"))
 
 
 def rater_pairs(ratings: DataFrame, metric: str = "ordinal") -> DataFrame:
     """(criterion, unit, rater_a, rater_b, d2), rater_a < rater_b, d2 > 0: the evidence. Quadratic in a unit's raters by nature."""
     rated = usable(ratings)
-    delta = differences(marginals(unit_counts(ratings)), metric)
+    delta = _few(differences(marginals(unit_counts(ratings)), metric))
     a = rated.select("criterion", "unit", F.col("rater").alias("rater_a"), F.col("value").alias("c"))
     b = rated.select("criterion", "unit", F.col("rater").alias("rater_b"), F.col("value").alias("k"))
     pairs = a.join(b, ["criterion", "unit"]).where("rater_a < rater_b and c != k")
@@ -296,15 +309,21 @@ def first_clearing(bounds: DataFrame, gate: float = GATE_ALPHA) -> DataFrame:
 
 def monitor(ratings: DataFrame, metric: str = "ordinal", kind: str = "eb") -> DataFrame:
     """(criterion, t, unit, x, lo, hi, failed, alpha_lo, alpha_hi): alpha bounds after each unit, for criteria with any expected disagreement."""
-    scale = _monitored(ratings, metric).where("d_e > 0 and top > 0").select("criterion", (F.col("top") / F.col("d_e")).alias("scale"))
-    x = disagreement(ratings, metric).join(scale, "criterion").select("criterion", "unit", "x", "scale")
-    return alpha_bounds(follow(x, kind, "unit"), F.col("scale")).drop("scale").withColumnRenamed("n", "t")
+    return _monitor(ratings, metric, kind)[1]
 
 
-def _monitored(ratings: DataFrame, metric: str) -> DataFrame:
-    """(criterion, units, top, d_e, equal_ratings, reason) of every criterion that was rated at all."""
+def _monitor(ratings: DataFrame, metric: str, kind: str) -> tuple[DataFrame, DataFrame]:
+    """What is monitored, by criterion, and monitor()."""
     counts = unit_counts(ratings)
-    delta = differences(marginals(counts), metric)
+    delta = _few(differences(marginals(counts), metric))
+    monitored = cut(_monitored(ratings, counts, delta))
+    scale = _few(monitored.where("d_e > 0 and top > 0").select("criterion", (F.col("top") / F.col("d_e")).alias("scale")))
+    x = _disagreement(counts, delta).join(scale, "criterion").select("criterion", "unit", "x", "scale")
+    return monitored, alpha_bounds(follow(x, kind, "unit"), F.col("scale")).drop("scale").withColumnRenamed("n", "t")
+
+
+def _monitored(ratings: DataFrame, counts: DataFrame, delta: DataFrame) -> DataFrame:
+    """(criterion, units, top, d_e, equal_ratings, reason) of every criterion that was rated at all."""
     e = delta.groupBy("criterion").agg(F.max("d2").alias("top"), F.sum(F.col("nc") * F.col("nk") * F.col("d2")).alias("e"))
     n = counts.groupBy("criterion").agg(F.sum("k").cast("double").alias("n"), F.min("m").alias("fewest"), F.max("m").alias("most"))
     units = counts.select("criterion", "unit").distinct().groupBy("criterion").agg(F.count("*").alias("units"))
@@ -324,9 +343,9 @@ def monitor_summary(ratings: DataFrame, metric: str = "ordinal", kind: str = "eb
     reason: why a criterion has no bounds, or in what they fall short (equal_ratings is false). n: units monitored, with the last bounds;
     cleared_at: the first unit, from 1, at which the whole interval is at the gate or above.
     """
-    bounds = monitor(ratings, metric, kind)
+    monitored, bounds = _monitor(ratings, metric, kind)
     last = bounds.groupBy("criterion").agg(F.max(F.struct("t", "alpha_lo", "alpha_hi")).alias("last"), F.min(F.when(F.col("alpha_lo") >= threshold, F.col("t"))).alias("cleared_at"))
-    joined = _monitored(ratings, metric).join(last, "criterion", "left")
+    joined = monitored.join(last, "criterion", "left")
     return joined.select("criterion", "units", "top", "d_e", "equal_ratings", "reason", F.coalesce("last.t", F.lit(0)).alias("n"), "last.alpha_lo", "last.alpha_hi", "cleared_at")
 
 

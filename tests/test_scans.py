@@ -76,3 +76,14 @@ def test_places_over_partitions(spark, many_parts):
     got = scans.numbered(rows, [F.desc("x"), "y"], "place").collect()
     assert sorted(r.place for r in got) == list(range(1, 1001)) and all(r.place == 1000 - r.x for r in got)
     assert scans.numbered(rows.where("false"), ["x"], "place").count() == 0
+
+
+def test_units_stay_spread_over_tasks(spark, many_parts):
+    """Units that all have the same two values: no shuffle brings them together by value or by criterion."""
+    ratings = spark.range(40_000).select(F.lit("a").alias("criterion"), (F.col("id") % 20_000).alias("unit"), F.floor(F.col("id") / 20_000).alias("rater"), F.when(F.col("id") % 20_000 == 7, F.col("id") / 20_000).otherwise(1.0).alias("value"))
+    for found in (R.disagreement(ratings), R.rater_pairs(ratings), R._monitor(ratings, "ordinal", "eb")[1]):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(criterion#" not in plan or all("unit#" in x.split(")")[0] for x in plan.split("hashpartitioning(criterion#")[1:])
+    assert [r.unit for r in R.worst_units(ratings).collect()] == [7]
+    last = R.monitor_summary(ratings).first()
+    assert (last.units, last.n, last.equal_ratings) == (20_000, 20_000, True)
