@@ -8,12 +8,15 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.digests import Endings
 from plumbline.functions.hashing import unit
 from plumbline.operators.reliability import METRICS, unit_counts
 
@@ -165,9 +168,54 @@ def roofline(medians: DataFrame, work: DataFrame) -> DataFrame:
     return joined.select("shape", achieved.alias("achieved"), F.try_divide(achieved, F.col("bandwidth").cast("double")).alias("fraction"), F.when(F.col("bandwidth").isNull(), "no bandwidth known").alias("reason"))
 
 
-def _poisson_one(u: Column) -> Column:
-    """The Poisson number of mean 1 at u in [0, 1): how many of POISSON_ONE it reaches."""
-    return sum((F.when(u >= c, 1).otherwise(0) for c in POISSON_ONE), start=F.lit(0))
+#: Criteria, kinds and values whose sums over all draws a task holds at a time.
+MAX_KEYS = 4096
+
+
+def _poisson_one(digits: np.ndarray) -> np.ndarray:
+    """The Poisson numbers of mean 1 at digits / 2**52: how many of POISSON_ONE each reaches."""
+    return np.searchsorted([math.ceil(c * (1 << 52)) for c in POISSON_ONE], digits, side="right").astype(float)
+
+
+def _weighted_sums(units: DataFrame, replicates: int) -> DataFrame:
+    """(criterion, kind, value, replicate, amount): sums over units(criterion, unit, entries) of their entries' amounts, times the unit's share in the replicate.
+
+    A batch of units is hashed at once for each replicate and leaves one list of
+    sums for each of its criteria, kinds and values: no row is made for a unit's share.
+    """
+    kind = units.schema["criterion"].dataType.simpleString()
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from part(batch)
+
+    def part(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        if not batch.num_rows:
+            return
+        entries, criterion = batch.column("entries"), batch.column("criterion")
+        unit_at = np.repeat(np.arange(batch.num_rows), np.diff(entries.offsets.to_numpy()))
+        what, value, amount = (entries.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(3))
+        known = criterion.dictionary_encode()
+        code = pc.fill_null(known.indices, len(known.dictionary)).to_numpy(zero_copy_only=False)[unit_at]
+        keys, key = np.unique(np.stack([code.astype(float), what.astype(float), value]), axis=1, return_inverse=True)
+        if keys.shape[1] > MAX_KEYS and batch.num_rows > 1:
+            half = batch.num_rows // 2
+            yield from part(batch.slice(0, half))
+            yield from part(batch.slice(half))
+            return
+        key, endings = key.reshape(-1), Endings(batch.column("ending").to_pylist())
+        out = np.empty((keys.shape[1], replicates))
+        for r in range(replicates):
+            out[:, r] = np.bincount(key, amount * _poisson_one(endings.digits(f"a:{r}".encode()))[unit_at], keys.shape[1])
+        names = [*known.dictionary, pa.scalar(None, criterion.type)]
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(keys.shape[1] + 1) * replicates, pa.int32()), pa.array(out.ravel()))
+        yield pa.RecordBatch.from_arrays([pa.array([names[int(k)].as_py() for k in keys[0]], criterion.type), pa.array(keys[1].astype(np.int32)), pa.array(keys[2]), lists], ["criterion", "kind", "value", "sums"])
+
+    tasks = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ending = F.concat_ws(":", F.lit(""), F.col("unit").cast("string"), F.col("criterion").cast("string"))
+    spread = units.repartition(tasks, "criterion", "unit").select("criterion", ending.cast("binary").alias("ending"), "entries")
+    found = spread.mapInArrow(sums, f"criterion {kind}, kind int, value double, sums array<double>")
+    return found.select("criterion", "kind", "value", F.posexplode("sums").alias("replicate", "amount")).groupBy("criterion", "kind", "value", "replicate").agg(F.sum("amount").alias("amount"))
 
 
 def bootstrap_alpha(ratings: DataFrame, metric: str = "interval", replicates: int = ALPHA_REPLICATES, level: float = 0.95) -> DataFrame:
@@ -181,24 +229,19 @@ def bootstrap_alpha(ratings: DataFrame, metric: str = "interval", replicates: in
     if metric not in METRICS or metric not in ("nominal", "interval"):
         raise ValueError("the bootstrap is for the nominal and the interval metric")
     counts = unit_counts(ratings)
-    m = F.col("m").cast("double")
-
-    def weighted(units: DataFrame) -> DataFrame:
-        tasks = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        each = units.repartition(tasks, "criterion", "unit").withColumn("replicate", _replicates(replicates))
-        return each.withColumn("u", unit(F.lit("a"), F.col("replicate"), F.col("unit"), F.col("criterion"))).withColumn("w", _poisson_one(F.col("u")))
-
+    m, s1, s2 = F.col("m").cast("double"), F.col("s1"), F.col("s2")
+    entry = lambda kind, amount, value=0.0: F.struct(F.lit(kind).alias("kind"), F.lit(value).alias("value"), amount.cast("double").alias("amount"))
     if metric == "interval":
         own = counts.groupBy("criterion", "unit", "m").agg(F.sum(F.col("k") * F.col("value")).alias("s1"), F.sum(F.col("k") * F.col("value") * F.col("value")).alias("s2"))
-        own = own.select("criterion", "unit", "m", "s1", "s2", (2 * (m * F.col("s2") - F.col("s1") * F.col("s1")) / (m - 1)).alias("o"))
-        sums = weighted(own).groupBy("criterion", "replicate").agg(*[F.sum(F.col("w") * F.col(c)).cast("double").alias(c) for c in ("m", "s1", "s2", "o")])
-        e = 2 * (F.col("m") * F.col("s2") - F.col("s1") * F.col("s1"))
+        entries = F.array(entry(0, m), entry(1, 2 * (m * s2 - s1 * s1) / (m - 1)), entry(2, s1), entry(3, s2))
     else:
-        own = counts.groupBy("criterion", "unit", "m").agg(F.sum(F.col("k") * F.col("k")).alias("kk")).select("criterion", "unit", "m", ((m * m - F.col("kk")) / (m - 1)).alias("o"))
-        base = weighted(own).groupBy("criterion", "replicate").agg(*[F.sum(F.col("w") * F.col(c)).cast("double").alias(c) for c in ("m", "o")])
-        by_value = weighted(counts.select("criterion", "unit", "value", "k")).groupBy("criterion", "replicate", "value").agg(F.sum(F.col("w") * F.col("k")).alias("k"))
-        sums = base.join(by_value.groupBy("criterion", "replicate").agg(F.sum(F.col("k") * F.col("k")).cast("double").alias("sq")), ["criterion", "replicate"])
-        e = F.col("m") * F.col("m") - F.col("sq")
+        own = counts.groupBy("criterion", "unit", "m").agg(F.sum(F.col("k") * F.col("k")).alias("kk"), F.collect_list(F.struct(F.lit(4).alias("kind"), F.col("value").cast("double").alias("value"), F.col("k").cast("double").alias("amount"))).alias("cells"))
+        entries = F.concat(F.array(entry(0, m), entry(1, (m * m - F.col("kk")) / (m - 1))), "cells")
+    sums = _weighted_sums(own.select("criterion", "unit", entries.alias("entries")), replicates)
+    total = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("amount")))
+    squares = F.sum(F.when(F.col("kind") == 4, F.col("amount") * F.col("amount")))
+    sums = sums.groupBy("criterion", "replicate").agg(total(0).alias("m"), total(1).alias("o"), total(2).alias("s1"), total(3).alias("s2"), squares.alias("sq"))
+    e = 2 * (F.col("m") * s2 - s1 * s1) if metric == "interval" else F.col("m") * F.col("m") - F.col("sq")
     value = F.when(e > 1e-9, 1 - F.col("o") / F.col("m") / (e / (F.col("m") * (F.col("m") - 1))))
     tail = (1 - level) / 2
     each = sums.select("criterion", value.alias("alpha"))
