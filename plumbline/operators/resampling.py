@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.digests import Endings
 from plumbline.functions.hashing import unit
 from plumbline.operators.reliability import METRICS, unit_counts
+from plumbline.tables import cut
 
 MIN_SLOWDOWN = 1.15
 UNLOCKED_PERFORMANCE, UNLOCKED_WITNESS = 2.0, 1.5
@@ -250,6 +251,8 @@ def bootstrap_alpha(ratings: DataFrame, metric: str = "interval", replicates: in
 
 #: Units of a hash range that deals its draws on its own, and most of such ranges.
 RANGE_UNITS, MAX_RANGES = 2048, 4096
+#: Values and units of a range whose shares are one matrix; more of them are added up value by value.
+MAX_CELLS = 1 << 22
 
 
 def _generator(*key) -> np.random.Generator:
@@ -257,12 +260,13 @@ def _generator(*key) -> np.random.Generator:
     return np.random.default_rng(list(hashlib.sha256(repr(key).encode()).digest()))
 
 
-def dealt_draws(units: DataFrame, replicates: int) -> DataFrame:
-    """units(criterion, unit, cells) with range and draws, the draws of the range in each replicate: as many in all as the criterion has units.
+def dealt_draws(units: DataFrame, replicates: int) -> tuple[DataFrame, DataFrame]:
+    """(units(criterion, unit, cells) with their range, (criterion, range, draws): the draws of a range in each replicate, as many in all as the criterion has units).
 
     A criterion's draws are first dealt to hash ranges by their numbers of units, a multinomial draw over counts only; what happens
     in a range then needs nothing of the others.
     """
+    units = cut(units)
     ranges = max(1, min(MAX_RANGES, units.count() // RANGE_UNITS))
     placed = units.withColumn("range", F.pmod(F.xxhash64("criterion", "unit"), F.lit(ranges)).cast("int"))
 
@@ -275,7 +279,7 @@ def dealt_draws(units: DataFrame, replicates: int) -> DataFrame:
 
     kind = units.schema["criterion"].dataType.simpleString()
     counts = placed.groupBy("criterion", "range").agg(F.count("*").alias("n"))  # at most MAX_RANGES rows a criterion
-    return placed.join(counts.groupBy("criterion").applyInArrow(deal, f"criterion {kind}, range int, draws array<long>"), ["criterion", "range"])
+    return placed, counts.groupBy("criterion").applyInArrow(deal, f"criterion {kind}, range int, draws array<long>")
 
 
 def resample_sums(ratings: DataFrame, replicates: int = ALPHA_REPLICATES) -> DataFrame:
@@ -287,11 +291,11 @@ def resample_sums(ratings: DataFrame, replicates: int = ALPHA_REPLICATES) -> Dat
     units = unit_counts(ratings).groupBy("criterion", "unit").agg(F.collect_list(cell).alias("cells"))  # a unit's different values
     kind = units.schema["criterion"].dataType.simpleString()
 
-    def draw(table: pa.Table) -> pa.Table:
+    def draw(table: pa.Table, dealt: pa.Table) -> pa.Table:
         """A range's share of the sums."""
         table = table.combine_chunks().sort_by("unit")
         criterion, place = table.column("criterion")[0].as_py(), table.column("range")[0].as_py()
-        total, n = table.column("draws")[0].as_py(), table.num_rows
+        total, n = dealt.column("draws")[0].as_py(), table.num_rows
         keys: dict[tuple, list[tuple[int, float]]] = {}
         for u, cells in enumerate(table.column("cells").to_pylist()):
             m = sum(c["k"] for c in cells)
@@ -302,11 +306,19 @@ def resample_sums(ratings: DataFrame, replicates: int = ALPHA_REPLICATES) -> Dat
                     keys.setdefault((c["value"], d["value"]), []).append((u, 2 * c["k"] * d["k"] / (m - 1)))
         at = [np.array([u for u, _ in v]) for v in keys.values()]
         worth = [np.array([w for _, w in v]) for v in keys.values()]
-        sums = np.empty((len(keys) + 1, replicates))
+        weight = np.empty((n, replicates))
         for r in range(replicates):
-            weight = _generator("units", criterion, place, r).multinomial(total[r], np.full(n, 1 / n))
-            sums[:-1, r] = [weight[i] @ w for i, w in zip(at, worth, strict=True)]
-            sums[-1, r] = weight.sum()
+            weight[:, r] = _generator("units", criterion, place, r).multinomial(total[r], np.full(n, 1 / n))
+        sums = np.empty((len(keys) + 1, replicates))
+        if len(keys) * n <= MAX_CELLS:
+            shares = np.zeros((len(keys), n))
+            for row, i, w in zip(shares, at, worth, strict=True):
+                row[i] = w
+            sums[:-1] = shares @ weight
+        else:
+            for k, (i, w) in enumerate(zip(at, worth, strict=True)):
+                sums[k] = w @ weight[i]
+        sums[-1] = weight.sum(axis=0)
         return _sums_table(criterion, [*keys, (None, None)], sums)
 
     def add(table: pa.Table) -> pa.Table:
@@ -319,7 +331,8 @@ def resample_sums(ratings: DataFrame, replicates: int = ALPHA_REPLICATES) -> Dat
         return pa.table({"criterion": pa.array([criterion] * len(keys)), "a": pa.array([k[0] for k in keys], pa.float64()), "b": pa.array([k[1] for k in keys], pa.float64()), "sums": lists})
 
     schema = f"criterion {kind}, a double, b double, sums array<double>"
-    shares = dealt_draws(units, replicates).groupBy("criterion", "range").applyInArrow(draw, schema)
+    placed, dealt = dealt_draws(units, replicates)  # a range's draws come once, not with each of its units
+    shares = placed.groupBy("criterion", "range").cogroup(dealt.groupBy("criterion", "range")).applyInArrow(draw, schema)
     return shares.groupBy("criterion", "a", "b").applyInArrow(add, schema)
 
 

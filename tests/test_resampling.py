@@ -44,3 +44,11 @@ def test_no_row_for_each_unit_and_draw(spark, metric):
     assert "md5" not in found._jdf.queryExecution().executedPlan().toString()
     row = found.first()
     assert row.n_defined == 400 and -1 < row.low < row.high < 1 and not math.isnan(row.low)
+
+
+def test_draws_come_once_to_a_range(spark):
+    """The lists of draws meet their range in one row, not with each of its units."""
+    ratings = spark.range(4000).select(F.lit("c").alias("criterion"), (F.col("id") % 2000).alias("unit"), F.col("id").alias("rater"), (F.col("id") % 3).cast("double").alias("value"))
+    plan = S.resample_sums(ratings, 50)._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroup" in plan and "Join" not in plan
+    assert set(S.resample_sums(ratings, 50).where("a is null").first().sums) == {2000.0}
