@@ -14,6 +14,8 @@ _PART = re.compile(r"\$(?:(?P<escape>\$)|(?P<name>[A-Za-z_][A-Za-z0-9_]*)|\{(?P<
 
 #: The largest bank whose templates are read as expressions.
 MAX_BANK = 1000
+#: Columns that hold a target's baseline, entry and front while its attacks are written.
+BASELINE, ENTRY, FRONT = "_pl_baseline", "_pl_entry", "_pl_front"
 
 
 def parts(text: str) -> list[tuple[str | None, str]]:
@@ -79,16 +81,25 @@ def bank(rows: DataFrame) -> list[Attack]:
     return [known[i] for i in sorted(known)]
 
 
-def assemble(baseline: Column, entry: Column, header: Column, body: Column) -> Column:
-    """(text, error): header, baseline, the baseline's entry kept under _HONEST, body; a baseline that is blank or lacks the entry is an error."""
+def _front(baseline: Column, entry: Column) -> Column:
+    """(text, error): the baseline, its entry kept under _HONEST; what of an attack's text is the same for all of a target's attacks."""
     error = (
         F.when(F.trim(F.coalesce(entry, F.lit(""))) == "", "no entry")
-        .when(F.regexp_replace(F.coalesce(baseline, F.lit("")), r"\s", "") == "", "no baseline")
+        .when(~F.coalesce(baseline, F.lit("")).rlike(r"\S"), "no baseline")
         .when(~F.contains(baseline, entry), F.concat(F.lit("the baseline has no "), entry))
     )
     ended = F.when(baseline.endswith("\n"), baseline).otherwise(F.concat(baseline, F.lit("\n")))
-    text = F.concat(header, F.lit("\n"), ended, F.lit("\n_HONEST = "), entry, F.lit("\n\n"), F.regexp_replace(body, r"\A\s+|\s+\z", ""), F.lit("\n"))
-    return F.struct(F.when(error.isNull(), text).alias("text"), error.alias("error"))
+    return F.struct(F.concat(ended, F.lit("\n_HONEST = "), entry, F.lit("\n\n")).alias("text"), error.alias("error"))
+
+
+def _whole(front: Column, header: Column, body: Column) -> Column:
+    return F.concat(header, F.lit("\n"), front["text"], F.regexp_replace(body, r"\A\s+|\s+\z", ""), F.lit("\n"))
+
+
+def assemble(baseline: Column, entry: Column, header: Column, body: Column) -> Column:
+    """(text, error): header, baseline, the baseline's entry kept under _HONEST, body; a baseline that is blank or lacks the entry is an error."""
+    front = _front(baseline, entry)
+    return F.struct(F.when(front["error"].isNull(), _whole(front, header, body)).alias("text"), front["error"].alias("error"))
 
 
 def instantiate(targets: DataFrame, attacks: Sequence[Attack], values: Mapping[str, Column], facts: Mapping[str, Column], baseline: Column, entry: Column) -> DataFrame:
@@ -109,14 +120,16 @@ def instantiate(targets: DataFrame, attacks: Sequence[Attack], values: Mapping[s
             raise ValueError(f"attack {attack.id}: {wrong}") from wrong
         line = lambda text: " ".join(text.split())
         header = F.lit(f"# attack: {line(attack.id)}\n# {line(attack.description)}\n# to be caught by: {attack.oracle}/{attack.check}\n")
-        whole = assemble(baseline, entry, header, body)
         unmet = [F.when(~F.coalesce(facts[r], F.lit(False)), f"not {r}") for r in attack.requires]
         empty = [F.when(values[n].isNull(), f"no value for {n}") for n in names(attack.template)]
-        why_not = F.coalesce(*unmet, *empty, whole["error"])
-        return F.struct(F.lit(attack.id).alias("attack"), F.lit(attack.oracle).alias("oracle"), F.lit(attack.check).alias("check"), F.when(why_not.isNull(), whole["text"]).alias("attack_text"), why_not.alias("why_not"))
+        why_not = F.coalesce(*unmet, *empty, front["error"])
+        return F.struct(F.lit(attack.id).alias("attack"), F.lit(attack.oracle).alias("oracle"), F.lit(attack.check).alias("check"), F.when(why_not.isNull(), _whole(front, header, body)).alias("attack_text"), why_not.alias("why_not"))
 
+    front = F.col(FRONT)
     added = ["attack", "oracle", "check", "attack_text", "why_not"]
     kept = [F.col(f"`{c}`") for c in targets.columns if c not in added]
     if not attacks:
         return targets.select(*kept, *[F.lit(None).cast("string").alias(c) for c in added]).where("false")
-    return targets.select(*kept, F.inline(F.array(*map(row, attacks))))
+    # columns of their own: else every mention of the baseline, in every attack, would work it out again
+    fronted = targets.withColumns({BASELINE: baseline, ENTRY: entry}).withColumn(FRONT, _front(F.col(BASELINE), F.col(ENTRY)))
+    return fronted.select(*kept, F.inline(F.array(*map(row, attacks))))

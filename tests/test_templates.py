@@ -48,6 +48,17 @@ def test_instantiate(spark):
             T.instantiate(targets, [*bank, bad], {"entry": F.col("entry")}, {"gpu": F.col("gpu")}, F.col("base"), F.col("entry"))
 
 
+def test_a_baseline_is_worked_out_once(spark):
+    """However many attacks there are, the plan has the baseline's expression once."""
+    targets = spark.createDataFrame([(1, "def f(): 0"), (2, " \n"), (3, None), (4, "def g(): 0\n")], "id long, text string")
+    attacks = [T.Attack(f"a{k}", "O1", "c", "x") for k in range(5)]
+    got = T.instantiate(targets, attacks, {}, {}, F.regexp_replace("text", "0", "1"), F.lit("f"))
+    assert got._jdf.queryExecution().executedPlan().toString().count("regexp_replace(text") == 1
+    rows = {(r.id, r.attack): (r.attack_text, r.why_not) for r in got.collect()}
+    assert rows[1, "a4"] == ("# attack: a4\n# \n# to be caught by: O1/c\n\ndef f(): 1\n\n_HONEST = f\n\nx\n", None)
+    assert [rows[k, "a0"][1] for k in (2, 3, 4)] == ["no baseline", "no baseline", "the baseline has no f"] and len(rows) == 20
+
+
 def test_bank(spark):
     rows = spark.createDataFrame([("b", "O1", "x", "t", ["gpu"], 1), ("a", "O1", "x", "t", None, 2)], "id string, oracle string, check string, template string, requires array<string>, more int")
     assert [(a.id, a.requires, a.origin) for a in T.bank(rows)] == [("a", (), "bank"), ("b", ("gpu",), "bank")]
