@@ -50,7 +50,7 @@ def test_instantiate(spark):
 
 def test_a_baseline_is_worked_out_once(spark):
     """However many attacks there are, the plan has the baseline's expression once."""
-    targets = spark.createDataFrame([(1, "def f(): 0"), (2, " \n"), (3, None), (4, "def g(): 0\n")], "id long, text string")
+    targets = spark.createDataFrame([(1, "def f(): 0"), (2, " \n"), (3, None), (4, "g = 0\n")], "id long, text string")
     attacks = [T.Attack(f"a{k}", "O1", "c", "x") for k in range(5)]
     got = T.instantiate(targets, attacks, {}, {}, F.regexp_replace("text", "0", "1"), F.lit("f"))
     assert got._jdf.queryExecution().executedPlan().toString().count("regexp_replace(text") == 1
