@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.hashing import unit
@@ -83,6 +83,8 @@ class Fit(NamedTuple):
 
 #: Items and respondents whose numbers the driver holds.
 MAX_ON_DRIVER = 50_000
+#: Cells of respondents and items that the driver holds.
+MAX_CELLS = 1_000_000
 #: Parameters that are broadcast to the responses; more of them meet in a join.
 MAX_BROADCAST = 200_000
 _PAIR = ("1", "2")
@@ -93,10 +95,14 @@ def _variables(items: DataFrame, people: DataFrame) -> DataFrame:
     return items.select(F.lit(0).alias("kind"), F.col("item").alias("id"), F.col("log_a").alias("x1"), F.col("b").alias("x2")).unionByName(people.select(F.lit(1).alias("kind"), F.col("respondent").alias("id"), F.col("theta").alias("x1"), F.lit(0.0).alias("x2")))
 
 
+def _tables(at: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """items(item, log_a, b) and people(respondent, theta) of such rows."""
+    return at.where("kind = 0").select(F.col("id").alias("item"), F.col("x1").alias("log_a"), F.col("x2").alias("b")), at.where("kind = 1").select(F.col("id").alias("respondent"), F.col("x1").alias("theta"))
+
+
 def _evaluated(responses: DataFrame, at: DataFrame, few: tuple[bool, bool]) -> DataFrame:
     """at(kind, id, x1, x2, ...) with its gradient f1, f2, curvatures h1, h2 and its part v of the negative log posterior."""
-    items = at.where("kind = 0").select(F.col("id").alias("item"), F.col("x1").alias("log_a"), F.col("x2").alias("b"))
-    people = at.where("kind = 1").select(F.col("id").alias("respondent"), F.col("x1").alias("theta"))
+    items, people = _tables(at)
     t = terms(responses, F.broadcast(items) if few[0] else items, F.broadcast(people) if few[1] else people)
     a, p = F.exp("log_a"), sigmoid(F.col("z"))
     w = F.col("trials") * p * (1 - p)
@@ -141,14 +147,35 @@ def _priors(n_items: int, n_people: int) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat([SD_LOG_A, SD_B, SD_THETA], sizes), np.repeat([MAX_LOG_A, MAX_B, MAX_THETA], sizes)
 
 
-def _fit_few(responses: DataFrame, items: DataFrame, people: DataFrame, steps: int, memory: int, tolerance: float) -> tuple[DataFrame, DataFrame, float, int, int, bool]:
-    """The same steps with the variables, few enough, on the driver; each evaluation is one aggregation over the responses."""
+def _sums(x: np.ndarray, n: int, i: np.ndarray, p: np.ndarray, hit: np.ndarray, trials: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """What cells of items i (n in all) and respondents p add to the negative log posterior, its gradient and its curvatures at x."""
+    g, h = np.zeros(len(x)), np.zeros(len(x))
+    a = np.exp(x[i])
+    z = a * (x[2 * n + p] - x[n + i])
+    r, w = trials / (1 + np.exp(-z)) - hit, trials / (2 + np.exp(z) + np.exp(-z))
+    for at, first, second in ((i, r * z, w * z * z), (n + i, -r * a, w * a * a), (2 * n + p, r * a, w * a * a)):
+        g += np.bincount(at, first, len(x))
+        h += np.bincount(at, second, len(x))
+    return float((trials * np.logaddexp(0, z) - hit * z).sum()), g, h
+
+
+def _evaluator(responses: DataFrame, item: list[Row], person: list[Row], max_cells: int = 0) -> Callable[[np.ndarray], tuple[float, np.ndarray, np.ndarray]]:
+    """The negative log posterior, its gradient and its curvatures at numbers of the driver: one aggregation over the responses for each
+    call, or, where respondents and items have at most max_cells cells, over cells that were summed up once."""
     spark = responses.sparkSession
-    item, person = items.orderBy("item").collect(), people.orderBy("respondent").collect()
     n, sizes = len(item), 2 * len(item) + len(person)
     code = lambda rows, key, name: F.broadcast(spark.createDataFrame([(r[key], k) for k, r in enumerate(rows)], f"{key} string, {name} int"))
-    coded = cut(responses.join(code(item, "item", "i"), "item").join(code(person, "respondent", "p"), "respondent").select("i", "p", F.col("successes").cast("double").alias("hit"), F.col("trials").cast("double").alias("n")))
-    sd, most = _priors(n, len(person))
+    coded = responses.join(code(item, "item", "i"), "item").join(code(person, "respondent", "p"), "respondent").select("i", "p", F.col("successes").cast("double").alias("hit"), F.col("trials").cast("double").alias("n"))
+    sd, _ = _priors(n, len(person))
+    prior = lambda x: (float((x * x / sd**2).sum() / 2), x / sd**2, 1 / sd**2)
+    if max_cells:
+        cells = cut(coded.groupBy("i", "p").agg(F.sum("hit").alias("hit"), F.sum("n").alias("n")))
+        if cells.limit(max_cells + 1).count() <= max_cells:
+            i, p, hit, trials = (np.asarray(c) for c in zip(*cells.orderBy("i", "p").collect(), strict=True))
+            return lambda x: tuple(mine + more for mine, more in zip(prior(x), _sums(x, n, i, p, hit, trials), strict=True))
+        coded = cells
+    else:
+        coded = cut(coded)
 
     def evaluated(x: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         shared = spark.sparkContext.broadcast(x)
@@ -156,18 +183,12 @@ def _fit_few(responses: DataFrame, items: DataFrame, people: DataFrame, steps: i
         def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x, g, h, value = shared.value, np.zeros(sizes), np.zeros(sizes), 0.0
             for batch in batches:
-                i, p, hit, trials = (c.to_numpy() for c in batch.columns)
-                a = np.exp(x[i])
-                z = a * (x[2 * n + p] - x[n + i])
-                value += float((trials * np.logaddexp(0, z) - hit * z).sum())
-                r, w = trials / (1 + np.exp(-z)) - hit, trials / (2 + np.exp(z) + np.exp(-z))
-                for at, first, second in ((i, r * z, w * z * z), (n + i, -r * a, w * a * a), (2 * n + p, r * a, w * a * a)):
-                    g += np.bincount(at, first, sizes)
-                    h += np.bincount(at, second, sizes)
+                more, more_g, more_h = _sums(x, n, *(c.to_numpy() for c in batch.columns))
+                value, g, h = value + more, g + more_g, h + more_h
             used = np.flatnonzero(h)
             yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1), pa.int32()), pa.array(np.append(g[used], value)), pa.array(np.append(h[used], 0.0))], ["k", "g", "h"])
 
-        g, h, value = x / sd**2, 1 / sd**2, float((x * x / sd**2).sum() / 2)
+        value, g, h = prior(x)
         for k, more_g, more_h in coded.mapInArrow(part, "k int, g double, h double").groupBy("k").agg(F.sum("g"), F.sum("h")).collect():
             if k < 0:
                 value += more_g
@@ -177,6 +198,19 @@ def _fit_few(responses: DataFrame, items: DataFrame, people: DataFrame, steps: i
         shared.unpersist()
         return value, g, h
 
+    return evaluated
+
+
+def _from_driver(spark: SparkSession, x: np.ndarray, item: list[Row], person: list[Row]) -> tuple[DataFrame, DataFrame]:
+    n = len(item)
+    found = spark.createDataFrame([(r.item, float(x[k]), float(x[n + k])) for k, r in enumerate(item)], "item string, log_a double, b double")
+    return found, spark.createDataFrame([(r.respondent, float(x[2 * n + k])) for k, r in enumerate(person)], "respondent string, theta double")
+
+
+def _fit_few(responses: DataFrame, items: DataFrame, people: DataFrame, steps: int, memory: int, tolerance: float) -> tuple[DataFrame, DataFrame, float, int, int, bool]:
+    """The same steps with the variables, few enough, on the driver; each evaluation is one aggregation over the responses."""
+    item, person = items.orderBy("item").collect(), people.orderBy("respondent").collect()
+    evaluated, most = _evaluator(responses, item, person), _priors(len(item), len(person))[1]
     x = np.array([r.log_a for r in item] + [r.b for r in item] + [r.theta for r in person])
     value, g, h = evaluated(x)
     scale, evaluations, taken, converged = 1 / np.sqrt(h), 1, 0, False
@@ -201,8 +235,7 @@ def _fit_few(responses: DataFrame, items: DataFrame, people: DataFrame, steps: i
             s, y = (to - x) / scale, (at - g) * scale
             moves = (moves + [(s, y)] * bool(s @ y > 0))[-memory:]
             x, g, value, taken = to, at, found, taken + 1
-    found = spark.createDataFrame([(r.item, float(x[k]), float(x[n + k])) for k, r in enumerate(item)], "item string, log_a double, b double")
-    return found, spark.createDataFrame([(r.respondent, float(x[2 * n + k])) for k, r in enumerate(person)], "respondent string, theta double"), value, taken, evaluations, converged
+    return *_from_driver(responses.sparkSession, x, item, person), value, taken, evaluations, converged
 
 
 def fit(responses: DataFrame, steps: int = 200, memory: int = 8, tolerance: float = 1e-11, max_on_driver: int = MAX_ON_DRIVER) -> Fit:
@@ -212,13 +245,55 @@ def fit(responses: DataFrame, steps: int = 200, memory: int = 8, tolerance: floa
     Cells without trials are missing; converged: the posterior gained no more than tolerance of itself. Items and respondents up to
     max_on_driver keep their numbers on the driver; more of them are a table.
     """
+    return _standardised(responses, max_on_driver, _fit_few, _fit_many, steps, memory, tolerance)
+
+
+def newton_rounds(responses: DataFrame, rounds: int = 5000, damping: float = 0.6, max_on_driver: int = MAX_ON_DRIVER, max_cells: int = MAX_CELLS) -> Fit:
+    """Where so many damped Newton rounds with diagonal curvatures come to, abilities standardised.
+
+    All numbers move at once, by damping times their Newton step (at most one) and within the bounds. That nears the posterior mode slowly,
+    fit() gets there sooner; but a given round is a result that any engine can repeat. Cells as in fit(); converged: the last round moved
+    no number by more than 1e-9. A round is a pass over the responses only where they have more than max_cells cells.
+    """
+    return _standardised(responses, max_on_driver, _rounds_few, _rounds_many, rounds, damping, max_cells)
+
+
+def _rounds_few(responses: DataFrame, items: DataFrame, people: DataFrame, rounds: int, damping: float, max_cells: int) -> tuple[DataFrame, DataFrame, float, int, int, bool]:
+    item, person = items.orderBy("item").collect(), people.orderBy("respondent").collect()
+    evaluated, most = _evaluator(responses, item, person, max_cells), _priors(len(item), len(person))[1]
+    x, moved = np.array([r.log_a for r in item] + [r.b for r in item] + [r.theta for r in person]), math.inf
+    value, g, h = evaluated(x)
+    for _ in range(rounds):
+        to = np.clip(x - damping * np.clip(g / h, -1, 1), -most, most)
+        x, moved = to, float(np.abs(to - x).max())
+        value, g, h = evaluated(x)
+    return *_from_driver(responses.sparkSession, x, item, person), value, rounds, rounds + 1, moved <= 1e-9
+
+
+def _rounds_many(responses: DataFrame, items: DataFrame, people: DataFrame, rounds: int, damping: float, max_cells: int) -> tuple[DataFrame, DataFrame, float, int, int, bool]:
+    """The same rounds with all variables in a table, one pass over the responses for each."""
+    state = cut(_variables(items, people))
+    counts = {r.kind: r["count"] for r in state.groupBy("kind").count().collect()}
+    few, moved = (counts[0] <= MAX_BROADCAST, counts[1] <= MAX_BROADCAST), math.inf
+    moves = [f"greatest(-{_most(k)}, least({_most(k)}, x{k} - {damping}D * greatest(-1D, least(1D, f{k} / h{k})))) as x{k}" for k in _PAIR]
+    for _ in range(rounds):
+        last, state = state, cut(_evaluated(responses, state, few).selectExpr("kind", "id", *moves))
+    if rounds:
+        both = state.join(last.select("kind", "id", *[F.col(f"x{k}").alias(f"o{k}") for k in _PAIR]), ["kind", "id"])
+        moved = both.agg(F.max(F.greatest(*[F.abs(F.col(f"x{k}") - F.col(f"o{k}")) for k in _PAIR]))).first()[0]
+    value = _evaluated(responses, state, few).agg(F.sum("v")).first()[0]
+    return *_tables(state), value, rounds, rounds + 1, moved <= 1e-9
+
+
+def _standardised(responses: DataFrame, max_on_driver: int, on_driver: Callable, in_table: Callable, *how) -> Fit:
+    """The fit by one of two ways, depending on how many items and respondents there are, with abilities of mean 0 and deviation 1."""
     kinds = {c: responses.schema[c].dataType for c in ("item", "respondent")}
     responses = cut(seen(responses).withColumns({c: F.col(c).cast("string") for c in kinds}).repartition("respondent"))
     items, people = (cut(x) for x in start(responses))
     if not items.limit(1).count():
         raise ValueError("there are no responses to fit")
     few = items.limit(max_on_driver + 1).count() + people.limit(max_on_driver + 1).count() <= max_on_driver
-    items, people, *reached = (_fit_few if few else _fit_many)(responses, items, people, steps, memory, tolerance)
+    items, people, *reached = (on_driver if few else in_table)(responses, items, people, *how)
     items, people = (x.withColumn(c, F.col(c).cast(kinds[c])) for x, c in ((items, "item"), (people, "respondent")))
     s = people.agg(F.avg("theta").alias("m"), F.stddev_pop("theta").alias("s")).first()
     spread = s.s if s.s and s.s >= 1e-6 else 1.0
@@ -277,9 +352,7 @@ def _fit_many(responses: DataFrame, items: DataFrame, people: DataFrame, steps:
         converged = now.value - found.value <= tolerance * max(1.0, abs(now.value))
         if found.value <= now.value:
             state, now, taken = after, found, taken + 1
-    items = state.where("kind = 0").select(F.col("id").alias("item"), F.col("x1").alias("log_a"), F.col("x2").alias("b"))
-    people = state.where("kind = 1").select(F.col("id").alias("respondent"), F.col("x1").alias("theta"))
-    return items, people, now.value, taken, evaluations, converged
+    return *_tables(state), now.value, taken, evaluations, converged
 
 
 def simulate(items: DataFrame, people: DataFrame, trials: int, seed: str = "irt") -> DataFrame:

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import checks, irt
+from plumbline.plans import seeds
 
 
 def test_registry():
@@ -73,3 +74,27 @@ def test_fit_finds_what_was_drawn(spark):
     assert (many.steps, many.evaluations) == (few.steps, few.evaluations) and many.value == pytest.approx(few.value, abs=1e-6)
     own = {r.item: r.b for r in few.items.collect()}
     assert {r.item: r.b for r in many.items.collect()} == pytest.approx(own, abs=1e-6)
+
+
+def test_fit_query_over_many_events(spark, sf_dir, duck, tmp_path):
+    """Over tables on which 5,000 rounds end short of the mode, the query still gives what its SQL gives."""
+    n, users = duck.execute("SELECT max(event_id) + 1, max(user_id) + 1 FROM events").fetchone()
+    shifted = f"SELECT * REPLACE (CAST(event_id + k * {n} AS BIGINT) AS event_id, CAST(user_id + k * {users} AS BIGINT) AS user_id) FROM events, (SELECT unnest(range(0, 200)) AS k)"
+    duck.execute(f"COPY ({shifted}) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    wanted = duck.execute(seeds.ORACLE_SQL["e09_fit"].replace("FROM events", f"FROM '{tmp_path}/events.parquet'")).fetchall()
+    got = seeds.QUERIES["e09_fit"](spark, str(tmp_path)).select("kind", "id", "first", "second").collect()
+    assert sorted(map(tuple, got)) == sorted(wanted)
+
+
+def test_newton_rounds(spark):
+    """Cells or numbers on the driver or in a table: a round is the same, and many end where numpy's do; several rows of a cell count together."""
+    rows = [(f"p{p}", f"i{i}", (p * 7 + i * 3 + half) % 4, 4) for p in range(12) for i in range(5) for half in range(2) if (p + i) % 6]
+    responses = spark.createDataFrame([*rows, ("p0", "i1", 0, 0)], "respondent string, item string, successes long, trials long").checkpoint()
+    numbers = lambda found: (found.value, {r[0]: r[1] for r in found.items.collect()}, {r[0]: r[1] for r in found.people.collect()})
+    value, log_a, theta = numbers(irt.newton_rounds(responses, 3))
+    for how in ({"max_cells": 0}, {"max_cells": 3}, {"max_on_driver": 0}):
+        found = irt.newton_rounds(responses, 3, **how)
+        assert (found.steps, found.converged) == (3, False)
+        assert numbers(found) == (pytest.approx(value, abs=1e-9), pytest.approx(log_a, abs=1e-9), pytest.approx(theta, abs=1e-9))
+    found, (value, log_a, theta) = irt.newton_rounds(responses, 3000), _newton(responses.where("trials > 0").toPandas(), 3000)
+    assert found.converged and numbers(found) == (pytest.approx(value, abs=1e-9), pytest.approx(log_a, abs=1e-7), pytest.approx(theta, abs=1e-7))
