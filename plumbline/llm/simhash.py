@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +46,10 @@ SENT_BYTES = 32 << 20
 SMALL = 16
 #: Members of a bucket, chosen by hash, that those of other components are held against.
 HUBS = 16
+#: Members of a larger bucket that one task holds of either side, and how many of them it compares at once with all of the other.
+BLOCK_MEMBERS, BLOCK_ROWS = 8192, 64
+#: Keys of a block by which pairs are left to another bucket of theirs.
+BLOCK_KEYS = 256
 #: Byte to eight byte-wide counters, lowest bit first.
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 _ROWS = 255  # what a byte-wide counter can hold
@@ -217,6 +222,59 @@ def _ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
     return pairs.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
 
+def _met_in_block(key: int, sides: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of an asker and a member of another label whose fingerprints are near; a pair with a lesser common key may be left to that one."""
+    fp, label = ([t.column(name).to_numpy() for t in sides] for name in ("fp", "label"))
+    main = sides[1].column("main").to_numpy()
+    flat = [t.column("keys").combine_chunks() for t in sides]
+    of = [np.repeat(np.arange(len(k)), k.value_lengths().to_numpy(zero_copy_only=False)) for k in flat]
+    flat = [k.flatten().to_numpy() for k in flat]
+    found, often = np.unique(flat[1][flat[1] < key], return_counts=True)
+    found = np.sort(found[np.argsort(-often, kind="stable")[:BLOCK_KEYS]])
+    has = [np.zeros((len(f), len(found)), dtype=np.float32) for f in fp]
+    for h, rows, keys in zip(has, of, flat, strict=True):
+        if len(found):
+            at = np.minimum(np.searchsorted(found, keys), len(found) - 1)
+            hit = found[at] == keys
+            h[rows[hit], at[hit]] = 1
+    for k in range(0, len(fp[0]), BLOCK_ROWS):
+        x = fp[0][k : k + BLOCK_ROWS, None]
+        # of two askers the lesser one asks
+        wanted = (np.bitwise_count((x ^ fp[1]).view(np.uint64)) <= CHECK_RADIUS) & (label[0][k : k + BLOCK_ROWS, None] != label[1]) & ((label[1] == main) | (x < fp[1]))
+        if len(found) and wanted.any():
+            wanted &= has[0][k : k + BLOCK_ROWS] @ has[1].T == 0
+        i, j = np.nonzero(wanted)
+        if len(i):
+            x, y = fp[0][k + i], fp[1][j]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+
+def _met_in_large(labelled: DataFrame, small: int) -> DataFrame:
+    """All pairs (a, b) of different labels that share a bucket of more than small members, by labelled(key, fp, label), and are near.
+
+    Those of a bucket's most frequent label are only asked; the others ask all. Both sides are cut into blocks, of which
+    every pair is a group of its own, so that no task holds more than two blocks.
+    """
+    sizes = labelled.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key")
+    bucket = sizes.agg(F.sum("c").alias("n"), F.max("c").alias("most"), F.max_by("label", F.struct("c", "label")).alias("main")).where((F.col("n") > small) & (F.col("most") < F.col("n")))
+    rows = labelled.select("key", "fp", "label").join(bucket, "key")
+    rows = cut(rows.join(rows.groupBy("fp").agg(F.collect_list("key").alias("keys")), "fp"))
+    blocks = lambda n: F.ceil(n / BLOCK_MEMBERS)
+    asking, asked = blocks(F.col("n") - F.col("most")), blocks(F.col("n"))
+    place = lambda n: F.pmod(F.xxhash64("fp", "key"), n)
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    own = ["key", "fp", "label", "main", "keys"]
+    askers = rows.where("label != main").select(F.lit(0).alias("side"), *own, place(asking).alias("i"), each(asked).alias("j"))
+    targets = rows.select(F.lit(1).alias("side"), *own, each(asking).alias("i"), place(asked).alias("j"))
+
+    def run(group: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = pa.Table.from_batches(list(batches))
+        sides = [block.filter(pc.equal(block.column("side"), k)) for k in (0, 1)]
+        yield from _met_in_block(group[0].as_py(), sides)
+
+    return askers.union(targets).groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
+
+
 def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, shingle_words: int = SIMILAR_WORDS) -> DataFrame:
     """(doc_id, component_id) for every row of docs(doc_id, text), by the Jaccard similarity of word shingles.
 
@@ -234,8 +292,10 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, shingle_w
     chosen by a hash of text and bucket, those that are of a larger component (of
     equal ones, of that with the greater label). Both are aggregations and joins by
     key, with at most HUBS pairs for each row of a bucket, and none for the bulk of
-    a group that is one component already. What is left over in buckets of at most SMALL members is compared
-    throughout. A text is in SEGMENTS * (WEAK + 1) buckets, each with its own hubs.
+    a group that is one component already. What is of different components then is compared
+    throughout: in buckets of at most SMALL members by a join, in larger ones block by block,
+    where all that aren't of the bucket's most frequent component meet all its members. So no pair that shares a bucket is lost, at
+    a cost that grows with the product of both numbers. A text is in SEGMENTS * (WEAK + 1) buckets, each with its own hubs.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     prints = cut(_wide_prints(docs, shingle_words))
@@ -260,10 +320,14 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, shingle_w
     foreign = F.filter("hubs", lambda h: larger(h) & (F.bit_count(h["fp"].bitwiseXOR(F.col("fp"))) <= CHECK_RADIUS))
     other = labelled.join(mixed, (F.col("key") == F.col("_key")) & (F.size(foreign) > 0))
     tried = cut(_ordered(other.select("fp", F.explode(foreign["fp"]).alias("hub")), "fp", "hub").join(star, ["a", "b"], "left_anti"))
-    links = first.union(check.verified(tried))
-    few = labelled.where(F.col("n") <= SMALL)
+    links = cut(first.union(check.verified(tried)))
+    # what is still apart is compared throughout
+    label = components(links).select(F.col("node").alias("fp"), "component")
+    left = cut(met.where("n > 2").select("key", "fp", "n").join(label, "fp", "left").select("key", "fp", "n", F.coalesce("component", "fp").alias("label")))
+    few = left.where(F.col("n") <= SMALL)
     pairs = few.select("key", F.col("fp").alias("x"), F.col("label").alias("lx")).join(few.select("key", F.col("fp").alias("y"), F.col("label").alias("ly")), "key")
     rest = _ordered(pairs.where((F.col("x") < F.col("y")) & (F.col("lx") != F.col("ly")) & _near("x", "y")), "x", "y")
+    rest = rest.union(_met_in_large(left.where(F.col("n") > SMALL), SMALL)).distinct()
     rest = cut(rest.join(star.union(tried), ["a", "b"], "left_anti"))
     second = check.verified(rest)
     linked = components(links.union(second))

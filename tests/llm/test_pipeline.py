@@ -143,6 +143,49 @@ def test_similar_documents(spark):
     assert apart <= 0.02 * len(docs) and all(wanted[i] == wanted[got[i]] for i in got)
 
 
+def _changed(rng, words, n):
+    out = list(words)
+    for k in rng.sample(range(3, len(words), 6), n):
+        out[k] = f"new{rng.randrange(10**6)}"
+    return out
+
+
+def test_similar_documents_in_large_buckets(spark, monkeypatch):
+    """Buckets whose least and one hub meet few of their members give the links that a join of all their members gives: texts just too far apart, each with a twin."""
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(600)]
+    docs = []
+    for _ in range(150):
+        words = _changed(rng, base, 6)
+        docs += [(2 * len(docs) + k, " ".join(_changed(rng, words, 5))) for k in range(2)]
+    monkeypatch.setattr(simhash, "HUBS", 1)
+    monkeypatch.setattr(simhash, "BLOCK_MEMBERS", 5)
+    found = []
+    for small in (10**6, 2):
+        monkeypatch.setattr(simhash, "SMALL", small)
+        got = simhash.similar_documents(spark.createDataFrame(docs, "doc_id long, text string"))
+        found.append({r.doc_id: r.component_id for r in got.collect()})
+    assert len(set(found[0].values())) < 200 and found[1] == found[0]
+
+
+def test_large_buckets_block_by_block(spark, monkeypatch):
+    """Pairs of other labels and near fingerprints that share a large bucket, against all pairs; buckets of one label or few members give none."""
+    rng = random.Random(6)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    centre = [rng.getrandbits(64) for _ in range(3)]
+    prints = list({signed(rng.choice(centre) ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 14)))) for _ in range(150)})
+    label = {f: rng.choice([1, 1, 1, 2, f]) for f in prints}
+    rows = [(key, f, label[f]) for key in range(-3, 5) for f in rng.sample(prints, [3, 40, 90, 150][key % 4])] + [(9, f, label[f]) for f in prints if label[f] == 1]
+    wanted = set()
+    for key in {k for k, _, _ in rows}:
+        of = [f for k, f, _ in rows if k == key]
+        if len(of) > 10:
+            wanted |= {(min(x, y), max(x, y)) for x, y in itertools.combinations(of, 2) if label[x] != label[y] and ((x ^ y) & (1 << 64) - 1).bit_count() <= simhash.CHECK_RADIUS}
+    monkeypatch.setattr(simhash, "BLOCK_MEMBERS", 16)
+    got = [tuple(r) for r in simhash._met_in_large(spark.createDataFrame(rows, "key int, fp long, label long"), 10).collect()]
+    assert set(got) == wanted and len(got) == len(wanted)  # each from one of its buckets
+
+
 def test_every_document_is_labelled_once(spark, sf_dir, monkeypatch):
     """Language labelling isn't repeated for the jobs of the stages behind it."""
     seen = spark.sparkContext.accumulator(0)
