@@ -258,7 +258,7 @@ def _met_in_large(labelled: DataFrame, small: int) -> DataFrame:
     sizes = labelled.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key")
     bucket = sizes.agg(F.sum("c").alias("n"), F.max("c").alias("most"), F.max_by("label", F.struct("c", "label")).alias("main")).where((F.col("n") > small) & (F.col("most") < F.col("n")))
     rows = labelled.select("key", "fp", "label").join(bucket, "key")
-    rows = cut(rows.join(rows.groupBy("fp").agg(F.collect_list("key").alias("keys")), "fp"))
+    rows = rows.join(rows.groupBy("fp").agg(F.collect_list("key").alias("keys")), "fp")
     blocks = lambda n: F.ceil(n / BLOCK_MEMBERS)
     asking, asked = blocks(F.col("n") - F.col("most")), blocks(F.col("n"))
     place = lambda n: F.pmod(F.xxhash64("fp", "key"), n)
@@ -323,7 +323,7 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, shingle_w
     links = cut(first.union(check.verified(tried)))
     # what is still apart is compared throughout
     label = components(links).select(F.col("node").alias("fp"), "component")
-    left = cut(met.where("n > 2").select("key", "fp", "n").join(label, "fp", "left").select("key", "fp", "n", F.coalesce("component", "fp").alias("label")))
+    left = cut(labelled.join(mixed.select(F.col("_key").alias("key")), "key", "left_semi").select("key", "fp", "n").join(label, "fp", "left").select("key", "fp", "n", F.coalesce("component", "fp").alias("label")))
     few = left.where(F.col("n") <= SMALL)
     pairs = few.select("key", F.col("fp").alias("x"), F.col("label").alias("lx")).join(few.select("key", F.col("fp").alias("y"), F.col("label").alias("ly")), "key")
     rest = _ordered(pairs.where((F.col("x") < F.col("y")) & (F.col("lx") != F.col("ly")) & _near("x", "y")), "x", "y")
